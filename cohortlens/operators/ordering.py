@@ -13,6 +13,12 @@ when one entity holds a third of the rows.  The scheme used here:
    the first and last entity of a partition can cross a boundary, so the carry
    table has at most ``3 * n`` rows — a bound fixed by the partition count,
    which makes its broadcast safe at any data size.
+
+Range bounds come from a sample seeded by the RDD id, so two executions of the
+same exchange may cut at different keys.  The slices are therefore computed
+once and checkpointed (reliably, to the shared ``spark.checkpoint.dir``)
+before the carry branch and the final join read them: every consumer sees the
+same partition ids, lineage is cut, and a lost executor only costs a re-read.
 """
 
 from __future__ import annotations
@@ -35,6 +41,13 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
                   [left[c].eqNullSafe(right[c]) for c in cols])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's shared checkpoint folder."""
+    from cohortlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,8 +76,9 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
 
     w_local = (Window.partitionBy(PID, *by).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(t).over(w_local).alias(f"__loc_{t}")
-                                 for t in sums.values()])
+    local = materialize(ranged.select("*", *[F.sum(t).over(w_local).alias(f"__loc_{t}")
+                                             for t in sums.values()]))
+    ranged = local
 
     # Slices that may continue from an earlier partition.
     if by:
