@@ -40,7 +40,7 @@ def parse_mixed_date(c, formats=MIXED_DATE_FORMATS) -> Column:
     Never throws: impossible dates (30 Feb, month 13), two-digit years and
     trailing junk all give NULL."""
     s = F.trim(col_of(c))
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def month_key(d) -> Column:

@@ -76,11 +76,14 @@ def sentinel_audit(df: DataFrame, sentinel: str = "?", digits: int = 2) -> DataF
                     F.round(100.0 * F.col("n") / F.col("__total"), digits).alias("pct")))
 
 
-def null_audit(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, nulls) for every column."""
+def null_audit(df: DataFrame, with_types: bool = True) -> DataFrame:
+    """(column_name, [data_type,] nulls) for every column: one aggregate."""
     cols = df.columns
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = counts.unpivot([], cols, "column_name", "nulls")
+    if not with_types:
+        return long
+    # One row per column of the schema: a fixed, tiny table.
     types = df.sparkSession.createDataFrame(list(df.dtypes), "column_name string, data_type string")
     return long.join(F.broadcast(types), "column_name")
 
