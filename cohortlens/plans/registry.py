@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["noshow", "sales"]
+PLAN_MODULES = ["noshow", "sales", "scoring"]
 
 
 def _modules():
