@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["noshow", "sales", "scoring"]
+PLAN_MODULES = ["noshow", "sales", "scoring", "readmission"]
 
 
 def _modules():
