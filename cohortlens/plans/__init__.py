@@ -1,0 +1 @@
+"""The studies composed from operators; ``registry`` gathers their queries."""

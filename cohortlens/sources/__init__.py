@@ -1,0 +1 @@
+"""Readers, writers and the proxy views over the driver's test tables."""
