@@ -42,28 +42,64 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
+    """Reliable checkpoint into the session's shared checkpoint folder.
+
+    The frame is persisted first so the plan runs once: the eager checkpoint
+    would otherwise compute it for its count and again to write the files.
+    The cache is released once the checkpoint files exist."""
+    from pyspark import StorageLevel
     from cohortlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Inputs whose optimizer size estimate (an upper bound without CBO, the same
+# statistic Spark's broadcast decision reads) is at most this many bytes are
+# small enough for one task per window partition.
+SINGLE_TASK_CONF = "cohortlens.window.singleTaskMaxBytes"
+SINGLE_TASK_DEFAULT = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # noqa: BLE001 — no estimate: treat as large
+        return None
+
+
+def is_small(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
+    size = estimated_bytes(df)
+    return size is not None and size <= limit
+
+
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
                    values: dict[str, Column | str], n_partitions: int | None = None,
-                   inclusive: bool = True) -> DataFrame:
+                   inclusive: bool = True, strategy: str = "auto") -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY by ORDER BY order ROWS
     UNBOUNDED PRECEDING .. CURRENT ROW)`` for each ``name: expr`` in
     ``values`` (``inclusive=False`` stops at 1 PRECEDING, NULL on the first
     row, as SQL does).  ``order`` must be a total order inside each group
-    (end it with a unique key)."""
+    (end it with a unique key).
+
+    ``strategy``: ``'range'`` always uses the skew-safe scheme, ``'window'``
+    a plain window; ``'auto'`` uses the plain window only when the input's
+    size estimate is under ``cohortlens.window.singleTaskMaxBytes``."""
     by = list(by)
     order = [_col(o) for o in order]
-    n = n_partitions or default_partitions(df)
     vals = {name: _col(e) for name, e in values.items()}
+    if strategy == "window" or (strategy == "auto" and is_small(df)):
+        w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        return df.select("*", *[F.sum(e).over(w).alias(name) for name, e in vals.items()])
+    n = n_partitions or default_partitions(df)
     tmp = {name: f"__v_{i}" for i, name in enumerate(vals)}
     sums = dict(tmp)
     if not inclusive:
@@ -116,19 +152,20 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
         else:
             first = total("__v_rowcount") == 1
             out_cols.append(F.when(first, F.lit(None))
-                            .otherwise(total(t) - F.col(t)).alias(name))
+                            .otherwise(total(t) - F.coalesce(F.col(t), F.lit(0))).alias(name))
     return joined.select(*out_cols)
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rn",
-                n_partitions: int | None = None) -> DataFrame:
+                n_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY by ORDER BY order)`` (bigint), skew-safe."""
-    out = running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, n_partitions)
-    return out
+    return running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, n_partitions,
+                          strategy=strategy)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), n_partitions: int | None = None) -> DataFrame:
+                    by: Sequence[str] = (), n_partitions: int | None = None,
+                    strategy: str = "auto") -> DataFrame:
     """Linearly interpolated quantiles (``quantile_cont`` / numpy 'linear').
 
     Returns one row per ``by`` group with columns ``prob`` (double),
@@ -140,7 +177,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     spark = df.sparkSession
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
-    cum = running_totals(counts, by, [F.col(value)], {"__cum": F.col("__n")}, n_partitions)
+    cum = running_totals(counts, by, [F.col(value)], {"__cum": F.col("__n")}, n_partitions,
+                         strategy=strategy)
     cum = cum.select(*by, F.col(value).cast("double").alias("__v"),
                      (F.col("__cum") - F.col("__n")).alias("__first"),
                      (F.col("__cum") - 1).alias("__last"))
@@ -175,8 +213,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def quantile_array(df: DataFrame, value: str, probs: Sequence[float],
-                   n_partitions: int | None = None) -> DataFrame:
+                   n_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
     """One row, one column ``edges``: the quantiles in ``probs`` order."""
-    q = exact_quantiles(df, value, probs, n_partitions=n_partitions)
+    q = exact_quantiles(df, value, probs, n_partitions=n_partitions, strategy=strategy)
     return q.agg(F.transform(F.array_sort(F.collect_list(F.struct("prob_index", "quantile"))),
                              lambda s: s["quantile"]).alias("edges"))

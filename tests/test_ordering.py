@@ -23,7 +23,7 @@ def _skewed(spark, n=4000, seed=7):
 def test_running_totals_match_window(spark, inclusive):
     df, _ = _skewed(spark)
     got = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")},
-                         n_partitions=16, inclusive=inclusive)
+                         n_partitions=16, inclusive=inclusive, strategy="range")
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     w = Window.partitionBy("e").orderBy("t", "id").rowsBetween(*frame)
     want = df.withColumn("s", F.sum("x").over(w))
@@ -35,7 +35,7 @@ def test_running_totals_match_window(spark, inclusive):
 def test_running_totals_global_desc(spark):
     df, pdf = _skewed(spark)
     got = running_totals(df, [], [F.col("t").desc(), F.col("id")], {"c": F.lit(1)},
-                         n_partitions=8).select("id", "c").toPandas()
+                         n_partitions=8, strategy="range").select("id", "c").toPandas()
     ref = pdf.sort_values(["t", "id"], ascending=[False, True]).reset_index(drop=True)
     ref["c"] = np.arange(1, len(ref) + 1)
     m = got.merge(ref[["id", "c"]], on="id", suffixes=("", "_ref"))
@@ -46,14 +46,15 @@ def test_exact_quantiles_numpy(spark):
     df, pdf = _skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.8, 0.9, 1.0]
     got = {r["prob_index"]: r["quantile"] for r in
-           exact_quantiles(df, "t", probs, n_partitions=8).collect()}
+           exact_quantiles(df, "t", probs, n_partitions=8, strategy="range").collect()}
     want = np.quantile(pdf["t"].to_numpy(), probs)
     assert np.allclose([got[i] for i in range(len(probs))], want, rtol=0, atol=1e-12)
 
 
 def test_exact_quantiles_by_group(spark):
     df, pdf = _skewed(spark)
-    got = exact_quantiles(df, "t", [0.5, 0.75], by=["x"], n_partitions=8).toPandas()
+    got = exact_quantiles(df, "t", [0.5, 0.75], by=["x"], n_partitions=8,
+                          strategy="range").toPandas()
     for x, g in pdf.groupby("x"):
         for pi, p in enumerate([0.5, 0.75]):
             v = got[(got.x == x) & (got.prob_index == pi)]["quantile"].iloc[0]
@@ -64,3 +65,24 @@ def test_quantile_array_edge_fixture(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4]], "p double")
     edges = quantile_array(df, "p", [0.8]).first()["edges"]
     assert edges == [pytest.approx(3.4)]
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_window_and_range_strategies_agree(spark, inclusive):
+    df, _ = _skewed(spark, n=3000, seed=11)
+    a = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, n_partitions=12,
+                       inclusive=inclusive, strategy="range").select("id", "s").collect()
+    b = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")},
+                       inclusive=inclusive, strategy="window").select("id", "s").collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_auto_strategy_small_input_uses_window(spark):
+    from cohortlens.operators.ordering import is_small
+    df = spark.range(100)  # exact statistics
+    assert is_small(df)
+    spark.conf.set("cohortlens.window.singleTaskMaxBytes", "1")
+    try:
+        assert not is_small(df)
+    finally:
+        spark.conf.unset("cohortlens.window.singleTaskMaxBytes")
