@@ -118,11 +118,18 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
 
     # Slices that may continue from an earlier partition.
     if by:
-        key = F.struct(*[F.col(b) for b in by])
-        ends = ranged.groupBy(PID).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-        edge_keys = (ends.select(F.col("lo").alias("k"))
-                     .union(ends.select(F.col("hi").alias("k")))
-                     .select(*[F.col(f"k.{b}").alias(b) for b in by]).distinct())
+        # First and last entity of every partition, in one aggregate.  A
+        # single key column aggregates with plain min/max (hash aggregate,
+        # no sort of the slices); a composite key uses min/max of a struct.
+        if len(by) == 1:
+            lo, hi = F.min(by[0]), F.max(by[0])
+            ends = ranged.groupBy(PID).agg(F.array(lo, hi).alias("__k"))
+            edge_keys = ends.select(F.explode("__k").alias(by[0])).distinct()
+        else:
+            key = F.struct(*[F.col(b) for b in by])
+            ends = ranged.groupBy(PID).agg(F.array(F.min(key), F.max(key)).alias("__k"))
+            edge_keys = (ends.select(F.explode("__k").alias("k"))
+                         .select(*[F.col(f"k.{b}").alias(b) for b in by]).distinct())
         edge_rows = ranged.join(F.broadcast(edge_keys),
                                 _null_safe_on(ranged, edge_keys, by), "left_semi")
     else:

@@ -168,6 +168,13 @@ def q_code_groups(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_analytic_nulls(spark, sf_dir):
+    """Null cells of the analytic table: per column and in total."""
+    per = profiling.null_audit(analytic_table(spark, sf_dir), with_types=False)
+    total = per.agg(F.sum("nulls").cast("bigint").alias("total_null_cells"))
+    return per.crossJoin(total)
+
+
 def q_target_balance(spark, sf_dir):
     return profiling.value_distribution(analytic_table(spark, sf_dir), "readmitted_30", digits=2)
 
@@ -419,6 +426,13 @@ GROUP BY column_name, value"""),
     "q_diag_group_join": _w(f"SELECT {_DIAG_SQL} AS diag1_group, COUNT(*) AS n FROM raw_b GROUP BY 1"),
     "q_code_groups": _w(f"""SELECT {_DISCHARGE_SQL} AS discharge_group, {_ADMISSION_SQL} AS admission_type_grp,
        COUNT(*) AS n FROM raw_b GROUP BY 1, 2"""),
+    "q_analytic_nulls": _w("""SELECT column_name, nulls, SUM(nulls) OVER () AS total_null_cells
+FROM (UNPIVOT (SELECT """ + ", ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in
+                                      ["encounter_id", "patient_nbr", "readmitted_30", "race", "gender",
+                                       "age_band", "age_ordinal"] + COUNT_COLS +
+                                      ["a1c_tested", "glucose_tested", "med_changed", "on_diabetes_med",
+                                       "on_insulin", "diag1_group", "discharge_group", "admission_type_grp"])
+                         + """ FROM analytic) ON COLUMNS(*) INTO NAME column_name VALUE nulls)"""),
     "q_target_balance": _w("""SELECT readmitted_30, COUNT(*) AS n,
        ROUND(100.0 * COUNT(*) / (SELECT COUNT(*) FROM analytic), 2) AS pct FROM analytic GROUP BY readmitted_30"""),
     "q_code_labels": """SELECT r_name, n_name, COUNT(*) AS customers
