@@ -1,14 +1,15 @@
 """Ranking of aggregated groups and ordered top-N.
 
-Ranks here run over a global order, which Spark evaluates in one task; they
-are only ever applied to aggregated results (one row per group, after any
-minimum-volume filter), never to row-level data."""
+A RANK over a global order would run in one task.  Here ``RANK = 1 + number
+of rows with a strictly better value``: rows are reduced to (value, count)
+pairs and the counts cumulated with the adaptive running totals, so a large
+number of groups is ranked without a single-task sort."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,12 +18,22 @@ def min_volume(grouped: DataFrame, count_col: str, minimum: int) -> DataFrame:
     return grouped.where(F.col(count_col) >= minimum)
 
 
+def rank_by(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
+    """RANK() OVER (ORDER BY value [DESC]) as int, ties kept (NULLs rank
+    last when descending and first when ascending, as Spark orders them)."""
+    from cohortlens.operators.ordering import running_totals
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    o = F.col(value).desc() if descending else F.col(value).asc()
+    before = running_totals(counts, [], [o], {"__before": F.col("__c")}, inclusive=False)
+    ranks = before.select(F.col(value).alias("__v"),
+                          (F.coalesce(F.col("__before"), F.lit(0)) + 1).cast("int").alias(name))
+    return df.join(ranks, df[value].eqNullSafe(ranks["__v"]), "left").drop("__v")
+
+
 def dual_rank(grouped: DataFrame, value: str, worst: str = "worst_rank",
               best: str = "best_rank") -> DataFrame:
     """RANK() by value descending and ascending, ties kept."""
-    return (grouped
-            .withColumn(worst, F.rank().over(Window.orderBy(F.col(value).desc())))
-            .withColumn(best, F.rank().over(Window.orderBy(F.col(value).asc()))))
+    return rank_by(rank_by(grouped, value, worst, descending=True), value, best)
 
 
 def rank_filter(ranked: DataFrame, n: int, worst: str = "worst_rank",
