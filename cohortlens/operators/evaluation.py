@@ -84,19 +84,24 @@ def _confusion_cols(tp, fp, fn, n, digits):
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLDS,
                     label: str = "label", score: str = "score", digits: int = 4) -> DataFrame:
     """Precision, recall, F1 (zero when undefined) and % flagged at each
-    cut-off (flag = score >= t).  The distinct-score counts meet a broadcast
-    of the fixed threshold list."""
-    spark = df.sparkSession
+    cut-off (flag = score >= t).  One aggregate over the distinct-score counts
+    holds a conditional sum per cut-off; the wide row is unpivoted to one row
+    per cut-off."""
     sc = score_counts(df, label, score)
-    th = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    g = (sc.crossJoin(F.broadcast(th))
-         .groupBy("threshold")
-         .agg(F.sum(F.when(F.col(score) >= F.col("threshold"), F.col("pos")).otherwise(0)).alias("tp"),
-              F.sum(F.when(F.col(score) >= F.col("threshold"), F.col("neg")).otherwise(0)).alias("fp"),
-              F.sum(F.when(F.col(score) < F.col("threshold"), F.col("pos")).otherwise(0)).alias("fn"),
-              F.sum("n").alias("n")))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return g.select("threshold", *_confusion_cols(tp, fp, fn, F.col("n"), digits))
+    s = F.col(score)
+    aggs = [F.sum("pos").alias("__P"), F.sum("n").alias("__N")]
+    for i, t in enumerate(thresholds):
+        aggs.append(F.struct(F.lit(float(t)).alias("threshold"),
+                             F.sum(F.when(s >= t, F.col("pos")).otherwise(0)).alias("tp"),
+                             F.sum(F.when(s >= t, F.col("neg")).otherwise(0)).alias("fp"))
+                    .alias(f"t{i}"))
+    wide = sc.agg(*aggs)
+    names = [f"t{i}" for i in range(len(thresholds))]
+    long = wide.unpivot(["__P", "__N"], names, "__k", "__s").select(
+        "__P", "__N", "__s.threshold", "__s.tp", "__s.fp")
+    tp, fp = F.col("tp"), F.col("fp")
+    fn = F.col("__P") - tp
+    return long.select("threshold", *_confusion_cols(tp, fp, fn, F.col("__N"), digits))
 
 
 def capacity_threshold(df: DataFrame, capacity: float, score: str = "score") -> DataFrame:

@@ -44,11 +44,15 @@ def fit_logistic(train: DataFrame, features: str, label: str, c: float = 1.0,
                  max_iter: int = MAX_ITER):
     """L2 logistic regression with the penalty of ``C`` on the summed loss:
     Spark minimises mean loss + regParam/2 |w|^2, so regParam = 1/(C n)."""
-    n = train.count()
+    data = train.select(features, F.col(label).cast("double").alias(label)).persist()
+    n = data.count()  # also fills the cache the optimiser iterates over
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                             tol=1e-6, fitIntercept=True)
-    return lr.fit(train.withColumn(label, F.col(label).cast("double")))
+    try:
+        return lr.fit(data)
+    finally:
+        data.unpersist()
 
 
 def score(model, df: DataFrame, name: str = "predicted_prob") -> DataFrame:
