@@ -31,40 +31,53 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
                                  F.count(F.lit(1)).alias("n"))
 
 
+def _desc_cumulatives(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Per distinct score (highest first): pos, neg, n and the inclusive
+    cumulative true positives, false positives and rows, with the class
+    totals ``__P`` / ``__N`` attached (one-row broadcast)."""
+    sc = score_counts(df, label, score)
+    cum = running_totals(sc, [], [F.col(score).desc()],
+                         {"cum_tp": F.col("pos"), "cum_fp": F.col("neg"), "cum_all": F.col("n")})
+    tot = sc.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
+    return cum.crossJoin(F.broadcast(tot))
+
+
+def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score",
+                    digits: int = 6) -> DataFrame:
+    """One pass over the distinct-score cumulatives, one row:
+
+    * ``auc`` — exact, tie-aware ROC-AUC: each positive at score s beats the
+      negatives strictly below s (``N - cum_fp``) and ties half of those at s;
+    * ``average_precision`` — sum of (R_n - R_n-1) * P_n over thresholds (not
+      the trapezoid);
+    * ``prevalence`` — the baseline AP is compared with."""
+    c = _desc_cumulatives(df, label, score)
+    dec = lambda x: F.col(x).cast("decimal(38,0)")  # noqa: E731  (no overflow)
+    num2 = F.sum(2 * dec("pos") * (dec("__N") - dec("cum_fp")) + dec("pos") * dec("neg"))
+    p, n = F.first("__P").cast("double"), F.first("__N").cast("double")
+    return c.agg(
+        F.round(num2.cast("double") / (F.lit(2.0) * p * n), digits).alias("auc"),
+        F.round(F.sum(F.col("pos") / F.col("__P") * (F.col("cum_tp") / F.col("cum_all"))),
+                digits).alias("average_precision"),
+        F.round(p / (p + n), digits).alias("prevalence"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             digits: int = 6) -> DataFrame:
     """Exact, tie-aware ROC-AUC (ties count one half): one row ``auc``."""
-    sc = score_counts(df, label, score)
-    cum = running_totals(sc, [], [F.col(score).asc()], {"cum_neg": F.col("neg")})
-    dec = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  (no overflow)
-    num2 = F.sum(2 * dec("pos") * (dec("cum_neg") - dec("neg")) + dec("pos") * dec("neg"))
-    return cum.agg(F.round(num2.cast("double") /
-                           (F.lit(2.0) * F.sum("pos").cast("double") * F.sum("neg").cast("double")),
-                           digits).alias("auc"))
+    return ranking_metrics(df, label, score, digits).select("auc")
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       digits: int = 6) -> DataFrame:
-    """AP = sum over distinct thresholds of (R_n - R_n-1) * P_n (not the
-    trapezoid), plus the prevalence it should be compared with."""
-    sc = score_counts(df, label, score)
-    cum = running_totals(sc, [], [F.col(score).desc()],
-                         {"cum_tp": F.col("pos"), "cum_all": F.col("n")})
-    tot = sc.agg(F.sum("pos").alias("__P"), F.sum("n").alias("__N"))
-    return (cum.crossJoin(F.broadcast(tot))
-            .agg(F.round(F.sum(F.col("pos") / F.col("__P") * (F.col("cum_tp") / F.col("cum_all"))),
-                         digits).alias("average_precision"),
-                 F.round(F.first("__P") / F.first("__N"), digits).alias("prevalence")))
+    """Average precision and the prevalence baseline (one row)."""
+    return ranking_metrics(df, label, score, digits).select("average_precision", "prevalence")
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, highest first, with the
     origin row (threshold NULL)."""
-    sc = score_counts(df, label, score)
-    cum = running_totals(sc, [], [F.col(score).desc()],
-                         {"cum_tp": F.col("pos"), "cum_fp": F.col("neg")})
-    tot = sc.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    pts = cum.crossJoin(F.broadcast(tot)).select(
+    pts = _desc_cumulatives(df, label, score).select(
         F.col(score).cast("double").alias("threshold"),
         (F.col("cum_fp") / F.col("__N")).alias("fpr"), (F.col("cum_tp") / F.col("__P")).alias("tpr"))
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)],
@@ -185,6 +198,26 @@ def tiers(df: DataFrame, score: str = "score", high: float = TIER_HIGH,
             .drop("__thr_hi", "__thr_med"))
 
 
+def deciles_and_tiers(df: DataFrame, score: str = "score", q: int = N_BINS,
+                      high: float = TIER_HIGH, medium: float = TIER_MEDIUM,
+                      decile: str = "decile", tier: str = "risk_tier") -> DataFrame:
+    """``qcut`` bins and risk tiers from ONE exact quantile pass: the tier
+    cut-offs (the 1-high and 1-medium quantiles) are decile edges whenever
+    they fall on the bin grid, and are added to the same pass otherwise."""
+    probs = [i / q for i in range(q)]
+    allp = probs + [p for p in (1.0 - high, 1.0 - medium) if p not in probs]
+    e = quantile_array(df, score, allp).select(
+        F.array_distinct(F.slice("edges", 1, q)).alias("__edges"),
+        F.col("edges")[allp.index(1.0 - high)].alias("__thr_hi"),
+        F.col("edges")[allp.index(1.0 - medium)].alias("__thr_med"))
+    p = F.col(score)
+    return (df.crossJoin(F.broadcast(e))
+            .withColumn(decile, F.greatest(F.size(F.filter("__edges", lambda x: x < p)) - 1, F.lit(0)))
+            .withColumn(tier, F.when(p >= F.col("__thr_hi"), "High")
+                        .when(p >= F.col("__thr_med"), "Medium").otherwise("Low"))
+            .drop("__edges", "__thr_hi", "__thr_med"))
+
+
 def tier_rates(tiered: DataFrame, label: str = "label", name: str = "risk_tier",
                digits: int = 1) -> DataFrame:
     return tiered.groupBy(name).agg(F.count(F.lit(1)).alias("n"),

@@ -270,7 +270,7 @@ def fitted(spark, sf_dir):
 def q_model_metrics(spark, sf_dir):
     scored, _, _ = fitted(spark, sf_dir)
     s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    return ev.roc_auc(s).crossJoin(ev.average_precision(s))
+    return ev.ranking_metrics(s)
 
 
 def q_model_deciles(spark, sf_dir):
@@ -288,7 +288,7 @@ def q_model_sweep(spark, sf_dir):
 def q_scored_patients(spark, sf_dir):
     scored, _, _ = fitted(spark, sf_dir)
     s = scored.withColumnRenamed("predicted_prob", "score")
-    s = ev.tiers(ev.qcut(s, "score", name="risk_decile"), "score")
+    s = ev.deciles_and_tiers(s, "score", decile="risk_decile")
     return s.select("encounter_id", *NUMERIC, *CATEGORICAL, "age_band",
                     F.bround("score", 4).alias("predicted_prob"),
                     F.col("readmitted_30").alias("actual_readmit"), "risk_decile", "risk_tier")
@@ -297,8 +297,8 @@ def q_scored_patients(spark, sf_dir):
 def q_model_kpi(spark, sf_dir):
     scored, data, _ = fitted(spark, sf_dir)
     s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    tiered = ev.tiers(s)
-    table = ev.decile_table(ev.qcut(s))
+    tiered = ev.deciles_and_tiers(s)
+    table = ev.decile_table(tiered)
     pop = data.select(F.col("readmitted_30").alias("label"))
     return ev.kpi_strip(tiered, pop, ev.roc_auc(s), table)
 

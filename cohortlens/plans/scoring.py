@@ -74,7 +74,7 @@ def q_gains_curve(spark, sf_dir):
 
 
 def q_scored_table(spark, sf_dir):
-    s = ev.tiers(ev.qcut(scores(spark, sf_dir)))
+    s = ev.deciles_and_tiers(scores(spark, sf_dir))
     return s.select("id", F.bround("score", 4).alias("predicted_prob"),
                     F.col("label").alias("actual"), F.col("decile").alias("risk_decile"),
                     "risk_tier")
@@ -82,8 +82,8 @@ def q_scored_table(spark, sf_dir):
 
 def q_kpi(spark, sf_dir):
     s = scores(spark, sf_dir)
-    scored = ev.tiers(s)
-    table = ev.decile_table(ev.qcut(s))
+    scored = ev.deciles_and_tiers(s)
+    table = ev.decile_table(scored)
     return ev.kpi_strip(scored, s, ev.roc_auc(s), table)
 
 

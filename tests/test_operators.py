@@ -165,3 +165,11 @@ def test_multi_factor_equals_union_form(spark, sf_dir):
     key = lambda r: (r["factor"], r["has_flag"])
     assert sorted(map(tuple, stacked), key=str) == sorted(
         map(tuple, union.select("factor", "has_flag", "appointments", "rate_pct").collect()), key=str)
+
+
+def test_deciles_and_tiers_one_pass_equals_separate(spark, sf_dir):
+    from cohortlens.sources.proxies import scores
+    s = scores(spark, sf_dir)
+    a = ev.deciles_and_tiers(s).select("id", "decile", "risk_tier")
+    b = ev.tiers(ev.qcut(s)).select("id", "decile", "risk_tier")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
