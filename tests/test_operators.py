@@ -173,3 +173,28 @@ def test_deciles_and_tiers_one_pass_equals_separate(spark, sf_dir):
     a = ev.deciles_and_tiers(s).select("id", "decile", "risk_tier")
     b = ev.tiers(ev.qcut(s)).select("id", "decile", "risk_tier")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_logistic_equals_c1_penalised_optimum(spark):
+    """regParam = 1/(C n) reproduces the optimum of sum(log-loss) + |w|^2 / 2
+    with an unpenalised intercept (Newton solve in numpy)."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    rng = np.random.default_rng(3)
+    n, p = 400, 3
+    X = rng.normal(size=(n, p))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(X @ [0.8, -0.5, 0.3] - 1.0)))).astype(float)
+    schema = StructType([StructField("features", VectorUDT()), StructField("y", DoubleType())])
+    df = spark.createDataFrame([(Vectors.dense(X[i]), float(y[i])) for i in range(n)], schema)
+    m = models.fit_logistic(df, "features", "y")
+    Z = np.hstack([X, np.ones((n, 1))])
+    w = np.zeros(p + 1)
+    pen = np.diag([1.0] * p + [0.0])
+    for _ in range(50):
+        mu = 1 / (1 + np.exp(-Z @ w))
+        grad = Z.T @ (mu - y) + pen @ w
+        hess = Z.T @ (Z * (mu * (1 - mu))[:, None]) + pen
+        w -= np.linalg.solve(hess, grad)
+    got = np.append(m.coefficients.toArray(), m.intercept)
+    assert np.allclose(got, w, atol=1e-4)
