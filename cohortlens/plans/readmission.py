@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from cohortlens.functions import (
     band_ordinal, code_group, diag_group, flag, measured_flag, recode_sentinel,
 )
-from cohortlens.functions.recode import DIAG_GROUPS, diag_prefix_rules, safe_double, stars_from_z
+from cohortlens.functions.recode import (
+    DIAG_GROUPS, diag_prefix_rules, direction, safe_double, stars_from_z,
+)
 from cohortlens.operators import evaluation as ev
 from cohortlens.operators import features as fe
 from cohortlens.operators import history, lookup, models, profiling
@@ -240,9 +242,11 @@ def q_odds_2x2(spark, sf_dir):
     a = analytic_table(spark, sf_dir).withColumn(
         "discharge_not_home", flag(F.col("discharge_group") == "Transferred/Other").cast("double"))
     odds = models.fit_glm_odds(a, ["discharge_not_home"], "readmitted_30")
-    return odds.select("predictor", F.round("odds_ratio", 4).alias("odds_ratio"),
+    reported = F.round("odds_ratio", 4)
+    return odds.select("predictor", reported.alias("odds_ratio"),
                        F.round("std_error", 4).alias("std_error"),
-                       stars_from_z("z").alias("signif"), "direction")
+                       stars_from_z("z").alias("signif"),
+                       direction(reported).alias("direction"))
 
 
 # ------------------------------------------------------------ model (rows)
@@ -471,7 +475,7 @@ FROM (SELECT CORR({VIF_PAIR[0]}, {VIF_PAIR[1]}) AS r FROM analytic),
        CASE WHEN ABS(ln(odds_ratio) / se) > {3.2905267314919255!r} THEN '***'
             WHEN ABS(ln(odds_ratio) / se) > {2.5758293035489004!r} THEN '**'
             WHEN ABS(ln(odds_ratio) / se) > {1.959963984540054!r} THEN '*' ELSE '' END AS signif,
-       CASE WHEN odds_ratio > 1 THEN 'Increases risk' ELSE 'Decreases risk' END AS direction
+       CASE WHEN ROUND(odds_ratio, 4) > 1 THEN 'Increases risk' ELSE 'Decreases risk' END AS direction
 FROM (SELECT CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c) AS odds_ratio,
              SQRT(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / d) AS se
       FROM (SELECT COUNT(*) FILTER (WHERE x = 1 AND readmitted_30 = 1) AS a,
