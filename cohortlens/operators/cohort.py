@@ -89,9 +89,11 @@ def above_median(totals: DataFrame, value: str, name: str = "above_median") -> D
             .withColumn(name, F.col(value) >= F.col("median_total")))
 
 
-def peak(totals: DataFrame, value: str, key: str) -> DataFrame:
-    """The top group (first key on ties): a top-1, so a TakeOrderedAndProject."""
-    return totals.orderBy(F.col(value).desc(), F.col(key).asc()).limit(1)
+def peak(totals: DataFrame, value: str, key: str, tie_order: str | None = None) -> DataFrame:
+    """The top group; ties go to the first in ``tie_order`` (a display-order
+    column) or else the smallest key.  A top-1: TakeOrderedAndProject."""
+    tie = F.col(tie_order).asc() if tie_order else F.col(key).asc()
+    return totals.orderBy(F.col(value).desc_nulls_last(), tie).limit(1)
 
 
 def entity_histogram(df: DataFrame, entity: str, bucket_of, bucket_name: str,

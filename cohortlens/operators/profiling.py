@@ -78,7 +78,8 @@ def sentinel_audit(df: DataFrame, sentinel: str = "?", digits: int = 2) -> DataF
     long = counts.unpivot(["__total"], cols, "column_name", "n")
     return (long.where(F.col("n") > 0)
             .select("column_name", "n",
-                    F.round(100.0 * F.col("n") / F.col("__total"), digits).alias("pct")))
+                    F.round(100.0 * F.col("n") / F.col("__total"), digits).alias("pct"))
+            .orderBy(F.col("n").desc(), "column_name"))
 
 
 def null_audit(df: DataFrame, with_types: bool = True) -> DataFrame:
@@ -129,7 +130,8 @@ def exclusion_evidence(df: DataFrame, code: str, outcome: Column, flagged: Seque
             .agg(F.count(F.lit(1)).alias("n"),
                  F.round(100.0 * F.avg(F.when(outcome, 1).otherwise(0)), digits).alias("rate_pct"))
             .withColumn("excluded", F.col(code).isin(list(flagged)))
-            .withColumn("code_order", F.col(code).try_cast("bigint")))
+            .withColumn("code_order", F.col(code).try_cast("bigint"))
+            .orderBy("code_order", code))
 
 
 def reconcile(stages: Mapping[str, DataFrame]) -> DataFrame:

@@ -99,13 +99,16 @@ def q_above_median(spark, sf_dir):
 
 
 def q_peak_slot(spark, sf_dir):
-    return cohort.peak(_revenue(sales_clean(spark, sf_dir), ["time_of_sale"]), "revenue",
-                       "time_of_sale")
+    """Busiest slot of the fixed display order (first listed on ties)."""
+    rev = _revenue(sales_clean(spark, sf_dir), ["time_of_sale"])
+    ordered = lookup.ordered_dimension(spark, rev, "time_of_sale", SLOT_ORDER)
+    return cohort.peak(ordered, "revenue", "time_of_sale", "display_order").drop("display_order")
 
 
 def q_peak_weekday(spark, sf_dir):
-    return cohort.peak(_revenue(sales_clean(spark, sf_dir), ["day_of_week"]), "revenue",
-                       "day_of_week")
+    rev = _revenue(sales_clean(spark, sf_dir), ["day_of_week"])
+    ordered = lookup.ordered_dimension(spark, rev, "day_of_week", WEEKDAY_ORDER)
+    return cohort.peak(ordered, "revenue", "day_of_week", "display_order").drop("display_order")
 
 
 def q_sales_null_audit(spark, sf_dir):
@@ -188,8 +191,10 @@ FROM (SELECT transaction_type, COUNT(*) AS n FROM sales_k WHERE transaction_type
       GROUP BY transaction_type)"""),
     "q_above_median": _w(f"""SELECT item_name, revenue, median_total, revenue >= median_total AS above_median
 FROM ({_rev('item_name')}) CROSS JOIN (SELECT quantile_cont(revenue, 0.5) AS median_total FROM ({_rev('item_name')}))"""),
-    "q_peak_slot": _w(_rev("time_of_sale") + " ORDER BY revenue DESC, time_of_sale LIMIT 1"),
-    "q_peak_weekday": _w(_rev("day_of_week") + " ORDER BY revenue DESC, day_of_week LIMIT 1"),
+    "q_peak_slot": _w("SELECT time_of_sale, revenue FROM (" + _ordered("time_of_sale", SLOT_ORDER)
+                      + ") ORDER BY revenue DESC NULLS LAST, display_order LIMIT 1"),
+    "q_peak_weekday": _w("SELECT day_of_week, revenue FROM (" + _ordered("day_of_week", WEEKDAY_ORDER)
+                         + ") ORDER BY revenue DESC NULLS LAST, display_order LIMIT 1"),
     "q_sales_null_audit": "WITH " + SALES_SQL + """
 SELECT column_name, nulls FROM (UNPIVOT (SELECT
   COUNT(*) FILTER (WHERE order_key IS NULL) AS order_key,
