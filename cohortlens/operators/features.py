@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.lookup import checked_broadcast
 from cohortlens.operators.ordering import running_totals
 
 SEED = 42
@@ -40,7 +41,9 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = TE
                             [F.col(h), F.col(key)], {"__rn": F.lit(1).cast("bigint")})
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__class_n"))
     cut = F.ceil(F.col("__class_n") * F.lit(test_share)).cast("bigint")
-    out = ranked.join(sizes, label)  # one row per class; AQE broadcasts it on size
+    # One row per class, broadcast after a size check: the join never
+    # shuffles the rows of a dominant class into one task.
+    out = ranked.join(checked_broadcast(sizes), label)
     is_test = F.col("__rn") <= cut
     return (out.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .withColumn("fold", F.when(is_test, F.lit(None))
@@ -84,7 +87,7 @@ def dummies_long(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame
     lv = levels.where(~F.col("is_reference")).select("feature", "level")
     long = df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [key], list(cols), "feature", "value")
-    return (long.join(lv, "feature")
+    return (long.join(checked_broadcast(lv), "feature")
             .select(key, F.concat_ws("_", "feature", "level").alias("dummy"),
                     F.when(F.col("value") == F.col("level"), 1.0).otherwise(0.0).alias("value")))
 

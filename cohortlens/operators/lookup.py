@@ -12,6 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Row bound under which a data-derived dimension is broadcast after counting.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``dim`` only after counting it: at most ``max_rows`` rows ->
+    broadcast hint; larger -> returned as is, and the planner (AQE, with skew
+    join handling) picks a shuffle join.  For small aggregates and dimension
+    tables whose size is not fixed by construction."""
+    n = dim.count()
+    return F.broadcast(dim) if n <= max_rows else dim
+
+
 def attach(df: DataFrame, other: DataFrame, key: Sequence[str] | str,
            cols: Sequence[str]) -> DataFrame:
     """Inner equi-join on the entity key bringing ``cols`` from ``other``
@@ -54,10 +67,10 @@ def range_lookup(df: DataFrame, value: Column, ranges: DataFrame,
 
 def code_labels(df: DataFrame, dim: DataFrame, code: str, dim_code: str,
                 label: str, name: str | None = None) -> DataFrame:
-    """Code -> label left join against a dimension table.  No broadcast hint:
-    the dimension's size is measured at runtime by AQE."""
+    """Code -> label left join against a dimension table, broadcast after a
+    size check (a hot code then costs nothing)."""
     d = dim.select(F.col(dim_code).alias("__code"), F.col(label).alias(name or label))
-    return df.join(d, df[code] == d["__code"], "left").drop("__code")
+    return df.join(checked_broadcast(d), df[code] == d["__code"], "left").drop("__code")
 
 
 def split_stacked_sections(df: DataFrame, id_col: str = "id", desc_col: str = "description",

@@ -201,9 +201,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
              .union(targets.select(*by, "prob_index", F.col("__khi").alias("__k"), F.lit(1).alias("__side"))))
     cond = (F.col("__k") >= F.col("__first")) & (F.col("__k") <= F.col("__last"))
     if by:
-        # One row per (group, probability, side): AQE broadcasts it when its
-        # measured size is small, otherwise it is an equi-join on the group.
-        found = picks.join(cum, by, "inner").where(cond).select(
+        # One row per (group, probability, side), broadcast after a size
+        # check so a dominant group is never shuffled into one task.
+        from cohortlens.operators.lookup import checked_broadcast
+        found = cum.join(checked_broadcast(picks), by, "inner").where(cond).select(
             *by, "prob_index", "__side", "__v")
     else:
         # 2 * len(probs) rows: a fixed bound.

@@ -65,3 +65,26 @@ ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
 def test_rows_only_queries_run(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.count() >= 1
+
+
+def test_typed_csv_read_and_materialize(spark, sf_dir):
+    from cohortlens.plans.sales import sales
+    s = sales(spark, sf_dir).select("order_key", "quantity", "transaction_amount", "time_of_sale")
+    out = os.path.join(tempfile.mkdtemp(prefix="cl-typed-"), "sales")
+    export.write_csv(s, out)
+    typed = staging.read_typed_csv(spark, out, "order_key bigint, quantity int, "
+                                               "transaction_amount decimal(18,2), time_of_sale string")
+    assert dict(typed.dtypes)["transaction_amount"] == "decimal(18,2)"
+    assert typed.agg(F.sum("transaction_amount")).first()[0] == s.agg(F.sum("transaction_amount")).first()[0]
+    stage = staging.materialize_stage(typed, "sales_stage")
+    assert spark.table("sales_stage").count() == s.count() == stage.count()
+
+
+def test_checked_broadcast(spark):
+    from cohortlens.operators.lookup import checked_broadcast
+    small = spark.range(10)
+    big = spark.range(100)
+    j = spark.range(1000).join(checked_broadcast(small, max_rows=10), "id")
+    assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
+    j2 = spark.range(1000).join(checked_broadcast(big, max_rows=10), "id")
+    assert j2.count() == 100
