@@ -49,3 +49,17 @@ def materialize_stage(df: DataFrame, name: str, fmt: str = "parquet") -> DataFra
     out = spark.read.format(fmt).load(path)
     out.createOrReplaceTempView(name)
     return out
+
+
+def read_csv_lines_in_order(spark: SparkSession, path: str, schema: str,
+                            line_col: str = "__line") -> DataFrame:
+    """Read a delimited text file keeping its line order: each line is
+    parsed with ``from_csv`` (quoted fields keep their commas, the text
+    'NULL' stays text) and tagged with a monotonically increasing id, which
+    follows file order within and across the partitions of a read.  Meant for
+    small lookup files whose sections are defined by position."""
+    from pyspark.sql import functions as F
+    lines = spark.read.text(path)
+    parsed = F.from_csv(F.col("value"), schema, {"nullValue": "\u0000"})
+    return lines.select(parsed.alias("__r"), F.monotonically_increasing_id().alias(line_col)) \
+        .select("__r.*", line_col)

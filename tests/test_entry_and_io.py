@@ -88,3 +88,19 @@ def test_checked_broadcast(spark):
     assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
     j2 = spark.range(1000).join(checked_broadcast(big, max_rows=10), "id")
     assert j2.count() == 100
+
+
+def test_stacked_sections_from_file(spark):
+    from cohortlens.operators.lookup import split_stacked_sections
+    text = ("type_id,description\n1,Emergency\n2,Urgent\n6,NULL\n,\n"
+            "disp_id,description\n1,Discharged to home\n2,\"Transferred, other\"\n"
+            "3, Expired\n,\nsrc_id,description\n7,Referral\n")
+    d = tempfile.mkdtemp(prefix="cl-lookup-")
+    with open(os.path.join(d, "mapping.csv"), "w") as fh:
+        fh.write(text)
+    lines = staging.read_csv_lines_in_order(spark, d, "id string, description string")
+    out = split_stacked_sections(lines)
+    sizes = {r["section"]: r["n"] for r in out.groupBy("section").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {"type_id": 3, "disp_id": 3, "src_id": 1}
+    desc = {r["description"] for r in out.collect()}
+    assert {"NULL", "Transferred, other", "Expired"} <= desc
