@@ -19,6 +19,10 @@ same exchange may cut at different keys.  The slices are therefore computed
 once and checkpointed (reliably, to the shared ``spark.checkpoint.dir``)
 before the carry branch and the final join read them: every consumer sees the
 same partition ids, lineage is cut, and a lost executor only costs a re-read.
+The checkpoint is read twice: one filtered scan yields one row per slice
+(its total), from which the partition ends and carries are built; the final
+scan adds the carries through a broadcast join.  No full-table aggregation
+or shuffle follows the checkpoint.
 """
 
 from __future__ import annotations
@@ -110,38 +114,46 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
     ranged = (base.repartitionByRange(n, *[F.col(b) for b in by], *order)
               .withColumn(PID, F.spark_partition_id()))
 
-    w_local = (Window.partitionBy(PID, *by).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = materialize(ranged.select("*", *[F.sum(t).over(w_local).alias(f"__loc_{t}")
-                                             for t in sums.values()]))
-    ranged = local
-
-    # Slices that may continue from an earlier partition.
+    # One window pass per slice (partition x entity): the running sum, the
+    # slice total and a first-row tag share partitioning and ordering, so no
+    # extra exchange or sort.  Checkpointed once; read twice below (one
+    # filtered scan for the per-slice rows, one for the final join).
+    w_ord = Window.partitionBy(PID, *by).orderBy(*order)
+    w_local = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_slice = Window.partitionBy(PID, *by)
+    local = materialize(ranged.select(
+        "*", *[F.sum(t).over(w_local).alias(f"__loc_{t}") for t in sums.values()],
+        *[F.sum(t).over(w_slice).alias(f"__tot_{t}") for t in sums.values()],
+        (F.row_number().over(w_ord) == 1).alias("__slice_head")))
+
+    # One row per slice; kept in memory while the small tables below are built.
+    slices = local.where("__slice_head").select(
+        PID, *by, *[f"__tot_{t}" for t in sums.values()]).persist()
     if by:
-        # First and last entity of every partition, in one aggregate.  A
-        # single key column aggregates with plain min/max (hash aggregate,
-        # no sort of the slices); a composite key uses min/max of a struct.
+        # Only the first and last entity of a partition can continue across
+        # a boundary.  A single key column aggregates with plain min/max (hash
+        # aggregate); a composite key uses min/max of a struct.
         if len(by) == 1:
-            lo, hi = F.min(by[0]), F.max(by[0])
-            ends = ranged.groupBy(PID).agg(F.array(lo, hi).alias("__k"))
+            ends = slices.groupBy(PID).agg(F.array(F.min(by[0]), F.max(by[0])).alias("__k"))
             edge_keys = ends.select(F.explode("__k").alias(by[0])).distinct()
         else:
             key = F.struct(*[F.col(b) for b in by])
-            ends = ranged.groupBy(PID).agg(F.array(F.min(key), F.max(key)).alias("__k"))
+            ends = slices.groupBy(PID).agg(F.array(F.min(key), F.max(key)).alias("__k"))
             edge_keys = (ends.select(F.explode("__k").alias("k"))
                          .select(*[F.col(f"k.{b}").alias(b) for b in by]).distinct())
-        edge_rows = ranged.join(F.broadcast(edge_keys),
-                                _null_safe_on(ranged, edge_keys, by), "left_semi")
+        # At most 2 * n keys: a bound fixed by the partition count.
+        slice_tot = slices.join(F.broadcast(edge_keys),
+                                _null_safe_on(slices, edge_keys, by), "left_semi")
     else:
-        edge_rows = ranged
-    slice_tot = edge_rows.groupBy(PID, *by).agg(
-        *[F.sum(t).alias(f"__tot_{t}") for t in sums.values()])
+        slice_tot = slices
     w_carry = (Window.partitionBy(*by).orderBy(PID) if by else Window.orderBy(PID)
                ).rowsBetween(Window.unboundedPreceding, -1)
     carry = slice_tot.select(
         *[F.col(c).alias(f"__c{c}") for c in [PID, *by]],
         *[F.coalesce(F.sum(f"__tot_{t}").over(w_carry), F.lit(0)).alias(f"__carry_{t}")
-          for t in sums.values()])
+          for t in sums.values()]).persist()
+    carry.count()
+    slices.unpersist()
 
     on = reduce(lambda a, b: a & b,
                 [F.col(c).eqNullSafe(F.col(f"__c{c}")) for c in [PID, *by]])
