@@ -39,7 +39,9 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = TE
     h = "__h"
     ranked = running_totals(df.withColumn(h, seeded_hash(key, seed)), [label],
                             [F.col(h), F.col(key)], {"__rn": F.lit(1).cast("bigint")})
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__class_n"))
+    # Class size = the largest per-class row number: read from the ranked
+    # (checkpointed) rows instead of recomputing the input for a count.
+    sizes = ranked.groupBy(label).agg(F.max("__rn").alias("__class_n"))
     cut = F.ceil(F.col("__class_n") * F.lit(test_share)).cast("bigint")
     # One row per class, broadcast after a size check: the join never
     # shuffles the rows of a dominant class into one task.

@@ -23,6 +23,21 @@ from cohortlens.operators.features import assemble
 from cohortlens.operators.evaluation import roc_auc
 
 MAX_ITER = 2000
+# Rows per partition of an optimiser's input: every iteration is one
+# distributed aggregation, so tiny partitions only add task overhead, while
+# large inputs keep ceil(n / ROWS_PER_FIT_PARTITION) partitions.
+ROWS_PER_FIT_PARTITION = 500_000
+
+
+def fit_input(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persisted optimiser input with partitions sized to its row count
+    (coalesced without a shuffle when that lowers the count); returns the
+    frame and its row count."""
+    n = df.count()
+    parts = max(1, math.ceil(n / ROWS_PER_FIT_PARTITION))
+    if parts < df.rdd.getNumPartitions():
+        df = df.coalesce(parts)
+    return df.persist(), n
 
 
 def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
@@ -44,8 +59,7 @@ def fit_logistic(train: DataFrame, features: str, label: str, c: float = 1.0,
                  max_iter: int = MAX_ITER):
     """L2 logistic regression with the penalty of ``C`` on the summed loss:
     Spark minimises mean loss + regParam/2 |w|^2, so regParam = 1/(C n)."""
-    data = train.select(features, F.col(label).cast("double").alias(label)).persist()
-    n = data.count()  # also fills the cache the optimiser iterates over
+    data, n = fit_input(train.select(features, F.col(label).cast("double").alias(label)))
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                             tol=1e-6, fitIntercept=True)
@@ -70,10 +84,13 @@ def fit_glm_odds(train: DataFrame, cols: Sequence[str], label: str) -> DataFrame
     spark = train.sparkSession
     sds = train.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first().asDict()
     keep = [c for c in cols if sds[c] and sds[c] > 0]
-    data = assemble(train.select(*keep, F.col(label).cast("double").alias(label)), keep)
+    data, _ = fit_input(assemble(train.select(*keep, F.col(label).cast("double").alias(label)), keep))
     glm = GeneralizedLinearRegression(family="binomial", link="logit", regParam=0.0,
                                       maxIter=100, tol=1e-10, labelCol=label, featuresCol="features")
-    m = glm.fit(data)
+    try:
+        m = glm.fit(data)
+    finally:
+        data.unpersist()
     se = m.summary.coefficientStandardErrors  # intercept last
     rows = []
     for i, name in enumerate(keep):
