@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from cohortlens.functions._col import col_of
 
 # The two date layouts found in the sales file, tried in order
-# (day-month-year with dashes, then month/day/year with slashes).
-MIXED_DATE_FORMATS = ("d-M-yyyy", "M/d/yyyy")
+# (day-month-year with dashes, then month/day/year with slashes), each with
+# the text shape it accepts (1-2 digit day and month, 4-digit year).
+MIXED_DATE_FORMATS = (("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+                      ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"))
 
 
 def iso_date(c) -> Column:
@@ -38,9 +40,10 @@ def parse_mixed_date(c, formats=MIXED_DATE_FORMATS) -> Column:
     """First format that parses the trimmed text wins; none -> NULL.
 
     Never throws: impossible dates (30 Feb, month 13), two-digit years and
-    trailing junk all give NULL."""
+    trailing junk all give NULL.  Each format is only tried on text of its
+    shape, so rows in another layout skip the (exception-based) failed parse."""
     s = F.trim(col_of(c))
-    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
+    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_date(s, fmt)) for fmt, shape in formats])
 
 
 def month_key(d) -> Column:
