@@ -55,11 +55,12 @@ def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score",
     dec = lambda x: F.col(x).cast("decimal(38,0)")  # noqa: E731  (no overflow)
     num2 = F.sum(2 * dec("pos") * (dec("__N") - dec("cum_fp")) + dec("pos") * dec("neg"))
     p, n = F.first("__P").cast("double"), F.first("__N").cast("double")
+    # try_divide: a table with one class only gives NULL, not an error.
     return c.agg(
-        F.round(num2.cast("double") / (F.lit(2.0) * p * n), digits).alias("auc"),
-        F.round(F.sum(F.col("pos") / F.col("__P") * (F.col("cum_tp") / F.col("cum_all"))),
-                digits).alias("average_precision"),
-        F.round(p / (p + n), digits).alias("prevalence"))
+        F.round(F.try_divide(num2.cast("double"), F.lit(2.0) * p * n), digits).alias("auc"),
+        F.round(F.sum(F.try_divide(F.col("pos"), F.col("__P"))
+                      * (F.col("cum_tp") / F.col("cum_all"))), digits).alias("average_precision"),
+        F.round(F.try_divide(p, p + n), digits).alias("prevalence"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
@@ -79,7 +80,8 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     origin row (threshold NULL)."""
     pts = _desc_cumulatives(df, label, score).select(
         F.col(score).cast("double").alias("threshold"),
-        (F.col("cum_fp") / F.col("__N")).alias("fpr"), (F.col("cum_tp") / F.col("__P")).alias("tpr"))
+        F.try_divide(F.col("cum_fp"), F.col("__N")).alias("fpr"),
+        F.try_divide(F.col("cum_tp"), F.col("__P")).alias("tpr"))
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)],
                                              "threshold double, fpr double, tpr double")
     return origin.unionByName(pts)
@@ -124,8 +126,8 @@ def capacity_threshold(df: DataFrame, capacity: float, score: str = "score") ->
     return (df.crossJoin(F.broadcast(q))
             .agg(F.first("threshold").alias("threshold"),
                  F.count_if(F.col(score) >= F.col("threshold")).alias("flagged"),
-                 F.round(100.0 * F.count_if(F.col(score) >= F.col("threshold"))
-                         / F.count(F.lit(1)), 1).alias("flagged_pct")))
+                 F.round(F.try_divide(100.0 * F.count_if(F.col(score) >= F.col("threshold")),
+                                      F.count(F.lit(1))), 1).alias("flagged_pct")))
 
 
 def confusion(df: DataFrame, threshold_df: DataFrame, label: str = "label",
@@ -140,9 +142,9 @@ def confusion(df: DataFrame, threshold_df: DataFrame, label: str = "label",
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     n = F.col("tn") + fp + fn + tp
     return c.select("tn", "fp", "fn", "tp",
-                    F.round(100.0 * tp / (tp + fn), 1).alias("recall_pct"),
-                    F.round(100.0 * tp / (tp + fp), 1).alias("precision_pct"),
-                    F.round(100.0 * (tp + fp) / n, 1).alias("flagged_pct"))
+                    F.round(F.try_divide(100.0 * tp, tp + fn), 1).alias("recall_pct"),
+                    F.round(F.try_divide(100.0 * tp, tp + fp), 1).alias("precision_pct"),
+                    F.round(F.try_divide(100.0 * (tp + fp), n), 1).alias("flagged_pct"))
 
 
 def qcut(df: DataFrame, score: str = "score", q: int = N_BINS, name: str = "decile") -> DataFrame:
@@ -169,10 +171,10 @@ def decile_table(binned: DataFrame, label: str = "label", score: str = "score",
     w = Window.orderBy(F.col(bin_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     wall = Window.partitionBy()
     return (g.withColumn("rate_pct", F.round(100.0 * F.col("rate"), digits))
-            .withColumn("capture_pct", F.round(100.0 * F.sum("positives").over(w)
-                                               / F.sum("positives").over(wall), digits))
-            .withColumn("contacted_pct", F.round(100.0 * F.sum("n").over(w)
-                                                 / F.sum("n").over(wall), digits)))
+            .withColumn("capture_pct", F.round(F.try_divide(100.0 * F.sum("positives").over(w),
+                                                            F.sum("positives").over(wall)), digits))
+            .withColumn("contacted_pct", F.round(F.try_divide(100.0 * F.sum("n").over(w),
+                                                              F.sum("n").over(wall)), digits)))
 
 
 def lift(table: DataFrame, baseline: DataFrame, bin_col: str = "decile",
@@ -182,7 +184,7 @@ def lift(table: DataFrame, baseline: DataFrame, bin_col: str = "decile",
     top = table.orderBy(F.col(bin_col).desc()).limit(1).select(F.col("rate").alias("top_rate"))
     return top.crossJoin(baseline).select(
         "top_rate", "baseline_rate",
-        F.round(F.col("top_rate") / F.col("baseline_rate"), digits).alias("lift"))
+        F.round(F.try_divide(F.col("top_rate"), F.col("baseline_rate")), digits).alias("lift"))
 
 
 def tiers(df: DataFrame, score: str = "score", high: float = TIER_HIGH,
@@ -244,11 +246,12 @@ def kpi_strip(scored: DataFrame, population: DataFrame, auc: DataFrame, table: D
     population baseline."""
     y = F.col(label) == 1
     hi = F.col(tier_col) == "High"
+    pct = lambda a, b: F.round(F.try_divide(100.0 * a, b), 1)  # noqa: E731  (NULL on 0)
     s = scored.agg(F.count(F.lit(1)).alias("test_rows"),
-                   F.round(100.0 * F.count_if(hi) / F.count(F.lit(1)), 1).alias("high_tier_share_pct"),
+                   pct(F.count_if(hi), F.count(F.lit(1))).alias("high_tier_share_pct"),
                    F.round(100.0 * F.avg(F.when(hi, F.col(label))), 1).alias("high_tier_rate_pct"),
-                   F.round(100.0 * F.count_if(hi & y) / F.count_if(y), 1).alias("recall_at_high_tier_pct"),
-                   F.round(100.0 * F.count_if(hi & y) / F.count_if(hi), 1).alias("precision_at_high_tier_pct"))
+                   pct(F.count_if(hi & y), F.count_if(y)).alias("recall_at_high_tier_pct"),
+                   pct(F.count_if(hi & y), F.count_if(hi)).alias("precision_at_high_tier_pct"))
     p = population.agg(F.count(F.lit(1)).alias("total_rows"),
                        F.avg(F.col(pop_label)).alias("__base"))
     top = table.orderBy(F.col("decile").desc()).limit(1).select(F.col("rate").alias("__top"))
@@ -257,4 +260,4 @@ def kpi_strip(scored: DataFrame, population: DataFrame, auc: DataFrame, table: D
                     F.round(100.0 * F.col("__base"), 2).alias("baseline_rate_pct"), "model_auc",
                     "high_tier_share_pct", "high_tier_rate_pct", "recall_at_high_tier_pct",
                     "precision_at_high_tier_pct",
-                    F.round(F.col("__top") / F.col("__base"), 2).alias("lift_top_decile")))
+                    F.round(F.try_divide(F.col("__top"), F.col("__base")), 2).alias("lift_top_decile")))

@@ -51,7 +51,8 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFram
     pred = F.col("majority_class")
     return j.agg(F.first("majority_class").alias("majority_class"),
                  F.round(100.0 * F.avg(F.when(pred == y, 1).otherwise(0)), 2).alias("accuracy_pct"),
-                 F.round(100.0 * F.coalesce(F.count_if((pred == 1) & (y == 1)) / F.count_if(y == 1),
+                 F.round(100.0 * F.coalesce(F.try_divide(F.count_if((pred == 1) & (y == 1)),
+                                                         F.count_if(y == 1)),
                                             F.lit(0.0)), 2).alias("recall_pct"))
 
 

@@ -102,7 +102,8 @@ def date_audit(df: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def same_value_share(df: DataFrame, a: Column, b: Column, digits: int = 1) -> DataFrame:
     return df.agg(F.count_if(a == b).alias("same_day"),
-                  F.round(100.0 * F.count_if(a == b) / F.count(F.lit(1)), digits).alias("same_day_pct"))
+                  F.round(F.try_divide(100.0 * F.count_if(a == b), F.count(F.lit(1))),
+                          digits).alias("same_day_pct"))
 
 
 def confounder_crosstab(df: DataFrame, treatment: str, stratum: Column,

@@ -110,7 +110,7 @@ def q_excluded_share(spark, sf_dir):
     raw = raw_encounters(spark, sf_dir)
     ex = F.col("discharge_disposition_id").isin(EXCLUDED_DISPOSITIONS)
     return raw.agg(F.count_if(ex).alias("excluded_rows"),
-                   F.round(100.0 * F.count_if(ex) / F.count(F.lit(1)), 2).alias("excluded_pct"))
+                   F.round(F.try_divide(100.0 * F.count_if(ex), F.count(F.lit(1))), 2).alias("excluded_pct"))
 
 
 def q_numeric_summary(spark, sf_dir):

@@ -60,7 +60,7 @@ def q_headline(spark, sf_dir):
               F.count(F.lit(1)).alias("total_orders"),
               F.sum("quantity").cast("bigint").alias("items_sold"))
     return h.withColumn("avg_order_value",
-                        F.round(F.col("total_revenue") / F.col("total_orders"), 2))
+                        F.round(F.try_divide(F.col("total_revenue"), F.col("total_orders")), 2))
 
 
 def q_rev_by_item(spark, sf_dir):
@@ -123,7 +123,8 @@ def q_topk_share(spark, sf_dir):
     tot = rev.agg(F.sum("revenue").alias("total_revenue"))
     return (t.crossJoin(tot)
             .withColumn("top_k_share_pct",
-                        F.round(100.0 * F.col("top_k_revenue") / F.col("total_revenue"), 1)))
+                        F.round(F.try_divide(100.0 * F.col("top_k_revenue"),
+                                             F.col("total_revenue")), 1)))
 
 
 def q_month_change(spark, sf_dir):
@@ -135,8 +136,8 @@ def q_month_change(spark, sf_dir):
     w = Window.orderBy("month")
     return (m.withColumn("prev_revenue", F.lag("revenue").over(w))
             .withColumn("pct_change",
-                        F.round(100.0 * (F.col("revenue") - F.col("prev_revenue"))
-                                / F.col("prev_revenue"), 1)))
+                        F.round(F.try_divide(100.0 * (F.col("revenue") - F.col("prev_revenue")),
+                                             F.col("prev_revenue")), 1)))
 
 
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("q_")}

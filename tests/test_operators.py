@@ -198,3 +198,14 @@ def test_logistic_equals_c1_penalised_optimum(spark):
         w -= np.linalg.solve(hess, grad)
     got = np.append(m.coefficients.toArray(), m.intercept)
     assert np.allclose(got, w, atol=1e-4)
+
+
+def test_single_class_gives_nulls_not_errors(spark):
+    """ANSI mode: metrics undefined on one class come back NULL."""
+    df = spark.createDataFrame([(0, 0.1), (0, 0.4), (0, 0.7)], "label int, score double")
+    m = ev.ranking_metrics(df).first()
+    assert m["auc"] is None and m["prevalence"] == 0.0
+    c = ev.confusion(df, ev.capacity_threshold(df, 0.2)).first()
+    assert c["recall_pct"] is None and c["tp"] == 0
+    k = ev.kpi_strip(ev.tiers(df), df, ev.roc_auc(df), ev.decile_table(ev.qcut(df))).first()
+    assert k["recall_at_high_tier_pct"] is None and k["lift_top_decile"] is None
