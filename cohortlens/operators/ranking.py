@@ -32,8 +32,19 @@ def rank_by(df: DataFrame, value: str, name: str, descending: bool = False) -> D
 
 def dual_rank(grouped: DataFrame, value: str, worst: str = "worst_rank",
               best: str = "best_rank") -> DataFrame:
-    """RANK() by value descending and ascending, ties kept."""
-    return rank_by(rank_by(grouped, value, worst, descending=True), value, best)
+    """RANK() by value descending (``worst``) and ascending (``best``), ties
+    kept, from ONE cumulative count: with ``ge`` = rows whose value ranks at
+    or before v in descending order (NULLs last), worst = ge - count(v) + 1
+    and best = total - ge + 1 (NULLs first when ascending)."""
+    from cohortlens.operators.ordering import running_totals
+    counts = grouped.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    ge = running_totals(counts, [], [F.col(value).desc_nulls_last()], {"__ge": F.col("__c")})
+    total = counts.agg(F.sum("__c").alias("__total"))
+    ranks = ge.crossJoin(F.broadcast(total)).select(
+        F.col(value).alias("__v"),
+        (F.col("__ge") - F.col("__c") + 1).cast("int").alias(worst),
+        (F.col("__total") - F.col("__ge") + 1).cast("int").alias(best))
+    return grouped.join(ranks, grouped[value].eqNullSafe(ranks["__v"]), "left").drop("__v")
 
 
 def rank_filter(ranked: DataFrame, n: int, worst: str = "worst_rank",

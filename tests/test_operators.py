@@ -209,3 +209,13 @@ def test_single_class_gives_nulls_not_errors(spark):
     assert c["recall_pct"] is None and c["tp"] == 0
     k = ev.kpi_strip(ev.tiers(df), df, ev.roc_auc(df), ev.decile_table(ev.qcut(df))).first()
     assert k["recall_at_high_tier_pct"] is None and k["lift_top_decile"] is None
+
+
+def test_dual_rank_equals_sql_rank_with_nulls(spark):
+    from pyspark.sql import Window
+    vals = [20.0, 20.0, 10.0, None, 35.5, 10.0, None, 7.0]
+    g = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k int, r double")
+    got = {x["k"]: (x["worst_rank"], x["best_rank"]) for x in ranking.dual_rank(g, "r").collect()}
+    want = g.select("k", F.rank().over(Window.orderBy(F.col("r").desc())).alias("w"),
+                    F.rank().over(Window.orderBy(F.col("r").asc())).alias("b"))
+    assert got == {x["k"]: (x["w"], x["b"]) for x in want.collect()}
