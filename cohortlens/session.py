@@ -54,7 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    # Unset: only the case in local tests and the bench.
+    # Unset.  A machine-local folder is only acceptable in local mode (tests,
+    # bench); on a cluster the executors need shared storage.
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the "
+                           "cluster file system); cohortlens checkpoints long lineages there")
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
