@@ -23,6 +23,11 @@ The checkpoint is read twice: one filtered scan yields one row per slice
 (its total), from which the partition ends and carries are built; the final
 scan adds the carries through a broadcast join.  No full-table aggregation
 or shuffle follows the checkpoint.
+
+Inputs that Spark's own size estimate (the statistic ``explain("cost")``
+prints, an upper bound without CBO) puts under
+``cohortlens.window.singleTaskMaxBytes`` use a plain window instead; an
+unknown estimate counts as large.
 """
 
 from __future__ import annotations
@@ -72,6 +77,8 @@ SINGLE_TASK_DEFAULT = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's size estimate of the optimised plan (as ``explain("cost")``
+    shows it); None where the plan is not reachable (e.g. Spark Connect)."""
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except Exception:  # noqa: BLE001 — no estimate: treat as large
