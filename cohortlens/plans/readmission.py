@@ -330,6 +330,10 @@ def q_odds_table(spark, sf_dir):
     return models.fit_glm_odds(wide, NUMERIC + names, "readmitted_30")
 
 
+def q_significant_odds(spark, sf_dir):
+    return models.significant_predictors(q_odds_table(spark, sf_dir))
+
+
 def q_cv_auc(spark, sf_dir):
     data, _ = model_frame(spark, sf_dir)
     return models.cross_validated_auc(data.where(F.col("split") == "train"), "features",
