@@ -94,6 +94,20 @@ def dummies_long(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame
                     F.when(F.col("value") == F.col("level"), 1.0).otherwise(0.0).alias("value")))
 
 
+MAX_LEVELS = 10_000
+
+
+def level_pairs(levels: DataFrame, max_levels: int = MAX_LEVELS) -> list[tuple[str, str]]:
+    """Sorted (feature, level) pairs of the non-reference levels, for building
+    a dense model matrix.  At most ``max_levels + 1`` rows ever reach the
+    driver; more levels than that is an error (use the long form instead)."""
+    rows = (levels.where(~F.col("is_reference")).select("feature", "level")
+            .limit(max_levels + 1).collect())
+    if len(rows) > max_levels:
+        raise ValueError(f"more than {max_levels} dummy levels; use dummies_long")
+    return sorted((r["feature"], r["level"]) for r in rows)
+
+
 def dummy_columns(df: DataFrame, cols: Sequence[str], levels: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
     """Wide drop-first dummies for a model matrix.  ``levels`` are the
     (feature, level) pairs of ``category_levels`` with is_reference false —

@@ -260,8 +260,7 @@ def model_frame(spark: SparkSession, sf_dir: str):
     s = split_table(spark, sf_dir)
     train = s.where(F.col("split") == "train")
     stats = fe.population_stats(train, NUMERIC)
-    lv = fe.category_levels(train, CATEGORICAL).where(~F.col("is_reference"))
-    pairs = sorted((r["feature"], r["level"]) for r in lv.collect())
+    pairs = fe.level_pairs(fe.category_levels(train, CATEGORICAL))
     scaled = fe.standardize(s, NUMERIC, stats, suffix="__z")
     wide, dummy_names = fe.dummy_columns(scaled, CATEGORICAL, pairs)
     data = fe.assemble(wide, [c + "__z" for c in NUMERIC] + dummy_names)
@@ -324,8 +323,7 @@ def q_model_kpi(spark, sf_dir):
 def q_odds_table(spark, sf_dir):
     s = split_table(spark, sf_dir)
     train = s.where(F.col("split") == "train")
-    lv = fe.category_levels(train, CATEGORICAL).where(~F.col("is_reference"))
-    pairs = sorted((r["feature"], r["level"]) for r in lv.collect())
+    pairs = fe.level_pairs(fe.category_levels(train, CATEGORICAL))
     wide, names = fe.dummy_columns(train, CATEGORICAL, pairs)
     return models.fit_glm_odds(wide, NUMERIC + names, "readmitted_30")
 
