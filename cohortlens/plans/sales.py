@@ -37,6 +37,13 @@ def _revenue(df, by):
         "revenue", F.col("revenue").cast("double"))
 
 
+def q_sales_clean(spark, sf_dir):
+    """The cleaned row-level sales table (the CSV extract): parsed date as
+    ISO text, payment label, month, weekday and year."""
+    return dates_as_text(sales_clean(spark, sf_dir)).withColumn(
+        "transaction_amount", F.col("transaction_amount").cast("double"))
+
+
 def q_mixed_dates(spark, sf_dir):
     s = sales_clean(spark, sf_dir)
     return dates_as_text(s.agg(F.count_if(F.col("date").isNotNull()).alias("parsed_rows"),
@@ -170,6 +177,8 @@ LEFT JOIN ({_rev(key)}) r ON r.{key} = d.{key}"""
 
 
 ORACLE = {
+    "q_sales_clean": _w("""SELECT order_key, strftime(date, '%Y-%m-%d') AS date, item_name, quantity,
+       CAST(transaction_amount AS DOUBLE) AS transaction_amount, transaction_type, time_of_sale, month, day_of_week, year FROM sales_k"""),
     "q_mixed_dates": _w("""SELECT COUNT(*) FILTER (WHERE date IS NOT NULL) AS parsed_rows,
        COUNT(*) FILTER (WHERE date IS NULL) AS failed_rows,
        strftime(MIN(date), '%Y-%m-%d') AS first_date, strftime(MAX(date), '%Y-%m-%d') AS last_date FROM sales_k"""),
