@@ -78,7 +78,8 @@ def share_of_known(df: DataFrame, col: str, unknown: str = "Unknown",
     known = counts.where(F.col(col) != unknown)
     extra = counts.agg(F.coalesce(F.sum(F.when(F.col(col) == unknown, F.col("n"))), F.lit(0))
                        .cast("bigint").alias("unknown_n"))
-    return share_of_total(known, "n", "pct_of_known", digits).crossJoin(F.broadcast(extra))
+    return (share_of_total(known, "n", "pct_of_known", digits).crossJoin(F.broadcast(extra))
+            .orderBy(F.col("n").desc(), F.col(col)))
 
 
 def above_median(totals: DataFrame, value: str, name: str = "above_median") -> DataFrame:

@@ -32,7 +32,8 @@ def value_distribution(df: DataFrame, col: str, digits: int = 1,
                        count_name: str = "n", pct_name: str = "pct") -> DataFrame:
     """Count and % of all rows per value (NULL kept as its own group)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias(count_name))
-    return share_of_total(g, count_name, pct_name, digits)
+    return share_of_total(g, count_name, pct_name, digits).orderBy(
+        F.col(count_name).desc(), F.col(col).asc_nulls_last())
 
 
 def value_distribution_long(df: DataFrame, cols: Sequence[str], digits: int = 1) -> DataFrame:
