@@ -37,15 +37,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = TE
     The per-class rank uses the skew-safe running totals: a class holding
     90 % of the rows is still split over many tasks."""
     h = "__h"
-    ranked = running_totals(df.withColumn(h, seeded_hash(key, seed)), [label],
-                            [F.col(h), F.col(key)], {"__rn": F.lit(1).cast("bigint")})
-    # Class size = the largest per-class row number: read from the ranked
-    # (checkpointed) rows instead of recomputing the input for a count.
-    sizes = ranked.groupBy(label).agg(F.max("__rn").alias("__class_n"))
+    # Rank and class size in one pass: the size comes with the running totals
+    # (no extra scan, no join on the class key).
+    out = running_totals(df.withColumn(h, seeded_hash(key, seed)), [label],
+                         [F.col(h), F.col(key)], {"__rn": F.lit(1).cast("bigint")},
+                         group_size="__class_n")
     cut = F.ceil(F.col("__class_n") * F.lit(test_share)).cast("bigint")
-    # One row per class, broadcast after a size check: the join never
-    # shuffles the rows of a dominant class into one task.
-    out = ranked.join(checked_broadcast(sizes), label)
     is_test = F.col("__rn") <= cut
     return (out.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .withColumn("fold", F.when(is_test, F.lit(None))

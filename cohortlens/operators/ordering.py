@@ -93,7 +93,8 @@ def is_small(df: DataFrame) -> bool:
 
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
                    values: dict[str, Column | str], n_partitions: int | None = None,
-                   inclusive: bool = True, strategy: str = "auto") -> DataFrame:
+                   inclusive: bool = True, strategy: str = "auto",
+                   group_size: str | None = None) -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY by ORDER BY order ROWS
     UNBOUNDED PRECEDING .. CURRENT ROW)`` for each ``name: expr`` in
     ``values`` (``inclusive=False`` stops at 1 PRECEDING, NULL on the first
@@ -102,22 +103,30 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
 
     ``strategy``: ``'range'`` always uses the skew-safe scheme, ``'window'``
     a plain window; ``'auto'`` uses the plain window only when the input's
-    size estimate is under ``cohortlens.window.singleTaskMaxBytes``."""
+    size estimate is under ``cohortlens.window.singleTaskMaxBytes``.
+
+    ``group_size`` names an extra column holding the row count of each row's
+    ``by`` group.  On the range path it costs nothing extra: a group inside one
+    slice has its slice total, and a group spanning partitions is an edge group
+    whose total travels in the (bounded) carry table."""
     by = list(by)
     order = [_col(o) for o in order]
     vals = {name: _col(e) for name, e in values.items()}
     if strategy == "window" or (strategy == "auto" and is_small(df)):
         w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-        return df.select("*", *[F.sum(e).over(w).alias(name) for name, e in vals.items()])
+        extra = ([F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(group_size)]
+                 if group_size else [])
+        return df.select("*", *[F.sum(e).over(w).alias(name) for name, e in vals.items()], *extra)
     n = n_partitions or default_partitions(df)
     tmp = {name: f"__v_{i}" for i, name in enumerate(vals)}
     sums = dict(tmp)
-    if not inclusive:
+    need_count = (not inclusive) or bool(group_size)
+    if need_count:
         sums["__rowcount"] = "__v_rowcount"
 
     base = df.select("*", *[e.alias(tmp[name]) for name, e in vals.items()],
-                     *([F.lit(1).cast("bigint").alias("__v_rowcount")] if not inclusive else []))
+                     *([F.lit(1).cast("bigint").alias("__v_rowcount")] if need_count else []))
     ranged = (base.repartitionByRange(n, *[F.col(b) for b in by], *order)
               .withColumn(PID, F.spark_partition_id()))
 
@@ -155,10 +164,13 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
         slice_tot = slices
     w_carry = (Window.partitionBy(*by).orderBy(PID) if by else Window.orderBy(PID)
                ).rowsBetween(Window.unboundedPreceding, -1)
+    w_group = Window.partitionBy(*by) if by else Window.partitionBy()
     carry = slice_tot.select(
         *[F.col(c).alias(f"__c{c}") for c in [PID, *by]],
         *[F.coalesce(F.sum(f"__tot_{t}").over(w_carry), F.lit(0)).alias(f"__carry_{t}")
-          for t in sums.values()]).persist()
+          for t in sums.values()],
+        *([F.sum("__tot___v_rowcount").over(w_group).alias("__gsize")] if group_size else [])
+    ).persist()
     carry.count()
     slices.unpersist()
 
@@ -179,6 +191,8 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
             first = total("__v_rowcount") == 1
             out_cols.append(F.when(first, F.lit(None))
                             .otherwise(total(t) - F.coalesce(F.col(t), F.lit(0))).alias(name))
+    if group_size:
+        out_cols.append(F.coalesce(F.col("__gsize"), F.col("__tot___v_rowcount")).alias(group_size))
     return joined.select(*out_cols)
 
 

@@ -86,3 +86,15 @@ def test_auto_strategy_small_input_uses_window(spark):
         assert not is_small(df)
     finally:
         spark.conf.unset("cohortlens.window.singleTaskMaxBytes")
+
+
+@pytest.mark.parametrize("strategy", ["range", "window"])
+def test_group_size_matches_count(spark, strategy):
+    df, pdf = _skewed(spark, n=3000, seed=21)
+    got = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, n_partitions=12,
+                         strategy=strategy, group_size="g").select("id", "e", "g").toPandas()
+    want = pdf.groupby("e").size()
+    assert (got["g"].to_numpy() == want.loc[got["e"]].to_numpy()).all() and len(got) == len(pdf)
+    glob = running_totals(df, [], ["id"], {"c": F.lit(1)}, n_partitions=12,
+                          strategy=strategy, group_size="g").select("g").distinct().collect()
+    assert [r["g"] for r in glob] == [len(pdf)]
