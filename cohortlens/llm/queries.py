@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality as rules, secrets
+from . import bpe, licenses, packing, quality as rules, secrets
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -15,6 +15,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -52,5 +56,5 @@ SELECT doc_id, n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x)
 FROM s
 """
 
-QUERIES = {"op2_secrets": op2_secrets, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
-ORACLE = {"op2_secrets": secrets.oracle_sql(), "op10_quality": _Q10}
+QUERIES = {"op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
+ORACLE = {"op2_secrets": secrets.oracle_sql(), "op3_licenses": licenses.oracle_sql(), "op10_quality": _Q10}
