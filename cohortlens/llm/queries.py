@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, packing, quality as rules, secrets
+from . import bpe, licenses, packing, permutation_index, pii, quality as rules, secrets, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
 
@@ -19,6 +23,14 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -56,5 +68,5 @@ SELECT doc_id, n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x)
 FROM s
 """
 
-QUERIES = {"op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
+QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
 ORACLE = {"op2_secrets": secrets.oracle_sql(), "op3_licenses": licenses.oracle_sql(), "op10_quality": _Q10}
