@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, packing, permutation_index, pii, quality as rules, secrets, toxicity
+from . import bpe, licenses, line_dedup, ngram_join, packing, permutation_index, pii, quality as rules, secrets, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,5 +77,5 @@ SELECT doc_id, n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x)
 FROM s
 """
 
-QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
+QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
 ORACLE = {"op2_secrets": secrets.oracle_sql(), "op3_licenses": licenses.oracle_sql(), "op10_quality": _Q10}
