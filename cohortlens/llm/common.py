@@ -35,9 +35,23 @@ def text_key(c: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(c)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), c)))
 
 
-def broadcast_below(df: DataFrame, n_rows: int, bound: int) -> DataFrame:
-    """Broadcast only a side whose counted rows are below ``bound``."""
-    return F.broadcast(df) if n_rows <= bound else df
+#: Classes of keys that :func:`sifted` tells apart; bounds what it broadcasts (one long each).
+SIEVE = 1 << 20
+
+
+def sifted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(may, not): the rows whose ``key`` may be among ``keys`` (column of that
+    name) and those for which it isn't, told by hashed classes of keys.
+
+    Rows that aren't wanted thus need not be shuffled for an exact join.  The
+    broadcast side has at most ``SIEVE`` rows, however many keys there are; with
+    very many of them it lets more rows through, and the exact join decides.
+    """
+    mark = "\0class"
+    of = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SIEVE))
+    classes = F.broadcast(keys.select(of.alias(mark)).distinct())
+    marked = rows.withColumn(mark, of)
+    return marked.join(classes, mark, "left_semi").drop(mark), marked.join(classes, mark, "left_anti").drop(mark)
 
 
 def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text",

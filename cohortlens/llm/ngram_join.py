@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Store
-from .common import stored, text_key, text_steps
+from .common import sifted, stored, text_key, text_steps
 
 N, THRESHOLD = 5, 0.8
 PLACES, RUNS, DEPTH, LEAF = 128, 16, 3, 512
@@ -83,55 +83,67 @@ class Shingles:
 
 
 def signature(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum hashes, 16 bits of each (rows in steps, to bound memory)."""
+    """Minimum hashes of 64 bits (rows in steps, to bound memory)."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(tokens), 4096):
         x = tokens[i:i + 4096, None] * a[None, :] + b[None, :]
         np.minimum(least, x.min(axis=0), out=least)
-    return (_mix(least) >> np.uint64(48)).astype(np.uint16)
+    return _mix(least)
 
 
-def sets_table(docs: DataFrame, n: int = N, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, key, id, n, sig, tokens), stored: per row the content key of its
-    text, the digest of its n-gram set (null for the empty set), the set's size, signature and tokens."""
+def short(signature: np.ndarray) -> bytes:
+    """What signatures are compared by: 16 bits of each value."""
+    return (signature >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def first_nodes(signature: np.ndarray, runs: int, threshold: float) -> np.ndarray:
+    """Where a set goes from the roots of the runs; by whole values, so that
+    different values don't meet however many sets there are."""
+    drawn = _mix(_draws(runs, 4)[:, None] ^ _draws(PLACES, 3)[None, :])
+    run, place = np.nonzero(drawn < _limit(threshold))
+    return _mix(drawn[run, place] + signature[place] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _limit(threshold: float) -> np.uint64:
+    return np.uint64(int(2**64 / (threshold * PLACES)))
+
+
+def sets_table(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, key, id, n, sig, nodes, tokens), stored: per row the content key of its
+    text, the digest of its n-gram set (null for the empty set), the set's size,
+    short signature, first nodes and tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, a, b = Shingles(n), _draws(PLACES, 1) | np.uint64(1), _draws(PLACES, 2)
         for part, texts in text_steps(batches):
             sets = make(texts)
+            sigs = [signature(s, a, b) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([signature(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([None if s is None else short(s) for s in sigs], pa.binary()),
+                pa.array([None if s is None else first_nodes(s, runs, threshold) for s in sigs], pa.list_(pa.int64())),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], ["doc_id", "key", "id", "n", "sig", "tokens"])
+            ], ["doc_id", "key", "id", "n", "sig", "nodes", "tokens"])
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, key string, id binary, n long, sig binary, tokens binary"), "ngram-sets")
-
+    return stored(rows.mapInArrow(run, "doc_id long, key string, id binary, n long, sig binary, nodes array<long>, tokens binary"), "ngram-sets")
 
-def _children(rows: DataFrame, depth: int, runs: int, threshold: float) -> DataFrame:
-    """(bucket, id): the next nodes of (bucket, id, sig); at depth 0 the bucket is ignored and each run starts."""
-    chance = 1 / (threshold * PLACES)
 
+def _children(rows: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """(bucket, id): the next nodes of (bucket, id, sig)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _draws(PLACES, 3)
-        limit = np.uint64(int(chance * 2**64))
+        places, limit = _draws(PLACES, 3), _limit(threshold)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(1)
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, PLACES).astype(np.uint64)
-            if depth == 0:
-                nodes = [np.full(batch.num_rows, x, np.uint64) for x in _draws(runs, 4)]
-            else:
-                nodes = [np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64)]
-            for node in nodes:
-                drawn = _mix(node[:, None] ^ places[None, :])
-                row, place = np.nonzero(drawn < limit)
-                child = _mix(drawn[row, place] + sig[row, place] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), ids.take(pa.array(row))], ["bucket", "id"])
+            node = np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64)
+            drawn = _mix(node[:, None] ^ places[None, :])
+            row, place = np.nonzero(drawn < limit)
+            child = _mix(drawn[row, place] + sig[row, place] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth))
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(row))], ["bucket", "id"])
 
     return rows.mapInArrow(run, "bucket long, id binary")
 
@@ -235,11 +247,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(now.select("v", "v")).distinct()
 
 
-def loose_groups(sets: DataFrame, threshold: float, runs: int = RUNS) -> DataFrame:
+def loose_groups(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, root) of sets that have a near one, by chosen paths."""
-    sigs = stored(sets.where("id IS NOT NULL").groupBy("id").agg(F.first("sig").alias("sig")), "signatures")
-    rows = _children(sigs.select(F.lit(0).cast("long").alias("bucket"), "id", "sig"), 0, runs, threshold)
-    leaves, rows = None, stored(rows, "nodes")
+    sigs = stored(sets.where("id IS NOT NULL").groupBy("id").agg(F.first(F.struct("sig", "nodes")).alias("x")).select("id", "x.sig", "x.nodes"), "signatures")
+    rows, leaves = sigs.select(F.explode("nodes").alias("bucket"), "id"), None
+    sigs = sigs.select("id", "sig")
     for depth in range(1, DEPTH + 1):
         sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         members = stored(rows.join(sizes, "bucket"), "members")
@@ -249,7 +261,7 @@ def loose_groups(sets: DataFrame, threshold: float, runs: int = RUNS) -> DataFra
         big = members.where(F.col("size") > LEAF)
         if last or big.isEmpty():
             break
-        rows = stored(_children(big.join(sigs, "id").select("bucket", "id", "sig"), depth, runs, threshold), "nodes")
+        rows = stored(_children(big.join(sigs, "id").select("bucket", "id", "sig"), depth, threshold), "nodes")
     blocks = F.ceil(F.col("size") / LEAF).cast("int")
     leaves = _in_blocks(leaves.withColumn("blocks", blocks), ["bucket"])
     dealt = _dealt(leaves.join(sigs, "id").select("bucket", "i", "j", "id", "side", "sig"), "bucket", "i", "j")
@@ -320,15 +332,15 @@ def _links(rows):
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["id", "links", "a"])
 
 
-def set_classes(sets: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+def set_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, n_links) per distinct set: the class's smallest doc_id and the
     documents at ``threshold`` or more, equal sets included."""
     reps = stored(sets.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "representatives")
-    loose = loose_groups(sets, threshold, runs)
+    loose = loose_groups(sets, threshold)
     member = stored(loose.join(reps.select("id", "copies", "n"), "id"), "loose")
     size = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = _in_blocks(member.join(stored(size, "loose-sizes"), "root"), ["root", "copies"])
-    tokens = sets.select("id", "tokens").join(member.select("id"), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    tokens = sifted(sets.select("id", "tokens"), "id", member)[0].join(member.select("id"), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
     dealt = _dealt(placed.join(stored(tokens, "tokens"), "id").select("root", "i", "j", "id", "side", "copies", "tokens"), "root", "i", "j")
     links = stored(verified(dealt, threshold), "links")
     groups = components(links.select("a", F.col("id").alias("b")))
@@ -347,28 +359,33 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     of their own, linked to each other.  The class id is the smallest doc_id
     (null if all are).  Further columns are left out.
     """
-    sets = sets_table(docs, n, id_column, text_column)
-    classes = stored(set_classes(sets, threshold, runs), "classes")
+    sets = sets_table(docs, n, threshold, runs, id_column, text_column)
+    classes = stored(set_classes(sets, threshold), "classes")
     rows = sets.select("doc_id", "key", "id")
     found = rows.where("id IS NOT NULL").join(classes, "id").select("doc_id", "key", "class_id", "n_links")
     return found.union(rows.where("id IS NULL").select("doc_id", "key", F.col("doc_id"), F.lit(0).cast("long")))
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the one with the smallest
-    doc_id (of several, the one with the smallest content key); rows without words all stay."""
+    """``docs`` without the rows that another row of their class stands for: the one
+    with the smallest doc_id stays (of several, the one with the smallest content
+    key; of repeated rows, one).  Rows without words all stay.
+    """
     found = near_duplicates(docs, n, threshold, runs, id_column, text_column)
-    names = docs.columns
-    k, d = "\0key", "\0id"
+    linked = found.where("n_links > 0")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = stored(linked.groupBy("class_id").agg(F.min(place).alias("x")).select("x.doc_id", "x.key"), "kept")
+    linked = stored(linked.select("doc_id", "key").distinct(), "linked-rows")
+    # Only rows that may be linked move; the texts of the others are passed on as they are.
+    names, k = docs.columns, "\0key"
     own = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    linked = stored(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))), "candidates")
-    chosen = linked.where("n_links > 0").groupBy("class_id").agg(F.min("key").alias("key"))
-    alone = linked.where("n_links = 0").select("class_id", "key").distinct()
-    stay = stored(alone.union(chosen), "kept")
-    rows = docs.withColumn(k, text_key(own)).withColumn(d, F.col(f"`{id_column}`").cast("long"))
-    s = stay.select(F.col("class_id").alias("\0class"), F.col("key").alias("\0other"))
-    kept = rows.join(s, (F.col(k) == F.col("\0other")) & F.col(d).eqNullSafe(F.col("\0class")), "left_semi")
-    # Repeated rows with words that are linked to each other: one stays.
-    words = own.rlike(r"\S")
-    many = kept.where(words).dropDuplicates([k, d])
-    return kept.where(~words).union(many).select(*[F.col(f"`{c}`") for c in names])
+    may, alone = sifted(docs.withColumn(k, text_key(own)), k, linked.select(F.col("key").alias(k)))
+    i, other, is_linked, is_kept = "\0id", "\0other", "\0linked", "\0kept"
+    marks = linked.withColumn(is_linked, F.lit(True)).join(stay.withColumn(is_kept, F.lit(True)), (linked["key"] == stay["key"]) & linked["doc_id"].eqNullSafe(stay["doc_id"]), "left").select(linked["key"].alias(k), linked["doc_id"].alias(other), is_linked, is_kept)
+    rows = may.withColumn(i, F.col(f"`{id_column}`").cast("long"))
+    m = stored(marks.withColumnRenamed(k, "\0k"), "marks")
+    met = rows.join(m, (F.col(k) == F.col("\0k")) & F.col(i).eqNullSafe(F.col(other)), "left")
+    out = lambda df: df.select(*[F.col(f"`{c}`") for c in names])
+    free = met.where(F.col(is_linked).isNull())
+    chosen = met.where(F.col(is_kept)).dropDuplicates([k, i])
+    return out(alone).union(out(free)).union(out(chosen))
