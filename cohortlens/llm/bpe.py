@@ -35,7 +35,7 @@ from .common import per_executor, text_steps
 #: Split rule of byte-level BPE files whose ``use_regex`` is set (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of the two generations of a store of encoded pieces or words.
-STORE_MAX = 150_000
+STORE_MAX = 120_000
 #: Token pairs whose validity is remembered.
 PAIRS_MAX = 1_000_000
 

@@ -6,15 +6,30 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlens.session import shared_path
 
-#: Characters of text that one in-task step handles at a time; bounds memory.
-STEP_CHARS = 4_000_000
+#: Bytes of text that one in-task step handles at a time; bounds memory.
+STEP_CHARS = 2_000_000
+
+
+#: Rows of an Arrow batch: with texts as rows, the session's default of 10,000
+#: would put tens of MB several times into each Python worker.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, unless a smaller bound is set."""
+    now = int(spark.conf.get(_BATCH_CONF))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,16 +76,17 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text",
     A null text becomes the empty text.
     """
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        column_ = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(column_), 0).to_pylist()
         start = size = 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
+        for i, n in enumerate(sizes):
             if i > start and size + n > step_chars:
-                yield batch.slice(start, i - start), [x or "" for x in texts[start:i]]
+                yield batch.slice(start, i - start), [x or "" for x in column_.slice(start, i - start).to_pylist()]
                 start, size = i, 0
             size += n
-        if start < len(texts):
-            yield batch.slice(start), [x or "" for x in texts[start:]]
+        if start < len(sizes):
+            yield batch.slice(start), [x or "" for x in column_.slice(start).to_pylist()]
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def per_executor(make: Callable, *args):

@@ -260,8 +260,8 @@ def scorer(stems: list[str], model: np.ndarray):
         for s in batches:
             texts = s.fillna("").tolist()
             out = []
-            for i in range(0, len(texts), 500):
-                x = make(texts[i:i + 500])
+            for i in range(0, len(texts), 200):
+                x = make(texts[i:i + 200])
                 out.append(1 / (1 + np.exp(-np.clip(x @ model[:-1] + model[-1], -30, 30))))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 

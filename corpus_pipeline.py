@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import line_dedup, ngram_join, packing, pii, toxicity
-from cohortlens.llm.common import stored, table
+from cohortlens.llm.common import small_batches, stored, table
 from cohortlens.llm.queries import TOKENIZER
 
 
@@ -27,6 +27,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     score = toxicity.scorer(*toxicity.learn(docs, table(spark, sf_dir, "labels")))
     names = docs.columns
     scored = docs.withColumn("\0score", score(F.col("text").cast("string")))
@@ -34,18 +35,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _counted(line_dedup.dedup_lines(docs, drop_empty=True))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _counted(pii.replace_pii(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pieces_digest(packing.pack(docs, public_tokenizers.path(TOKENIZER)))
 
 
