@@ -11,13 +11,13 @@ from cohortlens.functions._col import col_of
 def prefix_int(c, dtype: str = "bigint") -> Column:
     """Integer value of the leading number in a text, as an untyped-SQL cast
     does: leading blanks skipped, ``'93779.52927'`` -> 93779, text with no
-    leading digits -> 0, NULL stays NULL."""
+    leading digits -> 0, NULL stays NULL; a number beyond the type -> NULL."""
     c = col_of(c)
     # Fast path: a whole integer text casts directly (same value as its
     # prefix); only other text pays for the regex.  coalesce short-circuits.
     digits = F.regexp_extract(c, r"^\s*([+-]?\d+)", 1)
-    return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(
-        F.coalesce(F.trim(c).try_cast(dtype), digits.try_cast(dtype), F.lit(0).cast(dtype)))
+    number = F.coalesce(digits.try_cast(dtype), F.when(digits == "", F.lit(0).cast(dtype)))
+    return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(F.coalesce(F.trim(c).try_cast(dtype), number))
 
 
 def safe_double(c) -> Column:

@@ -151,12 +151,12 @@ def qcut(df: DataFrame, score: str = "score", q: int = N_BINS, name: str = "deci
     """Equal-frequency bins like ``pandas.qcut(x, q, labels=False,
     duplicates='drop')``: edges are the interpolated quantiles 0, 1/q, ...,
     (q-1)/q (duplicates dropped), bins right-closed, the minimum in bin 0.
-    Ties stay in one bin.  The edges row is broadcast (one row)."""
+    Ties stay in one bin; a NULL score has no bin.  The edges row is broadcast (one row)."""
     edges = quantile_array(df, score, [i / q for i in range(q)]).select(
         F.array_distinct("edges").alias("__edges"))
     p = F.col(score)
     return (df.crossJoin(F.broadcast(edges))
-            .withColumn(name, F.greatest(F.size(F.filter("__edges", lambda e: e < p)) - 1, F.lit(0)))
+            .withColumn(name, F.when(p.isNotNull(), F.greatest(F.size(F.filter("__edges", lambda e: e < p)) - 1, F.lit(0))))
             .drop("__edges"))
 
 

@@ -23,21 +23,13 @@ from cohortlens.operators.features import assemble
 from cohortlens.operators.evaluation import roc_auc
 
 MAX_ITER = 2000
-# Rows per partition of an optimiser's input: every iteration is one
-# distributed aggregation, so tiny partitions only add task overhead, while
-# large inputs keep ceil(n / ROWS_PER_FIT_PARTITION) partitions.
-ROWS_PER_FIT_PARTITION = 500_000
 
 
 def fit_input(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persisted optimiser input with partitions sized to its row count
-    (coalesced without a shuffle when that lowers the count); returns the
-    frame and its row count."""
-    n = df.count()
-    parts = max(1, math.ceil(n / ROWS_PER_FIT_PARTITION))
-    if parts < df.rdd.getNumPartitions():
-        df = df.coalesce(parts)
-    return df.persist(), n
+    """Persisted optimiser input and its row count; the count fills the cache,
+    so the input is computed once, in the partitions it has."""
+    df = df.persist()
+    return df, df.count()
 
 
 def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
@@ -131,11 +123,20 @@ def cross_validated_auc(data: DataFrame, features: str, label: str, fold: str =
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Variance inflation factor of each predictor (model with constant):
-    the diagonal of the inverse correlation matrix.  The p x p correlation is
-    computed distributed; only it reaches the driver."""
-    data = assemble(df.select(*[F.col(c).cast("double") for c in cols]), cols, "v")
-    corr = Correlation.corr(data, "v").first()[0].toArray()
-    inv = np.linalg.pinv(corr)
-    rows = [(c, float(inv[i, i])) for i, c in enumerate(cols)]
+    """Variance inflation factor of each predictor (model with constant), the
+    largest first: 1 / (1 - R^2) of the predictor on the others, infinite if
+    they determine it, NULL for a constant.  The p x p correlation is computed
+    distributed; only it reaches the driver."""
+    typed = df.select(*[F.col(c).cast("double") for c in cols])
+    sds = typed.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first().asDict()
+    vary = [c for c in cols if sds[c] and sds[c] > 0]
+    found = dict.fromkeys(cols)
+    if vary:
+        corr = Correlation.corr(assemble(typed.select(*vary), vary, "v"), "v").first()[0].toArray()
+        for i, c in enumerate(vary):
+            rest = np.delete(np.arange(len(vary)), i)
+            coef = np.linalg.lstsq(corr[np.ix_(rest, rest)], corr[rest, i], rcond=1e-10)[0]
+            left = 1.0 - float(corr[rest, i] @ coef)
+            found[c] = 1.0 / left if left > 1e-9 else math.inf
+    rows = sorted(found.items(), key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")

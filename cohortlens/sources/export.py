@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 
+# Standard quoting (a quote is doubled), blanks kept as they are.
+CSV_TEXT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def dates_as_text(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:
     """Every DATE column as ISO text, the form a CSV extract carries."""
     return df.select(*[F.date_format(F.col(f.name), fmt).alias(f.name)
@@ -20,7 +24,7 @@ def dates_as_text(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Full table to CSV with a header, written by the executors in parallel
     (a directory of part files; nothing passes through the driver)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, **CSV_TEXT).csv(path)
 
 
 def write_bundle(tables: Mapping[str, DataFrame], root: str, fmt: str = "csv") -> dict[str, str]:

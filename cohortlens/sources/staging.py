@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlens.session import shared_path
+from cohortlens.sources.export import CSV_TEXT
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
@@ -25,18 +26,18 @@ def stage_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
     return (spark.read.schema(text_schema(columns))
             .option("header", True).option("enforceSchema", True)
             .option("mode", "PERMISSIVE").option("nullValue", "\u0000")
-            .csv(path))
+            .options(multiLine=True, **CSV_TEXT).csv(path))
 
 
 def stage_csv_by_header(spark: SparkSession, path: str) -> DataFrame:
     """All-text staging named by the header line (no inference)."""
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("nullValue", "\u0000").csv(path))
+            .option("nullValue", "\u0000").options(multiLine=True, **CSV_TEXT).csv(path))
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Typed read with an explicit schema (prior artefacts, sales data)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(header=True, multiLine=True, **CSV_TEXT).csv(path)
 
 
 def materialize_stage(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
@@ -56,8 +57,9 @@ def read_csv_lines_in_order(spark: SparkSession, path: str, schema: str,
     """Read a delimited text file keeping its line order: each line is
     parsed with ``from_csv`` (quoted fields keep their commas, the text
     'NULL' stays text) and tagged with a monotonically increasing id, which
-    follows file order within and across the partitions of a read.  Meant for
-    small lookup files whose sections are defined by position."""
+    follows the order of the lines.  ``path`` names one file: of a folder's
+    files Spark reads the large ones first.  Meant for small lookup files whose
+    sections are defined by position."""
     from pyspark.sql import functions as F
     lines = spark.read.text(path)
     parsed = F.from_csv(F.col("value"), schema, {"nullValue": "\u0000"})
