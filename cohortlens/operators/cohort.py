@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.recode import rate_pct
-from cohortlens.operators.ordering import exact_quantiles
 
 
 def rate(df: DataFrame, by: Sequence[str | Column], target: str, digits: int = 1,
@@ -83,9 +82,9 @@ def share_of_known(df: DataFrame, col: str, unknown: str = "Unknown",
 
 
 def above_median(totals: DataFrame, value: str, name: str = "above_median") -> DataFrame:
-    """Flag groups whose total is >= the median of all group totals.  The
-    median is exact and computed without gathering the totals in one task."""
-    med = exact_quantiles(totals, value, [0.5]).select(F.col("quantile").alias("median_total"))
+    """Flag groups whose total is >= the (exact, interpolated) median of all
+    group totals.  ``totals`` is a dimension: one row per group of a report."""
+    med = totals.agg(F.percentile(value, 0.5).alias("median_total"))
     return (totals.crossJoin(F.broadcast(med))
             .withColumn(name, F.col(value) >= F.col("median_total")))
 

@@ -3,8 +3,8 @@ model that produced the score.
 
 Everything starts from the per-distinct-score counts (a partial-aggregated
 ``groupBy(score)``), so row-level data is shuffled once, and cumulative
-quantities over the score order use the skew-safe ``running_totals`` rather
-than a single-task global window.  Quantile edges are exact
+quantities over the score order use the sliced ``running_totals`` rather than
+a single-task global window.  Quantile edges are exact
 (``exact_quantiles``) and reach the rows through a one-row broadcast."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import exact_quantiles, quantile_array, running_totals
+from cohortlens.operators.ordering import exact_quantiles, quantile_array, value_edges, value_totals
 
 # The cut-offs of the threshold sweep, the decile count, and the
 # capacity shares of the High / Medium tiers.
@@ -36,8 +36,8 @@ def _desc_cumulatives(df: DataFrame, label: str, score: str) -> DataFrame:
     cumulative true positives, false positives and rows, with the class
     totals ``__P`` / ``__N`` attached (one-row broadcast)."""
     sc = score_counts(df, label, score)
-    cum = running_totals(sc, [], [F.col(score).desc()],
-                         {"cum_tp": F.col("pos"), "cum_fp": F.col("neg"), "cum_all": F.col("n")})
+    cum = value_totals(sc, [], score, {"cum_tp": "pos", "cum_fp": "neg", "cum_all": "n"},
+                       value_edges(df, score), descending=True)
     tot = sc.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
     return cum.crossJoin(F.broadcast(tot))
 
@@ -205,7 +205,8 @@ def deciles_and_tiers(df: DataFrame, score: str = "score", q: int = N_BINS,
                       decile: str = "decile", tier: str = "risk_tier") -> DataFrame:
     """``qcut`` bins and risk tiers from ONE exact quantile pass: the tier
     cut-offs (the 1-high and 1-medium quantiles) are decile edges whenever
-    they fall on the bin grid, and are added to the same pass otherwise."""
+    they fall on the bin grid, and are added to the same pass otherwise.  A NULL
+    score has no bin and is in the lowest tier."""
     probs = [i / q for i in range(q)]
     allp = probs + [p for p in (1.0 - high, 1.0 - medium) if p not in probs]
     e = quantile_array(df, score, allp).select(
@@ -214,7 +215,8 @@ def deciles_and_tiers(df: DataFrame, score: str = "score", q: int = N_BINS,
         F.col("edges")[allp.index(1.0 - medium)].alias("__thr_med"))
     p = F.col(score)
     return (df.crossJoin(F.broadcast(e))
-            .withColumn(decile, F.greatest(F.size(F.filter("__edges", lambda x: x < p)) - 1, F.lit(0)))
+            .withColumn(decile, F.when(p.isNotNull(), F.greatest(
+                F.size(F.filter("__edges", lambda x: x < p)) - 1, F.lit(0))))
             .withColumn(tier, F.when(p >= F.col("__thr_hi"), "High")
                         .when(p >= F.col("__thr_med"), "Medium").otherwise("Low"))
             .drop("__edges", "__thr_hi", "__thr_med"))

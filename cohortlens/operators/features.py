@@ -11,7 +11,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.lookup import checked_broadcast
 from cohortlens.operators.ordering import running_totals
 
 SEED = 42
@@ -34,14 +33,14 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = TE
     first ceil(test_share * class size) are test, the rest are dealt round
     robin into folds — exact class proportions in every part.
 
-    The per-class rank uses the skew-safe running totals: a class holding
-    90 % of the rows is still split over many tasks."""
+    The per-class rank is sliced by the leading bits of the hash (1,024 even
+    slices): a class holding 90 % of the rows is still split over many tasks."""
     h = "__h"
     # Rank and class size in one pass: the size comes with the running totals
     # (no extra scan, no join on the class key).
     out = running_totals(df.withColumn(h, seeded_hash(key, seed)), [label],
                          [F.col(h), F.col(key)], {"__rn": F.lit(1).cast("bigint")},
-                         group_size="__class_n")
+                         bucket=F.shiftright(h, 50), group_size="__class_n")
     cut = F.ceil(F.col("__class_n") * F.lit(test_share)).cast("bigint")
     is_test = F.col("__rn") <= cut
     return (out.withColumn("split", F.when(is_test, "test").otherwise("train"))
@@ -86,7 +85,7 @@ def dummies_long(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame
     lv = levels.where(~F.col("is_reference")).select("feature", "level")
     long = df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [key], list(cols), "feature", "value")
-    return (long.join(checked_broadcast(lv), "feature")
+    return (long.join(lv, "feature")
             .select(key, F.concat_ws("_", "feature", "level").alias("dummy"),
                     F.when(F.col("value") == F.col("level"), 1.0).otherwise(0.0).alias("value")))
 

@@ -1,13 +1,16 @@
 """Per-entity history: prior-event counts, visit numbers, first row per entity,
-gaps-and-islands runs.  Built on the skew-safe running totals of
-``ordering`` so that one entity with a third of all rows is still spread over
-many tasks; the first-row selection is a partial aggregate, not a sort."""
+gaps-and-islands runs.  Built on the sliced running totals of ``ordering`` so
+that one entity with a third of all rows is still spread over many tasks.
+
+``bucket`` is the slice of a row along its entity's order; by default the first
+order column itself, which a caller coarsens (to weeks, say) where it has very
+many values in one entity."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ordering import running_totals
@@ -15,22 +18,22 @@ from cohortlens.operators.ordering import running_totals
 
 def prior_event_count(df: DataFrame, entity: str, order: Sequence[str], event: str,
                       name: str = "prior_events", fill_zero: bool = False,
-                      n_partitions: int | None = None) -> DataFrame:
+                      bucket: Column | None = None) -> DataFrame:
     """``SUM(event) OVER (PARTITION BY entity ORDER BY order ROWS BETWEEN
     UNBOUNDED PRECEDING AND 1 PRECEDING)`` — NULL on an entity's first row
     unless ``fill_zero`` (then 0, as ``COALESCE(..., 0)``)."""
     out = running_totals(df, [entity], list(order), {name: F.col(event).cast("bigint")},
-                         n_partitions=n_partitions, inclusive=False)
+                         bucket=order[0] if bucket is None else bucket, inclusive=False)
     if fill_zero:
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
     return out
 
 
 def visit_number(df: DataFrame, entity: str, order: Sequence[str], name: str = "visit_number",
-                 n_partitions: int | None = None) -> DataFrame:
+                 bucket: Column | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY entity ORDER BY order)`` as bigint."""
     return running_totals(df, [entity], list(order), {name: F.lit(1).cast("bigint")},
-                          n_partitions=n_partitions)
+                          bucket=order[0] if bucket is None else bucket)
 
 
 def first_per_entity(df: DataFrame, entity: str, order_key: str) -> DataFrame:
@@ -44,17 +47,15 @@ def first_per_entity(df: DataFrame, entity: str, order_key: str) -> DataFrame:
 
 
 def runs(df: DataFrame, entity: str, order: Sequence[str], flag: str,
-         n_partitions: int | None = None) -> DataFrame:
+         bucket: Column | None = None) -> DataFrame:
     """Islands of consecutive ``flag = 1`` rows per entity:
-    (entity, grp, run_length), where ``grp = rn_all - rn_flag`` is constant
-    inside an island.  Both row numbers are running counts over one ordering."""
+    (entity, grp, run_length).  ``grp`` is the running count of the other rows,
+    which stands still inside an island."""
     numbered = running_totals(
-        df.select(entity, *order, flag), [entity], list(order),
-        {"rn_all": F.lit(1).cast("bigint"),
-         "rn_flag": F.when(F.col(flag) == 1, 1).otherwise(0).cast("bigint")},
-        n_partitions=n_partitions)
+        df, [entity], list(order),
+        {"grp": F.when(F.col(flag) == 1, 0).otherwise(1).cast("bigint")},
+        bucket=order[0] if bucket is None else bucket)
     return (numbered.where(F.col(flag) == 1)
-            .withColumn("grp", F.col("rn_all") - F.col("rn_flag"))
             .groupBy(entity, "grp").agg(F.count(F.lit(1)).alias("run_length")))
 
 

@@ -12,19 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# Row bound under which a data-derived dimension is broadcast after counting.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only after counting it: at most ``max_rows`` rows ->
-    broadcast hint; larger -> returned as is, and the planner (AQE, with skew
-    join handling) picks a shuffle join.  For small aggregates and dimension
-    tables whose size is not fixed by construction."""
-    n = dim.count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
 def attach(df: DataFrame, other: DataFrame, key: Sequence[str] | str,
            cols: Sequence[str]) -> DataFrame:
     """Inner equi-join on the entity key bringing ``cols`` from ``other``
@@ -67,10 +54,13 @@ def range_lookup(df: DataFrame, value: Column, ranges: DataFrame,
 
 def code_labels(df: DataFrame, dim: DataFrame, code: str, dim_code: str,
                 label: str, name: str | None = None) -> DataFrame:
-    """Code -> label left join against a dimension table, broadcast after a
-    size check (a hot code then costs nothing)."""
+    """Code -> label left join against a dimension table.  No hint: Spark
+    broadcasts a dimension of a small measured size, else AQE splits hot codes."""
     d = dim.select(F.col(dim_code).alias("__code"), F.col(label).alias(name or label))
-    return df.join(checked_broadcast(d), df[code] == d["__code"], "left").drop("__code")
+    return df.join(d, df[code] == d["__code"], "left").drop("__code")
+
+
+LINES_PER_SLICE = 100_000
 
 
 def split_stacked_sections(df: DataFrame, id_col: str = "id", desc_col: str = "description",
@@ -80,12 +70,13 @@ def split_stacked_sections(df: DataFrame, id_col: str = "id", desc_col: str = "d
     separated by blank rows, split into (section, id, description).
 
     ``order_col`` is the line number within the file; sections are assigned
-    by a running count of header lines, computed with the skew-safe running
-    totals (no single-task window over the file)."""
+    by a running count of header lines, sliced every ``LINES_PER_SLICE`` lines
+    (no single-task window over the file)."""
     from cohortlens.operators.ordering import running_totals
     is_header = F.col(id_col).endswith("_id")
     tagged = running_totals(df.withColumn("__hdr", is_header.cast("int")), [], [F.col(order_col)],
-                            {"__section_no": F.col("__hdr")})
+                            {"__section_no": F.col("__hdr")},
+                            bucket=F.floor(F.col(order_col) / LINES_PER_SLICE))
     headers = tagged.where(F.col("__hdr") == 1).select(
         "__section_no", F.col(id_col).alias("section"))
     body = tagged.where((F.col("__hdr") == 0) & F.col(id_col).isNotNull()

@@ -3,259 +3,148 @@ funnelling a group (or the whole table) into one task.
 
 A ``Window.partitionBy(entity)`` puts every row of an entity in one task and
 ``Window.orderBy`` without a partition puts the whole table there.  Both fail
-when one entity holds a third of the rows.  The scheme used here:
-
-1. ``repartitionByRange(n, *by, *order)`` — sampled range bounds split even a
-   hot entity across many partitions, each partition a contiguous slice of
-   the global order;
-2. a local running sum inside each (partition, entity) slice;
-3. a carry for slices that continue an entity from earlier partitions.  Only
-   the first and last entity of a partition can cross a boundary, so the carry
-   table has at most ``3 * n`` rows — a bound fixed by the partition count,
-   which makes its broadcast safe at any data size.
-
-Range bounds come from a sample seeded by the RDD id, so two executions of the
-same exchange may cut at different keys.  The slices are therefore computed
-once and checkpointed (reliably, to the shared ``spark.checkpoint.dir``)
-before the carry branch and the final join read them: every consumer sees the
-same partition ids, lineage is cut, and a lost executor only costs a re-read.
-The checkpoint is read twice: one filtered scan yields one row per slice
-(its total), from which the partition ends and carries are built; the final
-scan adds the carries through a broadcast join.  No full-table aggregation
-or shuffle follows the checkpoint.
-
-Inputs that Spark's own size estimate (the statistic ``explain("cost")``
-prints, an upper bound without CBO) puts under
-``cohortlens.window.singleTaskMaxBytes`` use a plain window instead; an
-unknown estimate counts as large.
+when one entity holds a third of the rows.  So each group is cut into *slices*
+that follow its order (a week of a timeline, a range of scores, the leading
+bits of a hash), whatever the size of the input:
+
+1. a window inside (group, slice) gives the running sum of the slice;
+2. a hash aggregate, merged map-side, gives one total per (group, slice);
+3. a window over those totals gives what comes before each slice;
+4. a join on (group, slice) adds it, on the partitioning of step 1.
+
+The rows are shuffled once, nothing is stored, and no job runs while the query
+is built.  Slices are functions of a row's own values, so a task that is run
+again puts its rows where they were.  The window of step 3 sees one row per slice
+of a group; the caller chooses slices of which a group has few.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PID = "__pid"
+KEY = "__slice_key"
+SLICE = "__slice"
+N_SLICES = 1024
 
 
 def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [left[c].eqNullSafe(right[c]) for c in cols])
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder.
-
-    The frame is persisted first so the plan runs once: the eager checkpoint
-    would otherwise compute it for its count and again to write the files.
-    The cache is released once the checkpoint files exist."""
-    from pyspark import StorageLevel
-    from cohortlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
-
-
-def default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-# Inputs whose optimizer size estimate (an upper bound without CBO, the same
-# statistic Spark's broadcast decision reads) is at most this many bytes are
-# small enough for one task per window partition.
-SINGLE_TASK_CONF = "cohortlens.window.singleTaskMaxBytes"
-SINGLE_TASK_DEFAULT = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's size estimate of the optimised plan (as ``explain("cost")``
-    shows it); None where the plan is not reachable (e.g. Spark Connect)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001 — no estimate: treat as large
-        return None
-
-
-def is_small(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
-                   values: dict[str, Column | str], n_partitions: int | None = None,
-                   inclusive: bool = True, strategy: str = "auto",
-                   group_size: str | None = None) -> DataFrame:
+                   values: dict[str, Column | str], bucket: Column | str,
+                   inclusive: bool = True, group_size: str | None = None) -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY by ORDER BY order ROWS
     UNBOUNDED PRECEDING .. CURRENT ROW)`` for each ``name: expr`` in
     ``values`` (``inclusive=False`` stops at 1 PRECEDING, NULL on the first
     row, as SQL does).  ``order`` must be a total order inside each group
     (end it with a unique key).
 
-    ``strategy``: ``'range'`` always uses the skew-safe scheme, ``'window'``
-    a plain window; ``'auto'`` uses the plain window only when the input's
-    size estimate is under ``cohortlens.window.singleTaskMaxBytes``.
-
-    ``group_size`` names an extra column holding the row count of each row's
-    ``by`` group.  On the range path it costs nothing extra: a group inside one
-    slice has its slice total, and a group spanning partitions is an edge group
-    whose total travels in the (bounded) carry table."""
-    by = list(by)
-    order = [_col(o) for o in order]
-    vals = {name: _col(e) for name, e in values.items()}
-    if strategy == "window" or (strategy == "auto" and is_small(df)):
-        w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-        extra = ([F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(group_size)]
-                 if group_size else [])
-        return df.select("*", *[F.sum(e).over(w).alias(name) for name, e in vals.items()], *extra)
-    n = n_partitions or default_partitions(df)
-    tmp = {name: f"__v_{i}" for i, name in enumerate(vals)}
-    sums = dict(tmp)
-    need_count = (not inclusive) or bool(group_size)
-    if need_count:
-        sums["__rowcount"] = "__v_rowcount"
-
-    base = df.select("*", *[e.alias(tmp[name]) for name, e in vals.items()],
-                     *([F.lit(1).cast("bigint").alias("__v_rowcount")] if need_count else []))
-    ranged = (base.repartitionByRange(n, *[F.col(b) for b in by], *order)
-              .withColumn(PID, F.spark_partition_id()))
-
-    # One window pass per slice (partition x entity): the running sum, the
-    # slice total and a first-row tag share partitioning and ordering, so no
-    # extra exchange or sort.  Checkpointed once; read twice below (one
-    # filtered scan for the per-slice rows, one for the final join).
-    w_ord = Window.partitionBy(PID, *by).orderBy(*order)
-    w_local = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_slice = Window.partitionBy(PID, *by)
-    local = materialize(ranged.select(
-        "*", *[F.sum(t).over(w_local).alias(f"__loc_{t}") for t in sums.values()],
-        *[F.sum(t).over(w_slice).alias(f"__tot_{t}") for t in sums.values()],
-        (F.row_number().over(w_ord) == 1).alias("__slice_head")))
-
-    # One row per slice; kept in memory while the small tables below are built.
-    slices = local.where("__slice_head").select(
-        PID, *by, *[f"__tot_{t}" for t in sums.values()]).persist()
-    if by:
-        # Only the first and last entity of a partition can continue across
-        # a boundary.  A single key column aggregates with plain min/max (hash
-        # aggregate); a composite key uses min/max of a struct.
-        if len(by) == 1:
-            ends = slices.groupBy(PID).agg(F.array(F.min(by[0]), F.max(by[0])).alias("__k"))
-            edge_keys = ends.select(F.explode("__k").alias(by[0])).distinct()
-        else:
-            key = F.struct(*[F.col(b) for b in by])
-            ends = slices.groupBy(PID).agg(F.array(F.min(key), F.max(key)).alias("__k"))
-            edge_keys = (ends.select(F.explode("__k").alias("k"))
-                         .select(*[F.col(f"k.{b}").alias(b) for b in by]).distinct())
-        # At most 2 * n keys: a bound fixed by the partition count.
-        slice_tot = slices.join(F.broadcast(edge_keys),
-                                _null_safe_on(slices, edge_keys, by), "left_semi")
-    else:
-        slice_tot = slices
-    w_carry = (Window.partitionBy(*by).orderBy(PID) if by else Window.orderBy(PID)
-               ).rowsBetween(Window.unboundedPreceding, -1)
-    w_group = Window.partitionBy(*by) if by else Window.partitionBy()
-    carry = slice_tot.select(
-        *[F.col(c).alias(f"__c{c}") for c in [PID, *by]],
-        *[F.coalesce(F.sum(f"__tot_{t}").over(w_carry), F.lit(0)).alias(f"__carry_{t}")
-          for t in sums.values()],
-        *([F.sum("__tot___v_rowcount").over(w_group).alias("__gsize")] if group_size else [])
-    ).persist()
-    carry.count()
-    slices.unpersist()
-
-    on = reduce(lambda a, b: a & b,
-                [F.col(c).eqNullSafe(F.col(f"__c{c}")) for c in [PID, *by]])
-    # Bounded by 3 * n rows (see module docstring).
-    joined = local.join(F.broadcast(carry), on, "left")
-
-    def total(t):
-        return F.col(f"__loc_{t}") + F.coalesce(F.col(f"__carry_{t}"), F.lit(0))
-
-    out_cols = [F.col(c) for c in df.columns]
-    for name in vals:
-        t = tmp[name]
-        if inclusive:
-            out_cols.append(total(t).alias(name))
-        else:
-            first = total("__v_rowcount") == 1
-            out_cols.append(F.when(first, F.lit(None))
-                            .otherwise(total(t) - F.coalesce(F.col(t), F.lit(0))).alias(name))
-    if group_size:
-        out_cols.append(F.coalesce(F.col("__gsize"), F.col("__tot___v_rowcount")).alias(group_size))
-    return joined.select(*out_cols)
-
-
-def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rn",
-                n_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY by ORDER BY order)`` (bigint), skew-safe."""
-    return running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, n_partitions,
-                          strategy=strategy)
+    ``bucket`` names the slice of a row and must never fall (NULL lowest) as
+    ``order`` goes on.  ``group_size`` names an extra column holding the row
+    count of each row's ``by`` group.  NULL is a group like any other."""
+    exprs = {f"__v{i}": _col(e) for i, e in enumerate(values.values())}
+    # A struct compares its NULL fields as equal, so the window, the aggregate
+    # and the join share one plain key and one exchange of the rows.
+    key = F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)], _col(bucket).alias("at"))
+    base = df.select("*", key.alias(KEY), *[e.alias(v) for v, e in exprs.items()])
+    last = Window.currentRow if inclusive else -1
+    inside = (Window.partitionBy(KEY).orderBy(*[_col(o) for o in order])
+              .rowsBetween(Window.unboundedPreceding, last))
+    rows = base.select(*df.columns, KEY, *[F.sum(v).over(inside).alias(f"{v}_in") for v in exprs])
+
+    sums = base.groupBy(KEY).agg(*[F.sum(v).alias(v) for v in exprs], F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*[F.col(f"{KEY}.k{i}") for i in range(len(by))])
+    earlier = group.orderBy(F.col(f"{KEY}.at")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(KEY, *[F.sum(v).over(earlier).alias(f"{v}_before") for v in exprs],
+                        *([F.sum("__n").over(group).alias(group_size)] if group_size else []))
+
+    def total(v):
+        here, before = F.col(f"{v}_in"), F.col(f"{v}_before")
+        return F.coalesce(here + before, here, before)
+
+    return rows.join(carry, KEY).select(
+        *df.columns, *[total(v).alias(name) for v, name in zip(exprs, values)],
+        *([group_size] if group_size else []))
+
+
+def value_edges(df: DataFrame, value: str, n: int = N_SLICES) -> list[float]:
+    """At most ``n - 1`` rising edges that cut the values into slices of about
+    equal row counts: one ``approx_percentile`` aggregate, read once, so that
+    every use of the edges sees the same numbers."""
+    v = F.col(value).cast("double")
+    got = df.select(v.alias("v")).where(~F.isnan("v")).agg(
+        F.percentile_approx("v", [i / n for i in range(1, n)]).alias("e")).first()["e"]
+    return sorted({e for e in got or [] if math.isfinite(e)})
+
+
+def with_slices(df: DataFrame, value: str, edges: Sequence[float], name: str = SLICE) -> DataFrame:
+    """Add the number of the slice of ``value`` (int, rising with it): NULL is
+    below all others and NaN above, as Spark orders them."""
+    splits = [-math.inf, *(edges or [0.0]), math.inf]
+    v = F.col(value).cast("double")
+    cut = Bucketizer(splits=splits, inputCol="__v", outputCol="__at", handleInvalid="keep")
+    return (cut.transform(df.withColumn("__v", F.coalesce(v, F.lit(0.0))))
+            .withColumn(name, F.when(v.isNull(), -1).otherwise(F.col("__at").cast("int")))
+            .drop("__v", "__at"))
+
+
+def value_totals(df: DataFrame, by: Sequence[str], value: str, values: dict[str, Column | str],
+                 edges: Sequence[float], descending: bool = False) -> DataFrame:
+    """:func:`running_totals` in the order of ``value`` (distinct in a group),
+    sliced at ``edges``."""
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    at = -F.col(SLICE) if descending else F.col(SLICE)
+    return running_totals(with_slices(df, value, edges), by, [order], values, at).drop(SLICE)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), n_partitions: int | None = None,
-                    strategy: str = "auto") -> DataFrame:
+                    by: Sequence[str] = (), n_slices: int = N_SLICES) -> DataFrame:
     """Linearly interpolated quantiles (``quantile_cont`` / numpy 'linear').
 
-    Returns one row per ``by`` group with columns ``prob`` (double),
-    ``prob_index`` (int) and ``quantile`` (double).  The data are first reduced
-    to (value, count) pairs, cumulated with :func:`running_totals`, and the two
-    order statistics around each position are picked with a range test against
-    the tiny per-probability target table."""
+    Returns one row per ``by`` group and probability with columns ``prob``
+    (double), ``prob_index`` (int) and ``quantile`` (double; NULL if there is
+    no value).  The data are first reduced to (value, count) pairs and
+    cumulated; one pass then picks the values at the ranks that the
+    probabilities of the group need."""
     by = list(by)
-    spark = df.sparkSession
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
-    cum = running_totals(counts, by, [F.col(value)], {"__cum": F.col("__n")}, n_partitions,
-                         strategy=strategy)
-    cum = cum.select(*by, F.col(value).cast("double").alias("__v"),
-                     (F.col("__cum") - F.col("__n")).alias("__first"),
-                     (F.col("__cum") - 1).alias("__last"))
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__N"))
-    ps = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)],
-                               "prob_index int, prob double")
-    targets = (totals.crossJoin(F.broadcast(ps))
-               .withColumn("__h", (F.col("__N") - 1).cast("double") * F.col("prob"))
-               .withColumn("__klo", F.floor("__h").cast("bigint"))
-               .withColumn("__khi", F.ceil("__h").cast("bigint")))
-    # Each target needs two order statistics: at rank floor(h) and ceil(h).
-    picks = (targets.select(*by, "prob_index", F.col("__klo").alias("__k"), F.lit(0).alias("__side"))
-             .union(targets.select(*by, "prob_index", F.col("__khi").alias("__k"), F.lit(1).alias("__side"))))
-    cond = (F.col("__k") >= F.col("__first")) & (F.col("__k") <= F.col("__last"))
-    if by:
-        # One row per (group, probability, side), broadcast after a size
-        # check so a dominant group is never shuffled into one task.
-        from cohortlens.operators.lookup import checked_broadcast
-        found = cum.join(checked_broadcast(picks), by, "inner").where(cond).select(
-            *by, "prob_index", "__side", "__v")
-    else:
-        # 2 * len(probs) rows: a fixed bound.
-        found = cum.join(F.broadcast(picks), cond, "inner").select(
-            "prob_index", "__side", "__v")
-    vals = found.groupBy(*by, "prob_index").agg(
-        F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__lo"),
-        F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__hi"))
-    res = targets.join(vals, [*by, "prob_index"])
-    frac = F.col("__h") - F.floor("__h")
-    q = F.when(F.col("__klo") == F.col("__khi"), F.col("__lo")) \
-         .otherwise(F.col("__lo") + frac * (F.col("__hi") - F.col("__lo")))
-    return res.select(*by, "prob_index", "prob", q.alias("quantile"))
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__rows"))
+    cum = value_totals(counts, by, value, {"__cum": "__rows"}, value_edges(known, value, n_slices))
+
+    def place(p):
+        return (F.col("__total") - 1).cast("double") * F.lit(float(p))
+
+    ranks = [f(place(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
+    wanted = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__total")).withColumn(
+        "__ranks", F.array_distinct(F.array(*ranks)))
+    # Without groups this is one row; with groups, AQE broadcasts it on its
+    # measured size or splits the skewed side of the join.
+    both = cum.join(wanted, by) if by else cum.crossJoin(F.broadcast(wanted))
+    first, last = F.col("__cum") - F.col("__rows"), F.col("__cum") - 1
+    found = both.select(*by, "__total", F.col(value).cast("double").alias("__v"),
+                        F.explode(F.filter("__ranks", lambda r: (r >= first) & (r <= last))).alias("__k"))
+    picked = found.groupBy(*by).agg(
+        F.first("__total").alias("__total"),
+        F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__at"))
+    cuts = F.array(*[F.struct(F.lit(i).alias("prob_index"), F.lit(float(p)).alias("prob"))
+                     for i, p in enumerate(probs)])
+    h = (F.col("__total") - 1).cast("double") * F.col("prob")
+    low = F.col("__at")[F.floor(h).cast("bigint")]
+    high = F.col("__at")[F.ceil(h).cast("bigint")]
+    quantile = F.when(F.floor(h) == F.ceil(h), low).otherwise(low + (h - F.floor(h)) * (high - low))
+    return (picked.select(*by, "__total", "__at", F.inline(cuts))
+            .select(*by, "prob_index", "prob", quantile.alias("quantile")))
 
 
 def quantile_array(df: DataFrame, value: str, probs: Sequence[float],
-                   n_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
+                   n_slices: int = N_SLICES) -> DataFrame:
     """One row, one column ``edges``: the quantiles in ``probs`` order."""
-    q = exact_quantiles(df, value, probs, n_partitions=n_partitions, strategy=strategy)
+    q = exact_quantiles(df, value, probs, n_slices=n_slices)
     return q.agg(F.transform(F.array_sort(F.collect_list(F.struct("prob_index", "quantile"))),
                              lambda s: s["quantile"]).alias("edges"))

@@ -1,15 +1,15 @@
 """Ranking of aggregated groups and ordered top-N.
 
-A RANK over a global order would run in one task.  Here ``RANK = 1 + number
-of rows with a strictly better value``: rows are reduced to (value, count)
-pairs and the counts cumulated with the adaptive running totals, so a large
-number of groups is ranked without a single-task sort."""
+The ranks take a dimension: a table with one row per group of a report (places,
+products, months), already aggregated.  Such a table is small whatever the size
+of the rows behind it, so one plain window ranks it.  Rows of a table of events
+are ranked with ``ordering.running_totals`` instead."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,30 +21,15 @@ def min_volume(grouped: DataFrame, count_col: str, minimum: int) -> DataFrame:
 def rank_by(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
     """RANK() OVER (ORDER BY value [DESC]) as int, ties kept (NULLs rank
     last when descending and first when ascending, as Spark orders them)."""
-    from cohortlens.operators.ordering import running_totals
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    o = F.col(value).desc() if descending else F.col(value).asc()
-    before = running_totals(counts, [], [o], {"__before": F.col("__c")}, inclusive=False)
-    ranks = before.select(F.col(value).alias("__v"),
-                          (F.coalesce(F.col("__before"), F.lit(0)) + 1).cast("int").alias(name))
-    return df.join(ranks, df[value].eqNullSafe(ranks["__v"]), "left").drop("__v")
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    return df.withColumn(name, F.rank().over(Window.orderBy(order)))
 
 
 def dual_rank(grouped: DataFrame, value: str, worst: str = "worst_rank",
               best: str = "best_rank") -> DataFrame:
-    """RANK() by value descending (``worst``) and ascending (``best``), ties
-    kept, from ONE cumulative count: with ``ge`` = rows whose value ranks at
-    or before v in descending order (NULLs last), worst = ge - count(v) + 1
-    and best = total - ge + 1 (NULLs first when ascending)."""
-    from cohortlens.operators.ordering import running_totals
-    counts = grouped.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    ge = running_totals(counts, [], [F.col(value).desc_nulls_last()], {"__ge": F.col("__c")})
-    total = counts.agg(F.sum("__c").alias("__total"))
-    ranks = ge.crossJoin(F.broadcast(total)).select(
-        F.col(value).alias("__v"),
-        (F.col("__ge") - F.col("__c") + 1).cast("int").alias(worst),
-        (F.col("__total") - F.col("__ge") + 1).cast("int").alias(best))
-    return grouped.join(ranks, grouped[value].eqNullSafe(ranks["__v"]), "left").drop("__v")
+    """RANK() by value descending (``worst``; NULLs last) and ascending
+    (``best``; NULLs first) of a dimension, ties kept."""
+    return rank_by(rank_by(grouped, value, worst, descending=True), value, best)
 
 
 def rank_filter(ranked: DataFrame, n: int, worst: str = "worst_rank",

@@ -80,16 +80,6 @@ def test_typed_csv_read_and_materialize(spark, sf_dir):
     assert spark.table("sales_stage").count() == s.count() == stage.count()
 
 
-def test_checked_broadcast(spark):
-    from cohortlens.operators.lookup import checked_broadcast
-    small = spark.range(10)
-    big = spark.range(100)
-    j = spark.range(1000).join(checked_broadcast(small, max_rows=10), "id")
-    assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
-    j2 = spark.range(1000).join(checked_broadcast(big, max_rows=10), "id")
-    assert j2.count() == 100
-
-
 def test_stacked_sections_from_file(spark):
     from cohortlens.operators.lookup import split_stacked_sections
     text = ("type_id,description\n1,Emergency\n2,Urgent\n6,NULL\n,\n"

@@ -1,4 +1,4 @@
-"""Skew-safe running totals and exact quantiles against brute force."""
+"""Sliced running totals and exact quantiles against brute force."""
 
 import numpy as np
 import pandas as pd
@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import running_totals, exact_quantiles, quantile_array
+from cohortlens.operators.ordering import (
+    exact_quantiles, quantile_array, running_totals, value_edges, value_totals,
+)
 
 
 def _skewed(spark, n=4000, seed=7):
@@ -23,7 +25,7 @@ def _skewed(spark, n=4000, seed=7):
 def test_running_totals_match_window(spark, inclusive):
     df, _ = _skewed(spark)
     got = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")},
-                         n_partitions=16, inclusive=inclusive, strategy="range")
+                         bucket=F.floor(F.col("t") / 4), inclusive=inclusive)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     w = Window.partitionBy("e").orderBy("t", "id").rowsBetween(*frame)
     want = df.withColumn("s", F.sum("x").over(w))
@@ -35,7 +37,7 @@ def test_running_totals_match_window(spark, inclusive):
 def test_running_totals_global_desc(spark):
     df, pdf = _skewed(spark)
     got = running_totals(df, [], [F.col("t").desc(), F.col("id")], {"c": F.lit(1)},
-                         n_partitions=8, strategy="range").select("id", "c").toPandas()
+                         bucket=-F.col("t")).select("id", "c").toPandas()
     ref = pdf.sort_values(["t", "id"], ascending=[False, True]).reset_index(drop=True)
     ref["c"] = np.arange(1, len(ref) + 1)
     m = got.merge(ref[["id", "c"]], on="id", suffixes=("", "_ref"))
@@ -46,15 +48,14 @@ def test_exact_quantiles_numpy(spark):
     df, pdf = _skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.8, 0.9, 1.0]
     got = {r["prob_index"]: r["quantile"] for r in
-           exact_quantiles(df, "t", probs, n_partitions=8, strategy="range").collect()}
+           exact_quantiles(df, "t", probs, n_slices=8).collect()}
     want = np.quantile(pdf["t"].to_numpy(), probs)
     assert np.allclose([got[i] for i in range(len(probs))], want, rtol=0, atol=1e-12)
 
 
 def test_exact_quantiles_by_group(spark):
     df, pdf = _skewed(spark)
-    got = exact_quantiles(df, "t", [0.5, 0.75], by=["x"], n_partitions=8,
-                          strategy="range").toPandas()
+    got = exact_quantiles(df, "t", [0.5, 0.75], by=["x"], n_slices=8).toPandas()
     for x, g in pdf.groupby("x"):
         for pi, p in enumerate([0.5, 0.75]):
             v = got[(got.x == x) & (got.prob_index == pi)]["quantile"].iloc[0]
@@ -67,34 +68,60 @@ def test_quantile_array_edge_fixture(spark):
     assert edges == [pytest.approx(3.4)]
 
 
-@pytest.mark.parametrize("inclusive", [True, False])
-def test_window_and_range_strategies_agree(spark, inclusive):
-    df, _ = _skewed(spark, n=3000, seed=11)
-    a = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, n_partitions=12,
-                       inclusive=inclusive, strategy="range").select("id", "s").collect()
-    b = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")},
-                       inclusive=inclusive, strategy="window").select("id", "s").collect()
-    assert sorted(a) == sorted(b)
-
-
-def test_auto_strategy_small_input_uses_window(spark):
-    from cohortlens.operators.ordering import is_small
-    df = spark.range(100)  # exact statistics
-    assert is_small(df)
-    spark.conf.set("cohortlens.window.singleTaskMaxBytes", "1")
+def test_null_groups_slices_and_values(spark):
+    rows = [(None, None, 1, 5), (None, None, 2, None), (None, 3, 3, 7), (1, None, 4, None),
+            (1, 2, 5, None), (1, 2, 6, 4), (2, 1, 7, None)]
+    df = spark.createDataFrame(rows, "e long, t long, id long, x long")
+    for inclusive, last in ((True, 0), (False, -1)):
+        w = Window.partitionBy("e").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, last)
+        got = running_totals(df, ["e"], ["t", "id"], {"s": "x"}, bucket="t", inclusive=inclusive)
+        want = df.withColumn("s", F.sum("x").over(w))
+        assert {r["id"]: r["s"] for r in got.collect()} == {r["id"]: r["s"] for r in want.collect()}
+
+
+def test_value_totals_with_nulls_nan_and_infinity(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, 1.5, 2.5, -3.0]
+    df = spark.createDataFrame([(v, i + 1) for i, v in enumerate(values)], "v double, n long")
+    for descending in (False, True):
+        order = F.col("v").desc() if descending else F.col("v").asc()
+        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        got = value_totals(df, [], "v", {"c": "n"}, value_edges(df, "v", 4), descending)
+        want = df.withColumn("c", F.sum("n").over(w))
+        assert {r["n"]: r["c"] for r in got.collect()} == {r["n"]: r["c"] for r in want.collect()}
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "e long, v double")
+    assert running_totals(df, ["e"], ["v"], {"s": F.lit(1)}, bucket="v").collect() == []
+    assert [r["quantile"] for r in exact_quantiles(df, "v", [0.5]).collect()] == [None]
+    assert exact_quantiles(df, "v", [0.5], by=["e"]).collect() == []
+
+
+def test_hot_entity_is_cut_into_slices_with_one_exchange_of_rows(spark):
+    df, _ = _skewed(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        assert not is_small(df)
+        got = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, bucket="t")
+        tasks = got.where("e = 0").groupBy(F.spark_partition_id()).count().count()
+        plan = got._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("cohortlens.window.singleTaskMaxBytes")
+        for name in ("adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold",
+                     "adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+    assert tasks > 1
+    # The rows, the totals of the slices, and the carries back to the rows.
+    assert plan.count("Exchange hashpartitioning(__slice_key") == 3
+    assert "SinglePartition" not in plan
 
 
-@pytest.mark.parametrize("strategy", ["range", "window"])
-def test_group_size_matches_count(spark, strategy):
+def test_group_size_matches_count(spark):
     df, pdf = _skewed(spark, n=3000, seed=21)
-    got = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, n_partitions=12,
-                         strategy=strategy, group_size="g").select("id", "e", "g").toPandas()
+    got = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, bucket="t",
+                         group_size="g").select("id", "e", "g").toPandas()
     want = pdf.groupby("e").size()
     assert (got["g"].to_numpy() == want.loc[got["e"]].to_numpy()).all() and len(got) == len(pdf)
-    glob = running_totals(df, [], ["id"], {"c": F.lit(1)}, n_partitions=12,
-                          strategy=strategy, group_size="g").select("g").distinct().collect()
+    glob = running_totals(df, [], ["id"], {"c": F.lit(1)}, bucket=F.floor(F.col("id") / 100),
+                          group_size="g").select("g").distinct().collect()
     assert [r["g"] for r in glob] == [len(pdf)]

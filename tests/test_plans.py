@@ -3,23 +3,14 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from cohortlens.operators.ordering import SINGLE_TASK_CONF, running_totals
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture
-def range_only(spark):
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    yield spark
-    spark.conf.unset(SINGLE_TASK_CONF)
-
-
 def test_multi_factor_scans_once(spark, sf_dir):
     plan = _plan(E.queries()["q_multi_factor"](spark, sf_dir))
     assert len(re.findall(r"FileScan parquet", plan)) == 1
@@ -34,28 +25,19 @@ def test_sales_scan_is_pruned_and_joins_broadcast(spark, sf_dir):
 
 
 # Per-entity history queries: a SinglePartition exchange there would mean
-# row-level data in one task.  (Global aggregates end in a SinglePartition
-# exchange of one partial row per task, and the carry / decile windows run over
-# at most 3 * partitions / q rows; those are bounded by construction.)
+# row-level data in one task.
 @pytest.mark.parametrize("name", ["q_history_risk", "q_streak_hist", "q_first_vs_returning",
                                   "q_extract"])
-def test_range_path_has_no_single_partition_exchange(range_only, sf_dir, name):
-    df = E.queries()[name](range_only, sf_dir)
+def test_history_has_no_single_partition_exchange(spark, sf_dir, name):
+    df = E.queries()[name](spark, sf_dir)
     df.collect()  # run it, so the adaptive plan is final
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-
-
-def test_range_path_is_deterministic_across_runs(spark):
-    """Two executions sample different range bounds; the totals must not move."""
-    import numpy as np
-    rng = np.random.default_rng(5)
-    n = 5000
-    rows = [(int(0 if rng.random() < 0.4 else rng.integers(1, 40)), int(rng.integers(0, 30)), i,
-             int(rng.integers(0, 2))) for i in range(n)]
-    df = spark.createDataFrame(rows, "e long, t long, id long, x long")
-    a = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, n_partitions=16,
-                       strategy="range").select("id", "s").collect()
-    b = running_totals(df, ["e"], ["t", "id"], {"s": F.col("x")}, n_partitions=16,
-                       strategy="range").select("id", "s").collect()
-    assert sorted(a) == sorted(b)
+    assert "SinglePartition" not in _plan(df)
+
+
+def test_extract_shuffles_its_rows_once(spark, sf_dir):
+    """Besides the proxy's own exchanges: one of the rows, one of the weekly
+    totals, one of the totals by patient, and none to join them."""
+    plan = _plan(E.queries()["q_extract"](spark, sf_dir))
+    by_slice = re.findall(r"Exchange hashpartitioning\(__slice_key#\d+,", plan)
+    assert len(by_slice) <= 3
+    assert "RangePartitioning" not in plan and "rangepartitioning" not in plan

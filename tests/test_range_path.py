@@ -1,11 +1,10 @@
-"""The order-dependent queries again, with the single-task window disabled:
-every running total, rank, quantile and split takes the range-partitioned,
-checkpointed path a large cluster would use, and must still equal DuckDB."""
+"""The order-dependent queries again, without broadcast joins and with another
+number of partitions: every running total, rank, quantile and split joins its
+slices by a shuffle, as on a large cluster, and must still equal DuckDB."""
 
 import pytest
 
 import __spark_entry__ as E
-from cohortlens.operators.ordering import SINGLE_TASK_CONF
 
 from tests.oracle_harness import compare
 
@@ -17,14 +16,22 @@ ORDER_DEPENDENT = [
 ]
 
 
+SETTINGS = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "13"}
+
+
 @pytest.fixture
-def range_only(spark):
-    spark.conf.set(SINGLE_TASK_CONF, "0")
+def shuffled(spark):
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     yield spark
-    spark.conf.unset(SINGLE_TASK_CONF)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("name", ORDER_DEPENDENT)
-def test_range_path_matches_oracle(range_only, sf_dir, name):
-    r = compare(range_only, name, E.queries()[name], E.oracle_sql()[name], sf_dir)
+def test_shuffled_path_matches_oracle(shuffled, sf_dir, name):
+    r = compare(shuffled, name, E.queries()[name], E.oracle_sql()[name], sf_dir)
     assert r["match"], r.get("detail")
