@@ -43,8 +43,9 @@ def _desc_cumulatives(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score",
-                    digits: int = 6) -> DataFrame:
-    """One pass over the distinct-score cumulatives, one row:
+                    digits: int | None = 6) -> DataFrame:
+    """One pass over the distinct-score cumulatives, one row (``digits=None``:
+    not rounded):
 
     * ``auc`` — exact, tie-aware ROC-AUC: each positive at score s beats the
       negatives strictly below s (``N - cum_fp``) and ties half of those at s;
@@ -55,16 +56,17 @@ def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score",
     dec = lambda x: F.col(x).cast("decimal(38,0)")  # noqa: E731  (no overflow)
     num2 = F.sum(2 * dec("pos") * (dec("__N") - dec("cum_fp")) + dec("pos") * dec("neg"))
     p, n = F.first("__P").cast("double"), F.first("__N").cast("double")
+    shown = lambda x: x if digits is None else F.round(x, digits)
     # try_divide: a table with one class only gives NULL, not an error.
     return c.agg(
-        F.round(F.try_divide(num2.cast("double"), F.lit(2.0) * p * n), digits).alias("auc"),
-        F.round(F.sum(F.try_divide(F.col("pos"), F.col("__P"))
-                      * (F.col("cum_tp") / F.col("cum_all"))), digits).alias("average_precision"),
-        F.round(F.try_divide(p, p + n), digits).alias("prevalence"))
+        shown(F.try_divide(num2.cast("double"), F.lit(2.0) * p * n)).alias("auc"),
+        shown(F.sum(F.try_divide(F.col("pos"), F.col("__P"))
+                    * (F.col("cum_tp") / F.col("cum_all")))).alias("average_precision"),
+        shown(F.try_divide(p, p + n)).alias("prevalence"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            digits: int = 6) -> DataFrame:
+            digits: int | None = 6) -> DataFrame:
     """Exact, tie-aware ROC-AUC (ties count one half): one row ``auc``."""
     return ranking_metrics(df, label, score, digits).select("auc")
 

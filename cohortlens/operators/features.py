@@ -4,14 +4,13 @@ drop-first dummy coding and vector assembly."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import running_totals
+from cohortlens.operators.ordering import KEY, running_totals
 
 SEED = 42
 TEST_SHARE = 0.25
@@ -29,24 +28,40 @@ def seeded_hash(key, seed: int = SEED) -> Column:
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = TEST_SHARE,
                      seed: int = SEED, n_folds: int = N_FOLDS) -> DataFrame:
     """Add ``split`` ('train'/'test') and ``fold`` (0..n_folds-1 on train,
-    NULL on test).  Inside each class, rows are ordered by the seeded hash; the
-    first ceil(test_share * class size) are test, the rest are dealt round
-    robin into folds — exact class proportions in every part.
+    NULL on test).  ceil(test_share * rows) rows are test: each class gives the
+    whole part of its share, and the classes with the largest remainders one row
+    more.  Inside each class, rows are ordered by the seeded hash; the first are
+    test, the rest are dealt round robin into folds.
 
     The per-class rank is sliced by the leading bits of the hash (1,024 even
     slices): a class holding 90 % of the rows is still split over many tasks."""
     h = "__h"
-    # Rank and class size in one pass: the size comes with the running totals
-    # (no extra scan, no join on the class key).
+
+    def test_rows(slices: DataFrame) -> DataFrame:
+        # One row per class: the windows below see no more than that.
+        n = F.col("__n").cast("decimal(38,0)")
+        everything = Window.partitionBy()
+        sizes = slices.select(F.col(f"{KEY}.k0").alias("__class"), F.col("__class_n").alias("__n")).distinct()
+        shares = (sizes.withColumn("__all", F.sum(n).over(everything))
+                  .withColumn("__wanted", F.ceil(F.col("__all").cast("double") * test_share).cast("decimal(18,0)"))
+                  .withColumn("__whole", F.expr("(__wanted * __n) div __all"))
+                  .withColumn("__rest", F.expr("(__wanted * __n) % __all")))
+        place = F.row_number().over(Window.orderBy(F.col("__rest").desc(), "__class"))
+        left = F.col("__wanted") - F.sum("__whole").over(everything)
+        cuts = shares.select("__class", (F.col("__whole") + F.when(place <= left, 1).otherwise(0)).alias("__cut"))
+        return slices.join(cuts, F.col(f"{KEY}.k0").eqNullSafe(F.col("__class"))).drop("__class")
+
+    # Rank and class sizes in one pass: the sizes come with the running totals
+    # (no extra scan, no join of the rows on the class key).
     out = running_totals(df.withColumn(h, seeded_hash(key, seed)), [label],
                          [F.col(h), F.col(key)], {"__rn": F.lit(1).cast("bigint")},
-                         bucket=F.shiftright(h, 50), group_size="__class_n")
-    cut = F.ceil(F.col("__class_n") * F.lit(test_share)).cast("bigint")
+                         bucket=F.shiftright(h, 50), group_size="__class_n", extend=test_rows)
+    cut = F.col("__cut")
     is_test = F.col("__rn") <= cut
     return (out.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .withColumn("fold", F.when(is_test, F.lit(None))
                         .otherwise(((F.col("__rn") - cut - 1) % n_folds).cast("int")))
-            .drop(h, "__rn", "__class_n"))
+            .drop(h, "__rn", "__class_n", "__cut"))
 
 
 def population_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -90,17 +105,10 @@ def dummies_long(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame
                     F.when(F.col("value") == F.col("level"), 1.0).otherwise(0.0).alias("value")))
 
 
-MAX_LEVELS = 10_000
-
-
-def level_pairs(levels: DataFrame, max_levels: int = MAX_LEVELS) -> list[tuple[str, str]]:
-    """Sorted (feature, level) pairs of the non-reference levels, for building
-    a dense model matrix.  At most ``max_levels + 1`` rows ever reach the
-    driver; more levels than that is an error (use the long form instead)."""
-    rows = (levels.where(~F.col("is_reference")).select("feature", "level")
-            .limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} dummy levels; use dummies_long")
+def level_pairs(levels: DataFrame) -> list[tuple[str, str]]:
+    """Sorted (feature, level) pairs of the non-reference levels: the names of a
+    model's coefficients, which the fitted model keeps on the driver as well."""
+    rows = levels.where(~F.col("is_reference")).select("feature", "level").collect()
     return sorted((r["feature"], r["level"]) for r in rows)
 
 
@@ -121,7 +129,3 @@ def dummy_columns(df: DataFrame, cols: Sequence[str], levels: Sequence[tuple[str
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
-
-def log_odds_se(a: int, b: int, c: int, d: int) -> tuple[float, float]:
-    """Closed-form odds ratio and standard error of its log for a 2x2 table."""
-    return (a * d) / (b * c), math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)

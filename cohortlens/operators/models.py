@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.recode import direction, significance_stars
-from cohortlens.operators.features import assemble
+from cohortlens.operators.features import assemble, dummy_columns
 from cohortlens.operators.evaluation import roc_auc
 
 MAX_ITER = 2000
@@ -107,19 +107,65 @@ def significant_predictors(odds: DataFrame, alpha: float = 0.05) -> DataFrame:
             .orderBy("odds_ratio"))
 
 
-def cross_validated_auc(data: DataFrame, features: str, label: str, fold: str = "fold",
-                        n_folds: int = 5) -> DataFrame:
-    """Mean and population sd of the exact ROC-AUC over folds (each fold
-    scored by a model fitted on the other folds)."""
+def fold_statistics(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                    fold: str = "fold") -> dict:
+    """What each fold's fit takes from the other folds' rows, by fold: the mean
+    and population sd of the numeric columns and the sorted non-reference levels
+    of the categorical ones.  Two grouped aggregates serve all folds; the driver
+    gets one row per fold, and per fold and level."""
+    per = {r[fold]: r for r in train.groupBy(fold).agg(
+        *[f(c).alias(f"{c}__{n}") for c in numeric
+          for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))],
+        F.count(F.lit(1)).alias("__rows")).collect()}
+    long = train.select(fold, *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
+        [fold], list(categorical), "feature", "level") if categorical else None
+    seen = long.where(F.col("level").isNotNull()).distinct().collect() if categorical else []
+    out = {}
+    for k in sorted(per):
+        rest = [r for f, r in per.items() if f != k]
+        stats = {}
+        for c in numeric:
+            n = np.array([r[f"{c}__n"] for r in rest], float)
+            mean = np.array([r[f"{c}__mean"] or 0.0 for r in rest])
+            var = np.array([r[f"{c}__var"] or 0.0 for r in rest])
+            total = max(n.sum(), 1.0)
+            m = float((n * mean).sum() / total)
+            stats[c] = (m, float(np.sqrt((n * (var + (mean - m) ** 2)).sum() / total)))
+        levels = {(r["feature"], r["level"]) for r in seen if r[fold] != k}
+        first = {f: min(v for g, v in levels if g == f) for f, _ in levels}
+        out[k] = stats, sorted((f, v) for f, v in levels if v != first[f])
+    return out
+
+
+def cross_validated_auc(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                        label: str, fold: str = "fold", c: float = 1.0,
+                        score_digits: int | None = None) -> DataFrame:
+    """(fold, auc), not rounded: each fold is scored by a pipeline (scaling,
+    dummy levels, fit) that saw the other folds only.  A level that no other
+    fold has is zero in all dummies.  ``score_digits`` keeps ties that the fit's
+    tolerance would break.  The rows are persisted once for all folds."""
+    rows = train.select(fold, label, *numeric, *categorical).persist()
     aucs = []
-    for k in range(n_folds):
-        tr = data.where(F.col(fold) != k)
-        te = data.where(F.col(fold) == k)
-        m = fit_logistic(tr, features, label)
-        aucs.append(roc_auc(score(m, te), label=label, score="predicted_prob").first()["auc"])
-    a = np.array(aucs, dtype=float)
-    return data.sparkSession.createDataFrame(
-        [(float(a.mean()), float(a.std()), n_folds)], "mean_auc double, std_auc double, folds int")
+    try:
+        for k, (stats, levels) in fold_statistics(rows, numeric, categorical, fold).items():
+            scaled = rows.select("*", *[((F.col(x) - m) / (sd if sd > 0 else 1.0)).alias(f"{x}__z")
+                                        for x, (m, sd) in stats.items()])
+            wide, names = dummy_columns(scaled, categorical, levels)
+            data = assemble(wide, [f"{x}__z" for x in numeric] + names)
+            m = fit_logistic(data.where(F.col(fold) != k), "features", label, c)
+            scored = score(m, data.where(F.col(fold) == k))
+            if score_digits is not None:
+                scored = scored.withColumn("predicted_prob", F.round("predicted_prob", score_digits))
+            aucs.append((k, roc_auc(scored, label, "predicted_prob", digits=None).first()["auc"]))
+    finally:
+        rows.unpersist()
+    return train.sparkSession.createDataFrame(aucs, "fold int, auc double")
+
+
+def fold_summary(aucs: DataFrame) -> DataFrame:
+    """Mean and population sd of the folds' AUC."""
+    return aucs.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"),
+                    F.count(F.lit(1)).cast("int").alias("folds"))
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ of a group; the caller chooses slices of which a group has few.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +38,8 @@ def _col(c) -> Column:
 
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
                    values: dict[str, Column | str], bucket: Column | str,
-                   inclusive: bool = True, group_size: str | None = None) -> DataFrame:
+                   inclusive: bool = True, group_size: str | None = None,
+                   extend: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY by ORDER BY order ROWS
     UNBOUNDED PRECEDING .. CURRENT ROW)`` for each ``name: expr`` in
     ``values`` (``inclusive=False`` stops at 1 PRECEDING, NULL on the first
@@ -47,7 +48,10 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
 
     ``bucket`` names the slice of a row and must never fall (NULL lowest) as
     ``order`` goes on.  ``group_size`` names an extra column holding the row
-    count of each row's ``by`` group.  NULL is a group like any other."""
+    count of each row's ``by`` group.  ``extend`` may add columns to the table
+    of slice totals (the group keys are ``k0``, ``k1``, ... of its struct
+    ``KEY``); the rows get them with their totals.  NULL is a group like any
+    other."""
     exprs = {f"__v{i}": _col(e) for i, e in enumerate(values.values())}
     # A struct compares its NULL fields as equal, so the window, the aggregate
     # and the join share one plain key and one exchange of the rows.
@@ -64,13 +68,17 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence,
     carry = sums.select(KEY, *[F.sum(v).over(earlier).alias(f"{v}_before") for v in exprs],
                         *([F.sum("__n").over(group).alias(group_size)] if group_size else []))
 
+    given = set(carry.columns)
+    carry = extend(carry) if extend else carry
+    extra = [c for c in carry.columns if c not in given]
+
     def total(v):
         here, before = F.col(f"{v}_in"), F.col(f"{v}_before")
         return F.coalesce(here + before, here, before)
 
     return rows.join(carry, KEY).select(
         *df.columns, *[total(v).alias(name) for v, name in zip(exprs, values)],
-        *([group_size] if group_size else []))
+        *([group_size] if group_size else []), *extra)
 
 
 def value_edges(df: DataFrame, value: str, n: int = N_SLICES) -> list[float]:

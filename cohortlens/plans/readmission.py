@@ -5,6 +5,7 @@ proxy B."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -333,9 +334,56 @@ def q_significant_odds(spark, sf_dir):
 
 
 def q_cv_auc(spark, sf_dir):
-    data, _ = model_frame(spark, sf_dir)
-    return models.cross_validated_auc(data.where(F.col("split") == "train"), "features",
-                                      "readmitted_30")
+    train = split_table(spark, sf_dir).where(F.col("split") == "train")
+    return models.fold_summary(models.cross_validated_auc(train, NUMERIC, CATEGORICAL, "readmitted_30"))
+
+
+# A model of one categorical predictor with next to no penalty gives each group
+# its rate, so these have SQL.
+GROUP = "diag1_group"
+NO_PENALTY = 1e9
+
+
+def group_scores(spark, sf_dir):
+    """Test rows scored by the model of one categorical predictor."""
+    s = split_table(spark, sf_dir)
+    train = s.where(F.col("split") == "train")
+    wide, names = fe.dummy_columns(s, [GROUP], fe.level_pairs(fe.category_levels(train, [GROUP])))
+    data = fe.assemble(wide, names)
+    m = models.fit_logistic(data.where(F.col("split") == "train"), "features", "readmitted_30", NO_PENALTY)
+    scored = models.score(m, data.where(F.col("split") == "test"))
+    return scored.select("encounter_id", F.col("readmitted_30").alias("label"), F.round("predicted_prob", 4).alias("score"))
+
+
+def q_group_scores(spark, sf_dir):
+    return group_scores(spark, sf_dir)
+
+
+def q_group_metrics(spark, sf_dir):
+    return ev.ranking_metrics(group_scores(spark, sf_dir))
+
+
+def q_group_odds(spark, sf_dir):
+    """Odds of each diagnosis group against the first one, with stars from p."""
+    a = analytic_table(spark, sf_dir)
+    wide, names = fe.dummy_columns(a, [GROUP], fe.level_pairs(fe.category_levels(a, [GROUP])))
+    odds = models.fit_glm_odds(wide, names, "readmitted_30")
+    return odds.select("predictor", F.round("odds_ratio", 4).alias("odds_ratio"),
+                       F.round("std_error", 4).alias("std_error"), "signif", "direction", "significant")
+
+
+def q_group_cv_auc(spark, sf_dir):
+    train = split_table(spark, sf_dir).where(F.col("split") == "train")
+    aucs = models.cross_validated_auc(train, [], [GROUP], "readmitted_30", c=NO_PENALTY, score_digits=4)
+    return aucs.select("fold", F.round("auc", 6).alias("auc"))
+
+
+def q_assembled(spark, sf_dir):
+    """The assembled vectors of the test rows, one row per entry that isn't 0."""
+    data, dummies = model_frame(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in NUMERIC + dummies])
+    v = data.where(F.col("split") == "test").select("encounter_id", F.posexplode(vector_to_array("features")).alias("pos", "v"))
+    return v.select("encounter_id", names[F.col("pos")].alias("feature"), F.round("v", 6).alias("value")).where(F.col("value") != 0)
 
 
 def q_vif(spark, sf_dir):
@@ -387,14 +435,20 @@ analytic AS (
          {_DISCHARGE_SQL} AS discharge_group,
          {_ADMISSION_SQL} AS admission_type_grp
   FROM first_enc),
+class_share AS (
+  SELECT y, wanted, wanted * n // total AS whole, wanted * n % total AS rest
+  FROM (SELECT readmitted_30 AS y, COUNT(*) AS n FROM analytic GROUP BY 1),
+       (SELECT COUNT(*) AS total, CAST(CEIL(COUNT(*) * {fe.TEST_SHARE!r}) AS BIGINT) AS wanted FROM analytic)),
+class_cut AS (
+  SELECT y, whole + (wanted - (SELECT SUM(whole) FROM class_share)
+                     >= ROW_NUMBER() OVER (ORDER BY rest DESC, y))::INTEGER AS cut
+  FROM class_share),
 split AS (
-  SELECT *, CASE WHEN rn <= CEIL(class_n * {fe.TEST_SHARE!r}) THEN 'test' ELSE 'train' END AS split,
-         CASE WHEN rn <= CEIL(class_n * {fe.TEST_SHARE!r}) THEN NULL
-              ELSE CAST((rn - CAST(CEIL(class_n * {fe.TEST_SHARE!r}) AS BIGINT) - 1) % {fe.N_FOLDS} AS INTEGER) END AS fold
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY readmitted_30 ORDER BY h, encounter_id) AS rn,
-               COUNT(*) OVER (PARTITION BY readmitted_30) AS class_n
+  SELECT * EXCLUDE (y), CASE WHEN rn <= cut THEN 'test' ELSE 'train' END AS split,
+         CASE WHEN rn > cut THEN CAST((rn - cut - 1) % {fe.N_FOLDS} AS INTEGER) END AS fold
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY readmitted_30 ORDER BY h, encounter_id) AS rn
         FROM (SELECT *, ('0x' || substr(md5(CAST(encounter_id AS VARCHAR) || ':{fe.SEED}'), 1, 15))::BIGINT AS h
-              FROM analytic)))"""
+              FROM analytic)) JOIN class_cut ON y = readmitted_30)"""
 
 
 def _w(body: str) -> str:
@@ -502,4 +556,35 @@ FROM (SELECT CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c) AS odds_ratio,
                    COUNT(*) FILTER (WHERE x = 0 AND readmitted_30 = 0) AS d
             FROM (SELECT readmitted_30, CASE WHEN discharge_group = 'Transferred/Other' THEN 1 ELSE 0 END AS x
                   FROM analytic)))"""),
+    "q_group_scores": _w("""SELECT encounter_id, readmitted_30 AS label, ROUND(rate, 4) AS score
+FROM split JOIN (SELECT diag1_group, AVG(readmitted_30) AS rate FROM split WHERE split = 'train' GROUP BY 1) USING (diag1_group)
+WHERE split = 'test'"""),
+    "q_group_metrics": _w(""", s AS (
+  SELECT readmitted_30 AS label, ROUND(rate, 4) AS score FROM split
+  JOIN (SELECT diag1_group, AVG(readmitted_30) AS rate FROM split WHERE split = 'train' GROUP BY 1) USING (diag1_group)
+  WHERE split = 'test'),
+steps AS (SELECT score, SUM(label) AS p, COUNT(*) AS n FROM s GROUP BY score)
+SELECT (SELECT ROUND(AVG(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6)
+        FROM s a, s b WHERE a.label = 1 AND b.label = 0) AS auc,
+       (SELECT ROUND(SUM(t.p / (SELECT SUM(p) FROM steps) * (SELECT SUM(u.p) / SUM(u.n) FROM steps u WHERE u.score >= t.score)), 6)
+        FROM steps t) AS average_precision,
+       (SELECT ROUND(AVG(label), 6) FROM s) AS prevalence"""),
+    "q_group_odds": _w(""", t AS (SELECT diag1_group AS g, SUM(readmitted_30) AS a, SUM(1 - readmitted_30) AS b FROM analytic GROUP BY 1),
+o AS (SELECT t.g, CAST(t.a AS DOUBLE) * r.b / (CAST(t.b AS DOUBLE) * r.a) AS ratio, SQRT(1.0 / t.a + 1.0 / t.b + 1.0 / r.a + 1.0 / r.b) AS se
+      FROM t, t r WHERE r.g = (SELECT MIN(g) FROM t) AND t.g <> r.g)
+SELECT 'diag1_group_' || g AS predictor, ROUND(ratio, 4) AS odds_ratio, ROUND(se, 4) AS std_error,
+       repeat('*', (ABS(ln(ratio)) / se > 1.959963984540054)::INTEGER + (ABS(ln(ratio)) / se > 2.5758293035489004)::INTEGER
+                   + (ABS(ln(ratio)) / se > 3.2905267314919255)::INTEGER) AS signif,
+       CASE WHEN ratio > 1 THEN 'Increases risk' ELSE 'Decreases risk' END AS direction,
+       ABS(ln(ratio)) / se > 1.959963984540054 AS significant
+FROM o"""),
+    "q_group_cv_auc": _w(""", tr AS (SELECT fold, diag1_group AS g, readmitted_30 AS y FROM split WHERE split = 'train'),
+s AS (SELECT f.fold, f.y, (SELECT ROUND(AVG(o.y), 4) FROM tr o WHERE o.fold <> f.fold AND o.g = f.g) AS score FROM tr f)
+SELECT p.fold, ROUND(AVG(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END), 6) AS auc
+FROM s p JOIN s n ON p.fold = n.fold AND p.y = 1 AND n.y = 0 GROUP BY p.fold"""),
 }
+# The entries of the vectors are the scaled columns and the dummies that two
+# other queries give, of the test rows.
+ORACLE["q_assembled"] = ("SELECT encounter_id, feature, value FROM (UNPIVOT (" + ORACLE["q_standardize"] + ") ON "
+                         + ", ".join(NUMERIC) + " INTO NAME feature VALUE value) WHERE value <> 0 UNION ALL SELECT encounter_id, dummy, value FROM ("
+                         + ORACLE["q_dummies"] + ") WHERE value <> 0 AND encounter_id IN (SELECT encounter_id FROM (" + ORACLE["q_attach"] + "))")

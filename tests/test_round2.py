@@ -36,3 +36,27 @@ def test_null_score_has_no_bin(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "score double")
     got = evaluation.qcut(df, q=5).collect()
     assert [r["decile"] for r in got if r["score"] is None] == [None] and {r["decile"] for r in got} == {0, 1, 2, 3, 4, None}
+
+
+def test_folds_take_their_statistics_from_the_other_folds(spark):
+    rows = [(i % 3, float(i), "only" if i == 3 else "ab"[i % 2], (i // 3) % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "fold int, x double, g string, y int")
+    got = models.fold_statistics(df, ["x"], ["g"])
+    for k in range(3):
+        rest = [r for r in rows if r[0] != k]
+        mean = sum(r[1] for r in rest) / len(rest)
+        sd = math.sqrt(sum((r[1] - mean) ** 2 for r in rest) / len(rest))
+        stats, levels = got[k]
+        assert math.isclose(stats["x"][0], mean) and math.isclose(stats["x"][1], sd)
+        assert levels == [("g", v) for v in sorted({r[2] for r in rest})[1:]]
+    assert "only" not in {v for _, v in got[0][1]}
+    aucs = models.cross_validated_auc(df, ["x"], ["g"], "y").collect()
+    assert [r["fold"] for r in aucs] == [0, 1, 2] and all(0 <= r["auc"] <= 1 for r in aucs)
+
+
+def test_split_gives_the_odd_row_to_the_largest_remainder(spark):
+    from cohortlens.operators import features
+    df = spark.range(1, 24).select(F.col("id"), F.when(F.col("id") <= 17, 0).when(F.col("id") <= 21, 1).alias("y"))
+    got = features.stratified_split(df, "id", "y").where("split = 'test'").groupBy("y").count().collect()
+    # 6 of 23 rows: shares 4.43, 1.04 and 0.52 (a NULL class is a class).
+    assert {r["y"]: r["count"] for r in got} == {0: 4, 1: 1, None: 1}
