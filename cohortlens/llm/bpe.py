@@ -85,6 +85,26 @@ class Vocabulary:
             ids[i:i + 2] = [new]
         return ids
 
+    def apart(self, left: bytes, right: bytes) -> list[int] | None:
+        """``merge(left + right)``, given up (None) as soon as a token crosses the border."""
+        get = self.merges.get
+        ids = [self.ids[left[i:i + 1]] for i in range(len(left))]
+        border = len(ids)
+        ids += [self.ids[right[i:i + 1]] for i in range(len(right))]
+        while True:
+            best, at = None, 0
+            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
+                m = get(pair)
+                if m is not None and (best is None or m[0] < best[0]):
+                    best, at = m, i
+            if best is None:
+                return ids
+            if at < border:
+                if at == border - 1:
+                    return None
+                border -= 1
+            ids[at:at + 2] = [best[1]]
+
 
 class WordTrie:
     """Encodes sets of distinct words by last-token states along a trie walk."""
@@ -105,6 +125,8 @@ class WordTrie:
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = i
+        # A token and a byte after it: the token of both (token * 256 + byte -> token).
+        self.longer = {vocab.ids[w[:-1]] << 8 | w[-1]: i for w, i in vocab.ids.items() if w[:-1] in vocab.ids}
         self.pairs: dict[int, bool] = {}
 
     def valid(self, a: int, b: int) -> bool:
@@ -115,13 +137,16 @@ class WordTrie:
             if len(self.pairs) >= PAIRS_MAX:
                 self.pairs.clear()
             v = self.vocab
-            known = v.merge((v.bytes[a] if a >= 0 else b"") + v.bytes[b]) == ([a, b] if a >= 0 else [b])
+            if a < 0:
+                known = v.merge(v.bytes[b]) == [b]
+            else:  # two tokens that merge are no encoding
+                known = (a, b) not in v.merges and v.apart(v.bytes[a], v.bytes[b]) == [a, b]
             self.pairs[key] = known
         return known
 
     def encode(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(word, ids as little-endian uint32) for each word, in depth-first order."""
-        back, ends, length, pairs, valid = self.back, self.ends, self.length, self.pairs, self.valid
+        back, ends, length, pairs, valid, longer = self.back, self.ends, self.length, self.pairs, self.valid, self.longer
         state = [-1]  # of each node on the path from the root
         before = b""
         for word in sorted(words):
@@ -130,6 +155,16 @@ class WordTrie:
                 keep += 1
             del state[keep + 1:]
             for i in range(keep + 1, n + 1):
+                # There is one encoding, so the likeliest last token may be tried
+                # first: the one before with this byte added.
+                t = longer.get(state[i - 1] << 8 | word[i - 1]) if i > 1 else None
+                if t is not None:
+                    j = i - length[t]
+                    a = state[j] if j else -1
+                    ok = pairs.get((a + 1) << 32 | t)
+                    if valid(a, t) if ok is None else ok:
+                        state.append(t)
+                        continue
                 node, j = 0, i
                 while j:
                     node = back.get(node << 8 | word[j - 1])
