@@ -93,9 +93,9 @@ def _confusion_cols(tp, fp, fn, n, digits):
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0))
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
     f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0))
-    return [F.round(prec, digits).alias("precision"), F.round(rec, digits).alias("recall"),
-            F.round(f1, digits).alias("f1"),
-            F.round(100.0 * (tp + fp) / n, 1).alias("flagged_pct")]
+    return [F.bround(prec, digits).alias("precision"), F.bround(rec, digits).alias("recall"),
+            F.bround(f1, digits).alias("f1"),
+            F.bround(100.0 * (tp + fp) / n, 1).alias("flagged_pct")]
 
 
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLDS,
@@ -128,7 +128,7 @@ def capacity_threshold(df: DataFrame, capacity: float, score: str = "score") ->
     return (df.crossJoin(F.broadcast(q))
             .agg(F.first("threshold").alias("threshold"),
                  F.count_if(F.col(score) >= F.col("threshold")).alias("flagged"),
-                 F.round(F.try_divide(100.0 * F.count_if(F.col(score) >= F.col("threshold")),
+                 F.bround(F.try_divide(100.0 * F.count_if(F.col(score) >= F.col("threshold")),
                                       F.count(F.lit(1))), 1).alias("flagged_pct")))
 
 
@@ -144,9 +144,9 @@ def confusion(df: DataFrame, threshold_df: DataFrame, label: str = "label",
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     n = F.col("tn") + fp + fn + tp
     return c.select("tn", "fp", "fn", "tp",
-                    F.round(F.try_divide(100.0 * tp, tp + fn), 1).alias("recall_pct"),
-                    F.round(F.try_divide(100.0 * tp, tp + fp), 1).alias("precision_pct"),
-                    F.round(F.try_divide(100.0 * (tp + fp), n), 1).alias("flagged_pct"))
+                    F.bround(F.try_divide(100.0 * tp, tp + fn), 1).alias("recall_pct"),
+                    F.bround(F.try_divide(100.0 * tp, tp + fp), 1).alias("precision_pct"),
+                    F.bround(F.try_divide(100.0 * (tp + fp), n), 1).alias("flagged_pct"))
 
 
 def qcut(df: DataFrame, score: str = "score", q: int = N_BINS, name: str = "decile") -> DataFrame:
@@ -172,10 +172,10 @@ def decile_table(binned: DataFrame, label: str = "label", score: str = "score",
                                     F.avg(score).alias("avg_score"))
     w = Window.orderBy(F.col(bin_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     wall = Window.partitionBy()
-    return (g.withColumn("rate_pct", F.round(100.0 * F.col("rate"), digits))
-            .withColumn("capture_pct", F.round(F.try_divide(100.0 * F.sum("positives").over(w),
+    return (g.withColumn("rate_pct", F.bround(100.0 * F.col("rate"), digits))
+            .withColumn("capture_pct", F.bround(F.try_divide(100.0 * F.sum("positives").over(w),
                                                             F.sum("positives").over(wall)), digits))
-            .withColumn("contacted_pct", F.round(F.try_divide(100.0 * F.sum("n").over(w),
+            .withColumn("contacted_pct", F.bround(F.try_divide(100.0 * F.sum("n").over(w),
                                                               F.sum("n").over(wall)), digits)))
 
 
@@ -186,7 +186,7 @@ def lift(table: DataFrame, baseline: DataFrame, bin_col: str = "decile",
     top = table.orderBy(F.col(bin_col).desc()).limit(1).select(F.col("rate").alias("top_rate"))
     return top.crossJoin(baseline).select(
         "top_rate", "baseline_rate",
-        F.round(F.try_divide(F.col("top_rate"), F.col("baseline_rate")), digits).alias("lift"))
+        F.bround(F.try_divide(F.col("top_rate"), F.col("baseline_rate")), digits).alias("lift"))
 
 
 def tiers(df: DataFrame, score: str = "score", high: float = TIER_HIGH,
@@ -228,7 +228,7 @@ def tier_rates(tiered: DataFrame, label: str = "label", name: str = "risk_tier",
                digits: int = 1) -> DataFrame:
     return tiered.groupBy(name).agg(F.count(F.lit(1)).alias("n"),
                                     F.sum(F.col(label).cast("bigint")).alias("positives"),
-                                    F.round(100.0 * F.avg(label), digits).alias("rate_pct"))
+                                    F.bround(100.0 * F.avg(label), digits).alias("rate_pct"))
 
 
 def gains_curve(table: DataFrame) -> DataFrame:
@@ -250,18 +250,18 @@ def kpi_strip(scored: DataFrame, population: DataFrame, auc: DataFrame, table: D
     population baseline."""
     y = F.col(label) == 1
     hi = F.col(tier_col) == "High"
-    pct = lambda a, b: F.round(F.try_divide(100.0 * a, b), 1)  # noqa: E731  (NULL on 0)
+    pct = lambda a, b: F.bround(F.try_divide(100.0 * a, b), 1)  # noqa: E731  (NULL on 0)
     s = scored.agg(F.count(F.lit(1)).alias("test_rows"),
                    pct(F.count_if(hi), F.count(F.lit(1))).alias("high_tier_share_pct"),
-                   F.round(100.0 * F.avg(F.when(hi, F.col(label))), 1).alias("high_tier_rate_pct"),
+                   F.bround(100.0 * F.avg(F.when(hi, F.col(label))), 1).alias("high_tier_rate_pct"),
                    pct(F.count_if(hi & y), F.count_if(y)).alias("recall_at_high_tier_pct"),
                    pct(F.count_if(hi & y), F.count_if(hi)).alias("precision_at_high_tier_pct"))
     p = population.agg(F.count(F.lit(1)).alias("total_rows"),
                        F.avg(F.col(pop_label)).alias("__base"))
     top = table.orderBy(F.col("decile").desc()).limit(1).select(F.col("rate").alias("__top"))
-    return (s.crossJoin(p).crossJoin(auc.select(F.round("auc", 3).alias("model_auc"))).crossJoin(top)
+    return (s.crossJoin(p).crossJoin(auc.select(F.bround("auc", 3).alias("model_auc"))).crossJoin(top)
             .select("total_rows", "test_rows",
-                    F.round(100.0 * F.col("__base"), 2).alias("baseline_rate_pct"), "model_auc",
+                    F.bround(100.0 * F.col("__base"), 2).alias("baseline_rate_pct"), "model_auc",
                     "high_tier_share_pct", "high_tier_rate_pct", "recall_at_high_tier_pct",
                     "precision_at_high_tier_pct",
-                    F.round(F.try_divide(F.col("__top"), F.col("__base")), 2).alias("lift_top_decile")))
+                    F.bround(F.try_divide(F.col("__top"), F.col("__base")), 2).alias("lift_top_decile")))

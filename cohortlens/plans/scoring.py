@@ -102,10 +102,10 @@ thr AS (SELECT quantile_cont(score, """ + repr(1.0 - CAPACITY) + """) AS hi,
 tiered AS (SELECT scores.*, CASE WHEN score >= hi THEN 'High' WHEN score >= med THEN 'Medium'
                                  ELSE 'Low' END AS risk_tier FROM scores, thr),
 dtab AS (SELECT decile, n, positives, rate, ROUND(avg_score, 9) AS avg_score,
-                ROUND(100.0 * rate, 1) AS rate_pct,
-                ROUND(100.0 * SUM(positives) OVER (ORDER BY decile DESC ROWS UNBOUNDED PRECEDING)
+                round_even(100.0 * rate, 1) AS rate_pct,
+                round_even(100.0 * SUM(positives) OVER (ORDER BY decile DESC ROWS UNBOUNDED PRECEDING)
                       / SUM(positives) OVER (), 1) AS capture_pct,
-                ROUND(100.0 * SUM(n) OVER (ORDER BY decile DESC ROWS UNBOUNDED PRECEDING)
+                round_even(100.0 * SUM(n) OVER (ORDER BY decile DESC ROWS UNBOUNDED PRECEDING)
                       / SUM(n) OVER (), 1) AS contacted_pct
          FROM (SELECT decile, COUNT(*) AS n, SUM(label) AS positives, AVG(label) AS rate,
                       AVG(score) AS avg_score FROM binned GROUP BY decile)),
@@ -134,17 +134,17 @@ FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS
   FROM sc CROSS JOIN (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES {_SWEEP_VALUES}) v(t))
   GROUP BY threshold)
 SELECT threshold,
-       ROUND(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END, 4) AS precision,
-       ROUND(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END, 4) AS recall,
-       ROUND(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1,
-       ROUND(100.0 * CAST(tp + fp AS DOUBLE) / n, 1) AS flagged_pct
+       round_even(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END, 4) AS precision,
+       round_even(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END, 4) AS recall,
+       round_even(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1,
+       round_even(100.0 * CAST(tp + fp AS DOUBLE) / n, 1) AS flagged_pct
 FROM g""",
     "q_capacity_threshold": _BASE + """SELECT hi AS threshold, COUNT(*) FILTER (WHERE score >= hi) AS flagged,
-       ROUND(100.0 * COUNT(*) FILTER (WHERE score >= hi) / COUNT(*), 1) AS flagged_pct
+       round_even(100.0 * COUNT(*) FILTER (WHERE score >= hi) / COUNT(*), 1) AS flagged_pct
 FROM scores, thr GROUP BY hi""",
-    "q_confusion": _BASE + """SELECT tn, fp, fn, tp, ROUND(100.0 * tp / (tp + fn), 1) AS recall_pct,
-       ROUND(100.0 * tp / (tp + fp), 1) AS precision_pct,
-       ROUND(100.0 * (tp + fp) / (tn + fp + fn + tp), 1) AS flagged_pct
+    "q_confusion": _BASE + """SELECT tn, fp, fn, tp, round_even(100.0 * tp / (tp + fn), 1) AS recall_pct,
+       round_even(100.0 * tp / (tp + fp), 1) AS precision_pct,
+       round_even(100.0 * (tp + fp) / (tn + fp + fn + tp), 1) AS flagged_pct
 FROM (SELECT COUNT(*) FILTER (WHERE score < hi AND label <> 1) AS tn,
              COUNT(*) FILTER (WHERE score >= hi AND label <> 1) AS fp,
              COUNT(*) FILTER (WHERE score < hi AND label = 1) AS fn,
@@ -152,11 +152,11 @@ FROM (SELECT COUNT(*) FILTER (WHERE score < hi AND label <> 1) AS tn,
     "q_qcut": _BASE + "SELECT decile, COUNT(*) AS n, SUM(label) AS positives FROM binned GROUP BY decile",
     "q_qcut_rows": _BASE + "SELECT id, decile FROM binned",
     "q_decile_table": _BASE + "SELECT * FROM dtab",
-    "q_lift": _BASE + """SELECT top_rate, baseline_rate, ROUND(top_rate / baseline_rate, 2) AS lift
+    "q_lift": _BASE + """SELECT top_rate, baseline_rate, round_even(top_rate / baseline_rate, 2) AS lift
 FROM (SELECT rate AS top_rate FROM dtab ORDER BY decile DESC LIMIT 1),
      (SELECT AVG(label) AS baseline_rate FROM scores)""",
     "q_tier_rates": _BASE + """SELECT risk_tier, COUNT(*) AS n, SUM(label) AS positives,
-       ROUND(100.0 * AVG(label), 1) AS rate_pct FROM tiered GROUP BY risk_tier""",
+       round_even(100.0 * AVG(label), 1) AS rate_pct FROM tiered GROUP BY risk_tier""",
     "q_gains_curve": _BASE + """SELECT 0.0::DOUBLE AS contacted_pct, 0.0::DOUBLE AS captured_pct, 0 AS step
 UNION ALL
 SELECT CAST(contacted_pct AS DOUBLE), CAST(capture_pct AS DOUBLE),
@@ -165,15 +165,15 @@ SELECT CAST(contacted_pct AS DOUBLE), CAST(capture_pct AS DOUBLE),
        b.decile AS risk_decile, t.risk_tier
 FROM tiered t JOIN binned b ON t.id = b.id""",
     "q_kpi": _BASE + """SELECT (SELECT COUNT(*) FROM scores) AS total_rows, COUNT(*) AS test_rows,
-       ROUND(100.0 * (SELECT AVG(label) FROM scores), 2) AS baseline_rate_pct,
-       (SELECT ROUND(auc, 3) FROM auc) AS model_auc,
-       ROUND(100.0 * COUNT(*) FILTER (WHERE risk_tier = 'High') / COUNT(*), 1) AS high_tier_share_pct,
-       ROUND(100.0 * AVG(label) FILTER (WHERE risk_tier = 'High'), 1) AS high_tier_rate_pct,
-       ROUND(100.0 * COUNT(*) FILTER (WHERE risk_tier = 'High' AND label = 1)
+       round_even(100.0 * (SELECT AVG(label) FROM scores), 2) AS baseline_rate_pct,
+       (SELECT round_even(auc, 3) FROM auc) AS model_auc,
+       round_even(100.0 * COUNT(*) FILTER (WHERE risk_tier = 'High') / COUNT(*), 1) AS high_tier_share_pct,
+       round_even(100.0 * AVG(label) FILTER (WHERE risk_tier = 'High'), 1) AS high_tier_rate_pct,
+       round_even(100.0 * COUNT(*) FILTER (WHERE risk_tier = 'High' AND label = 1)
              / COUNT(*) FILTER (WHERE label = 1), 1) AS recall_at_high_tier_pct,
-       ROUND(100.0 * COUNT(*) FILTER (WHERE risk_tier = 'High' AND label = 1)
+       round_even(100.0 * COUNT(*) FILTER (WHERE risk_tier = 'High' AND label = 1)
              / COUNT(*) FILTER (WHERE risk_tier = 'High'), 1) AS precision_at_high_tier_pct,
-       ROUND((SELECT rate FROM dtab ORDER BY decile DESC LIMIT 1) / (SELECT AVG(label) FROM scores), 2)
+       round_even((SELECT rate FROM dtab ORDER BY decile DESC LIMIT 1) / (SELECT AVG(label) FROM scores), 2)
            AS lift_top_decile
 FROM tiered""",
 }
