@@ -1,6 +1,6 @@
 """Operator 1: approximate nearest neighbours by a permutation index.
 
-A bounded sample of the vectors serves as pivots.  Each vector is represented by
+A bounded sample of the distinct vectors serves as pivots.  Each vector is represented by
 the order of its ``length`` nearest pivots and posted, with the pivot's rank, in
 the inverted file of each of them.  A query reads the files of its own nearest
 pivots and adds up the footrule distance: the difference of the two ranks in a
@@ -105,8 +105,10 @@ def search(vectors: DataFrame, query_ids, k: int = K, id_column: str = "vec_id",
     if usual is None:
         return spark.createDataFrame([], schema)
     dim, top, n = usual["size"], usual["top"], usual["n"]
-    good = good.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # bounded: the pivots
+    good = good.where(F.size("v") == dim)
+    distinct = good.groupBy("v").agg(F.min("vec_id").alias("vec_id"))  # copies of a vector are one pivot
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()  # bounded: the pivots
+    good = good.dropDuplicates(["vec_id", "v"])
     p = np.array([r["v"] for r in sample])
     extra = lambda x: np.sqrt(np.maximum(0.0, top - np.einsum("ij,ij->i", x, x)))
     pivot_rows = np.column_stack([p, extra(p)])

@@ -361,3 +361,22 @@ def test_neighbours_of_odd_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in permutation_index.search(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 20, 3.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 9, -1.0), (20, 1, 9, 17.0), (20, 2, 0, 3.0), (20, 3, 1, 3.0), (20, 4, 2, 3.0)]
     assert permutation_index.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_neighbours_beside_many_copies(spark):
+    """One vector holds a third of the rows; recall of the others' queries (sf0.1: more vectors than the least number of candidates)."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(2000)
+    copy = rows.where("vec_id % 20 = 1").orderBy("vec_id").first()["embedding"]
+    copies = spark.range(10**7, 10**7 + 1000).select((F.col("id") * 20 + 1).alias("vec_id"), F.lit(copy).cast(rows.schema["embedding"].dataType).alias("embedding"))
+    every = rows.union(copies)
+    found = defaultdict(list)
+    for r in permutation_index.search(every, F.col("vec_id") % 20 == 0, k=20).collect():
+        found[r["query_id"]].append(r["vec_id"])
+    data = every.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in data]), np.array([r["embedding"] for r in data], float)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(found[ids[q]]) & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(found) and all(len(v) == 20 for v in found.values()), hits / (20 * len(found))
