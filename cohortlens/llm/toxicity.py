@@ -6,12 +6,17 @@ deterministic as words need it, so a word costs one look-up per letter and ends
 at the first letter where no term is near enough.  Terms are whole words (seeds
 and learned) with edits allowed by their length, or stems that match exactly.
 
+A word that is near a term counts as its misspelling only if it is no ordinary
+word itself: neither a fixed one (words near the seeds), nor one that more clean
+than toxic labelled texts hold, nor one that more texts hold than the term.
+
 Each hit is weighed by the words around it: quotation marks around it or a verb
 of reporting make it a quotation, a second-person word makes it abuse.  The
 sums per kind of hit, saturated, go into a logistic model.
 
 What is learned (stems of the lexicon and the model's four numbers) comes from a
-bounded sample of the labelled rows; scoring is one pass over the texts.
+bounded sample of the labelled rows, ordinary words from one pass over the texts
+that aren't held out; scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -30,6 +35,11 @@ from .common import text_steps
 #: Seed lexicon of insults, one per word.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "bastard", "imbecile", "dumbass",
          "idiota", "estúpido", "imbécil", "connard", "salaud", "crétin", "arschloch", "dummkopf", "vollidiot")
+#: Ordinary words within the seeds' edits.
+ORDINARY = frozenset("""idiom idioma boron coron koron moon moran mormon morn moro moroni morton moton morin brash crash rash thrash tras trask
+    closer lose losed loses laser lober loger loner looser loper louer lover lower loyer moser oser poser doser blown chown clon crown flown bustard bonnard
+    aphetic apathetic athetic athletic bathetic empathetic epithetic esthetic pathetisch pathic mirthless mouthless toothless wordless workless worthies
+    worthiest worthiness youthless degusting digesting discussing disguising disputing disrupting distrusting salad escupido""".split())
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes word words term so-called dit dijo escribió sagte schrieb écrit mot palabra wort".split())
 SECOND = frozenset("you your you're u ur tu te toi vous votre du dich dir dein sie ihr usted ustedes tú vos eres bist es".split())
 QUOTES = "\"“”„«»‘’'"
@@ -41,6 +51,8 @@ QUOTED, DIRECT = 0.2, 1.3
 #: Labelled rows that are learned from, at most; lengths of stems, their least toxic rows, most in number, and most other rows by toxic row.
 SAMPLE, STEM_LENGTHS, STEM_ROWS, STEMS, STEM_SHARE = 20_000, (4, 5, 6, 8), 8, 400, 0.02
 THRESHOLD = 0.3
+#: Texts that hold a word that the corpus alone makes ordinary, toxic labelled texts from which on the labels decide, and most such words.
+FREQUENT, LABELLED, FORMS = 5, 3, 100_000
 
 
 def edits_of(term: str) -> int:
@@ -117,6 +129,11 @@ class FuzzyLexicon:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """("word" or "stem", edits) of the nearest term, if one is near enough."""
+        hit = self.nearest(word)
+        return None if hit is None else hit[:2]
+
+    def nearest(self, word: str) -> tuple[str, int, str] | None:
+        """The same with the term, which is empty for stems."""
         s, stem = self.start, False
         for c in word:
             c = c if c in self.letters else ""
@@ -125,13 +142,13 @@ class FuzzyLexicon:
             if t is None:
                 t = moves[c] = self._move(s, c)
             if t < 0:
-                return ("stem", 0) if stem else None
+                return ("stem", 0, "") if stem else None
             s = t
             stem = stem or self.stems_at[s]
         end = self.final[s]
         if end is not None and (end[0] == 0 or not stem):
-            return "word", end[0]
-        return ("stem", 0) if stem else None
+            return "word", end[0], self.words[end[1]]
+        return ("stem", 0, "") if stem else None
 
 
 def bare(chunk: str) -> str:
@@ -162,8 +179,8 @@ def context(chunks: list[str], i: int) -> float:
 class Features:
     """Three sums per text: exact words, misspelled words, stems; each weighed by context, at most 3."""
 
-    def __init__(self, lexicon: FuzzyLexicon):
-        self.lexicon, self.store = lexicon, Store()
+    def __init__(self, lexicon: FuzzyLexicon, ordinary: frozenset = frozenset()):
+        self.lexicon, self.ordinary, self.store = lexicon, ORDINARY | ordinary, Store()
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
@@ -172,7 +189,7 @@ class Features:
         for c in new:
             w = bare(c)
             hit = find(w) if len(w) > 2 else None
-            now[c] = None if hit is None else 2 if hit[0] == "stem" else min(hit[1], 1)
+            now[c] = None if hit is None or (hit[1] and w in self.ordinary) else 2 if hit[0] == "stem" else min(hit[1], 1)
         out = np.zeros((len(texts), 3))
         for row, chunks in zip(out, cut, strict=True):
             hits = [(i, k) for i, k in enumerate(map(now.__getitem__, chunks)) if k is not None]
@@ -199,8 +216,39 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(stems, model) from at most ``sample`` labelled rows that aren't held out.
+def is_ordinary(clean: int, toxic: int, n: int, term: int) -> bool:
+    """By the labelled texts and all texts that hold a word, and the texts that hold the term which it is near."""
+    return clean > toxic or (n >= FREQUENT and n > term and toxic < LABELLED)
+
+
+def near_words(texts: DataFrame, lexicon: tuple) -> list[tuple[str, int, int, int, int]]:
+    """(word, clean, toxic, n, term): distinct labelled and all texts that hold a
+    word near a term, if it may be ordinary, and those that hold the term."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, known = FuzzyLexicon(*lexicon).nearest, Store()
+        for part, texts_ in text_steps(batches):
+            rows = []
+            cut = [set(t.split()) for t in texts_]
+            for c in known.missing(set().union(*cut)):
+                w = bare(c)
+                hit = near(w) if len(w) > 2 else None
+                known.now[c] = None if hit is None or hit[0] == "stem" or w in ORDINARY else (w, hit[2])
+            for x, label, key in zip(cut, part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                rows += [(*hit, label, key) for hit in {known.now[c] for c in x} if hit is not None]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["word", "near", "toxic", "key"])
+
+    held = texts.select("toxic", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "word string, near string, toxic int, key long")
+    once = held.groupBy("word", "near", "key").agg(F.max(F.coalesce(F.col("toxic") == 0, F.lit(False)).cast("int")).alias("clean"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("toxic"))
+    total = once.groupBy("word", "near").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    # Bounded: the terms, and at most FORMS other words.
+    may = total.where((F.col("word") == F.col("near")) | (F.col("clean") > 0) | (F.col("n") >= FREQUENT)).orderBy(F.col("word") != F.col("near"), F.desc("n"), "word").limit(FORMS).collect()
+    term = {r["word"]: r["n"] for r in may if r["word"] == r["near"]}
+    return [(r["word"], r["clean"], r["toxic"], r["n"], term.get(r["near"], 0)) for r in may if r["word"] != r["near"]]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple[list[str], list[str], frozenset], np.ndarray]:
+    """((words, stems, ordinary words), model) from at most ``sample`` labelled rows that aren't held out.
 
     Stems are beginnings of words that toxic rows hold and other rows don't;
     first the toxic rows propose them, then all sampled rows count them.
@@ -236,27 +284,32 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
             stems.append(s)
     stems = sorted(stems, key=lambda s: (-n[s, 1], s))[:STEMS]
     lexicon = (list(SEEDS), stems)
+    near = near_words(own.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id", "left"), lexicon)
+    ordinary = frozenset(w for w, *n in near if is_ordinary(*n))
+    # A row's features are those that it would have, had its own words not been counted.
+    without = {y: frozenset(w for w, clean, toxic, n, term in near if is_ordinary(clean - (y == 0), toxic - (y == 1), n - 1, term)) for y in (0, 1)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(FuzzyLexicon(*lexicon))
+        make = {y: Features(FuzzyLexicon(*lexicon), without[y]) for y in without}
         for part, texts in text_steps(batches):
-            x = make(texts)
+            x = np.concatenate([make[int(y == 1)]([t]) for y, t in zip(part.column(0).to_pylist(), texts, strict=True)])
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in x.T)], ["toxic", "a", "b", "c"])
 
     # Equal rows are counted together; the driver gets at most ``sample`` rows of five numbers.
     got = rows.mapInArrow(features, "toxic int, a double, b double, c double").toPandas()
     if got["toxic"].nunique() < 2:
-        return stems, np.array([2.0, 1.0, 1.5, -3.0])  # nothing to learn from: plain weights
-    return stems, fit_logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float))
+        return (*lexicon, ordinary), np.array([2.0, 1.0, 1.5, -3.0])  # nothing to learn from: plain weights
+    return (*lexicon, ordinary), fit_logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float))
 
 
-def scorer(stems: list[str], model: np.ndarray):
+def scorer(lexicon: tuple[list[str], list[str], frozenset], model: np.ndarray):
     """Column function: score of a text, 0 to 1; a null text is empty."""
     model = np.asarray(model, float)
+    words, stems, ordinary = lexicon
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        make = Features(FuzzyLexicon(list(SEEDS), stems))
+        make = Features(FuzzyLexicon(words, stems), ordinary)
         for s in batches:
             texts = s.fillna("").tolist()
             out = []

@@ -380,3 +380,29 @@ def test_neighbours_beside_many_copies(spark):
         s[q] = -9
         hits += len(set(found[ids[q]]) & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
     assert hits >= 0.9 * 20 * len(found) and all(len(v) == 20 for v in found.values()), hits / (20 * len(found))
+
+
+def test_ordinary_words_are_no_misspellings(spark):
+    clean = ("The athletic crown was blown lower and closer while they lose a laser, discussing and digesting an idiom; "
+             "the Mormon choir had a crash, a thrash, an apathetic and an empathetic reader. ") * 4
+    wrong = "such an idoit and a mooron, what worthles trassh"
+    # Without labels the fixed words count; "glown" is ordinary by the corpus, "morron" stays a misspelling.
+    texts = [clean, wrong, *[f"the glown of day {i}" for i in range(8)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, none).collect()}
+    assert got[1] == 1 and all(got[i] == 0 for i in got if i != 1)
+    # Labels: ordinary where clean rows hold the word, a misspelling where toxic rows do.
+    texts = [f"a quiet clowm {i}" for i in range(60)] + [f"you stupit idiot {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") >= 60).cast("int").alias("toxic"))
+    (_, _, ordinary), _ = toxicity.learn(df, labels)
+    assert "clowm" in ordinary and "stupit" not in ordinary
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, labels).where("held_out").collect()}
+    assert got == {i: int(i >= 60) for i in got} and len(set(got.values())) == 2
+
+
+def test_ordinary_words_of_the_corpus(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    (_, _, ordinary), _ = toxicity.learn(docs, labels)
+    assert "oron" in ordinary  # held by 158 clean and 26 toxic labelled rows
