@@ -14,13 +14,14 @@ Each hit is weighed by the words around it: quotation marks around it or a verb
 of reporting make it a quotation, a second-person word makes it abuse.  The
 sums per kind of hit, saturated, go into a logistic model.
 
-What is learned (stems of the lexicon and the model's four numbers) comes from a
-bounded sample of the labelled rows, ordinary words from one pass over the texts
-that aren't held out; scoring is one pass over the texts.
+What is learned (whole words and stems of the lexicon and the model's four
+numbers) comes from a bounded sample of the labelled rows; as misspellings are
+rare there, the model also sees each toxic row with its hits misspelled.  Ordinary words come from one pass over the texts that aren't held out; scoring is one pass over the texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,6 +54,8 @@ SAMPLE, STEM_LENGTHS, STEM_ROWS, STEMS, STEM_SHARE = 20_000, (4, 5, 6, 8), 8, 40
 THRESHOLD = 0.3
 #: Texts that hold a word that the corpus alone makes ordinary, toxic labelled texts from which on the labels decide, and most such words.
 FREQUENT, LABELLED, FORMS = 5, 3, 100_000
+#: Marks whole words among the proposals, and most learned ones.
+WHOLE, WORDS = "=", 400
 
 
 def edits_of(term: str) -> int:
@@ -197,14 +200,25 @@ class Features:
                 row[k] += context(chunks, i)
         return np.minimum(out, 3.0)
 
+    def misspelled(self, text: str) -> str:
+        """The text with the hits among its words misspelled."""
+        words = ((c, bare(c)) for c in text.split())
+        return " ".join(misspelled(w) if edits_of(w) and self.lexicon.find(w) else c for c, w in words)
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> np.ndarray:
+
+def misspelled(word: str) -> str:
+    """The word without one of its letters."""
+    i = zlib.crc32(word.encode()) % len(word)
+    return word[:i] + word[i + 1:]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
     """Weights and, last, the constant; Newton's method with a small ridge on the weights."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w, pull = np.zeros(x1.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + pull, x1.T @ (p - y) + pull @ w)
+        step = np.linalg.solve((x1 * (weight * p * (1 - p))[:, None]).T @ x1 + pull, x1.T @ (weight * (p - y)) + pull @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -250,8 +264,8 @@ def near_words(texts: DataFrame, lexicon: tuple) -> list[tuple[str, int, int, in
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple[list[str], list[str], frozenset], np.ndarray]:
     """((words, stems, ordinary words), model) from at most ``sample`` labelled rows that aren't held out.
 
-    Stems are beginnings of words that toxic rows hold and other rows don't;
-    first the toxic rows propose them, then all sampled rows count them.
+    Terms are words and beginnings of words that toxic rows hold and other rows
+    don't; first the toxic rows propose them, then all sampled rows count them.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -264,7 +278,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
             total: Counter = Counter()
             for part, texts in text_steps(batches):
                 for label, t in zip(part.column(0).to_pylist(), texts, strict=True):
-                    stems = {w[:n] for w in {bare(c) for c in t.split()} for n in STEM_LENGTHS if len(w) >= n}
+                    words = {bare(c) for c in t.split()}
+                    stems = {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n} | {WHOLE + w for w in words if edits_of(w)}
                     total.update((s, label) for s in (stems if only is None else stems & only))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["stem", "toxic", "n"])
 
@@ -273,17 +288,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
     def summed(part: DataFrame, only: frozenset | None) -> DataFrame:
         return part.mapInArrow(count(only), "stem string, toxic int, n long").groupBy("stem", "toxic").agg(F.sum("n").alias("n"))
 
-    # Bounded: at most STEMS * 20 proposals.
-    proposed = summed(rows.where("toxic = 1"), None).where((F.col("n") >= STEM_ROWS) & (F.col("stem") != "")).orderBy(F.desc("n"), "stem").limit(STEMS * 20)
+    # Bounded: at most STEMS * 20 proposals of stems and WORDS * 20 of words.
+    every = summed(rows.where("toxic = 1"), None).where((F.col("n") >= STEM_ROWS) & (F.col("stem") != ""))
+    whole = F.startswith("stem", F.lit(WHOLE))
+    first = lambda some, most: every.where(some).orderBy(F.desc("n"), "stem").limit(most)
+    proposed = first(~whole, STEMS * 20).union(first(whole, WORDS * 20))
     only = frozenset(r["stem"] for r in proposed.collect())
     n = {(r["stem"], r["toxic"]): r["n"] for r in summed(rows, only).collect()}
     good = [s for s in only if n.get((s, 0), 0) <= STEM_SHARE * n.get((s, 1), 0)]
     stems: list[str] = []
-    for s in sorted(good, key=lambda s: (len(s), s)):
+    for s in sorted((s for s in good if s[0] != WHOLE), key=lambda s: (len(s), s)):
         if not any(s.startswith(t) for t in stems):
             stems.append(s)
     stems = sorted(stems, key=lambda s: (-n[s, 1], s))[:STEMS]
-    lexicon = (list(SEEDS), stems)
+    words = sorted((s for s in good if s[0] == WHOLE and s[1:] not in SEEDS), key=lambda s: (-n[s, 1], s))[:WORDS]
+    lexicon = ([*SEEDS, *(s[1:] for s in words)], stems)
     near = near_words(own.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id", "left"), lexicon)
     ordinary = frozenset(w for w, *n in near if is_ordinary(*n))
     # A row's features are those that it would have, had its own words not been counted.
@@ -292,14 +311,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = {y: Features(FuzzyLexicon(*lexicon), without[y]) for y in without}
         for part, texts in text_steps(batches):
-            x = np.concatenate([make[int(y == 1)]([t]) for y, t in zip(part.column(0).to_pylist(), texts, strict=True)])
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in x.T)], ["toxic", "a", "b", "c"])
-
-    # Equal rows are counted together; the driver gets at most ``sample`` rows of five numbers.
-    got = rows.mapInArrow(features, "toxic int, a double, b double, c double").toPandas()
+            own = part.column(0).to_pylist()
+            seen = [(y, t, 0.5 if y == 1 else 1.0) for y, t in zip(own, texts, strict=True)]
+            seen += [(y, make[1].misspelled(t), 0.5) for y, t in zip(own, texts, strict=True) if y == 1]
+            x = np.concatenate([make[int(y == 1)]([t]) for y, t, _ in seen])
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, *_ in seen], pa.int32()), pa.array([w for *_, w in seen]), *(pa.array(c) for c in x.T)], ["toxic", "weight", "a", "b", "c"])
+
+    # Equal rows are counted together; the driver gets at most twice ``sample`` rows of five numbers.
+    got = rows.mapInArrow(features, "toxic int, weight double, a double, b double, c double").toPandas()
     if got["toxic"].nunique() < 2:
         return (*lexicon, ordinary), np.array([2.0, 1.0, 1.5, -3.0])  # nothing to learn from: plain weights
-    return (*lexicon, ordinary), fit_logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float))
+    return (*lexicon, ordinary), fit_logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float), weight=got["weight"].to_numpy())
 
 
 def scorer(lexicon: tuple[list[str], list[str], frozenset], model: np.ndarray):

@@ -406,3 +406,21 @@ def test_ordinary_words_of_the_corpus(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     (_, _, ordinary), _ = toxicity.learn(docs, labels)
     assert "oron" in ordinary  # held by 158 clean and 26 toxic labelled rows
+
+
+def test_misspelled_learned_terms_of_held_out_rows(spark):
+    """Terms that aren't seeds, misspelled in their first letters, in rows that nothing was learned from."""
+    rng = random.Random(8)
+    terms, wrong = ["gredosso", "vartopel", "zumbrak"], ["gredsso", "vatopel", "zubrak"]
+    plain = ["".join(rng.choices("aeiou", k=1) + rng.choices("bcdfglmnprst", k=1) + rng.choices("aeiou", k=1) + rng.choices("bcdfglmnprst", k=1)) for _ in range(60)]
+    held = {r["i"] for r in spark.range(1200).select(F.col("id").alias("i")).where(toxicity.held_out(F.col("id"))).collect()}
+    rows = []
+    for i in range(1200):
+        words = rng.choices(plain, k=15)
+        if i % 4 == 0:
+            for at in (3, 9):
+                words[at] = rng.choice(wrong if i in held else terms)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(df, df).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert sum(r["toxic"] for r in got) > 40 and np.mean([r["predicted"] == r["toxic"] for r in got]) >= 0.98
