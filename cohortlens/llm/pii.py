@@ -50,7 +50,7 @@ GENDER = {(n, s): g for (g, s), names in GIVEN.items() for n in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[a-zß-öø-ÿа-яё]"
 #: Types in the order in which they claim text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w\u0300-\u036f.%+-])[\w\u0300-\u036f%+-]+(?:\.[\w\u0300-\u036f%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
@@ -83,6 +83,18 @@ def normal(kind: str, found: str) -> str:
     return found
 
 
+def card_numbers(text: str, pattern: re.Pattern) -> Iterator[re.Match]:
+    """Matches that pass the Luhn check: from each start the longest that ends at a
+    group border; the search goes on behind it, or behind the first group."""
+    at = 0
+    while m := pattern.search(text, at):
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] in " -")]
+        good = (x for e in ends if (x := pattern.fullmatch(text, m.start(), e)) and luhn(normal("card", x[0])))
+        if found := next(good, None):
+            yield found
+        at = found.end() if found else min([i for i in ends if i > m.start()])
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form), by start, without overlaps."""
     taken: list[tuple[int, int, str, str]] = []
@@ -95,14 +107,14 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
 
     names: dict[str, tuple[str, str]] = {}
     for kind, pattern in _COMPILED:
-        for m in pattern.finditer(text):
+        for m in card_numbers(text, pattern) if kind == "card" else pattern.finditer(text):
             if kind == "name":
                 words = m[1].split(" ")
                 gender = TITLES[re.match(r"\w+", m[0])[0]] or GENDER.get((words[0], script(words[0])), "")
                 for i, w in enumerate(words):
                     role = "surname" if i == len(words) - 1 else f"given-{gender or GENDER.get((w, script(w)), 'm')}"
                     names.setdefault(w, (role, w))
-            elif kind != "card" or (luhn(digits := normal(kind, m[0])) and 13 <= len(digits) <= 19):
+            else:
                 claim(m.start(), m.end(), kind, normal(kind, m[0]))
     if names:  # each further mention of a part of a found name
         for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", text):
@@ -131,7 +143,7 @@ def draw(key: bytes, kind: str, norm: str, attempt: int) -> str:
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         labels = domain.split(".")
-        same = lambda t: "".join(chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in t)
+        same = lambda t: "".join(chr(0x430 + s.below(32)) if "Ѐ" <= c <= "ӿ" else chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in t)
         more = chr(97 + s.below(26)) * (attempt // 8)  # a full format gets longer
         return same(local) + more + "@" + ".".join([*map(same, labels[:-1]), labels[-1]])
     if kind == "ip":

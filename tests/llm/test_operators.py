@@ -424,3 +424,14 @@ def test_misspelled_learned_terms_of_held_out_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = toxicity.toxicity(df, df).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
     assert sum(r["toxic"] for r in got) > 40 and np.mean([r["predicted"] == r["toxic"] for r in got]) >= 0.98
+
+
+def test_cards_beside_numbers_and_addresses_of_any_script(spark):
+    cards = ["4111 1111 1111 1111 05/27", "4111111111111111 12 items", "12 4111111111111111", "4111-1111-1111-1111-05", "4111 1111 1111 1111"]
+    mails = ["josé.12@mail.com", "rené@mail.com", "müller.12@mail.com", "jose\u0301.12@mail.com", "иван.7@mail.ru"]
+    assert all([x[2:] for x in pii.detect(t)] == [("card", "4111111111111111")] for t in cards)
+    assert all(pii.detect(f"to {t}, now") == [(3, 3 + len(t), "email", t)] for t in mails)
+    assert pii.detect("4111 1111 1111 1112 05/27") == []
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(cards + mails)), "doc_id long, text string")).collect()}
+    assert not any("4111" in got[i] and "1111" in got[i] for i in range(5)) and got[0].endswith(" 05/27") and got[1].endswith(" 12 items")
+    assert all(got[5 + i].partition("@")[0] != t.partition("@")[0] and len(got[5 + i]) == len(t) for i, t in enumerate(mails))
