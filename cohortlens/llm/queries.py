@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, line_dedup, ngram_join, packing, permutation_index, pii, quality as rules, secrets, toxicity
+from . import bpe, hard_negatives, licenses, line_dedup, ngram_join, packing, permutation_index, pii, prefix_trie, quality as rules, secrets, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,6 +54,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "covered_words", "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+    return found.drop("n_scored")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 # Words by the same rule; a word in a span of a repeat of m words or more is a
 # word in some m-word window that occurs again, and a repeat longer than L words
 # exists if some window of L + 1 words occurs again.
@@ -77,5 +87,7 @@ SELECT doc_id, n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x)
 FROM s
 """
 
-QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality}
-ORACLE = {"op2_secrets": secrets.oracle_sql(), "op3_licenses": licenses.oracle_sql(), "op10_quality": _Q10}
+QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality,
+           "op11_hard_negatives": op11_hard_negatives, "op13_prefix_trie": op13_prefix_trie}
+ORACLE = {"op2_secrets": secrets.oracle_sql(), "op3_licenses": licenses.oracle_sql(), "op10_quality": _Q10, "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+          "op13_prefix_trie": prefix_trie.ORACLE_SQL}
