@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hard_negatives, licenses, line_dedup, ngram_join, packing, permutation_index, pii, prefix_trie, quality as rules, secrets, toxicity
+from . import bpe, hard_negatives, licenses, line_dedup, ngram_join, packing, permutation_index, pii, prefix_trie, pu_quality, quality as rules, secrets, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_scored")
 
 
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
 
@@ -88,6 +92,6 @@ FROM s
 """
 
 QUERIES = {"op1_permutation_index": op1_permutation_index, "op2_secrets": op2_secrets, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_quality": op10_quality,
-           "op11_hard_negatives": op11_hard_negatives, "op13_prefix_trie": op13_prefix_trie}
+           "op11_hard_negatives": op11_hard_negatives, "op12_pu_quality": op12_pu_quality, "op13_prefix_trie": op13_prefix_trie}
 ORACLE = {"op2_secrets": secrets.oracle_sql(), "op3_licenses": licenses.oracle_sql(), "op10_quality": _Q10, "op11_hard_negatives": hard_negatives.ORACLE_SQL,
           "op13_prefix_trie": prefix_trie.ORACLE_SQL}

@@ -19,7 +19,7 @@ def test_sql(spark, sf_dir, name):
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline_stages(spark, sf_dir, tmp_path):
