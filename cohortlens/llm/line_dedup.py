@@ -4,8 +4,8 @@ Each distinct text is a sequence of line ids; all of them together are the strin
 whose suffixes are ranked.  Texts that are equal as a whole are one sequence:
 every line of a later copy has its earlier copy in the first.
 
-1. Level 0 ranks the lines that occur twice or more (others end every repeat).
-   A round of doubling pairs a place's rank with the rank h lines further and
+1. Level 0 ranks the lines that occur twice or more.  Others end every repeat, so
+   only runs of such lines with ``min_words`` words or more are looked at.  A round of doubling pairs a place's rank with the rank h lines further and
    ranks the distinct pairs by their order, so places share a rank at level k if
    their next 2**k lines are equal.  Ranks are row numbers of a stored table that
    is partitioned by range: order-preserving without one task seeing all rows.
@@ -18,7 +18,8 @@ every line of a later copy has its earlier copy in the first.
    run of ``min_words`` or more lies in one of these windows, and each of these
    windows in such a run, so the union of the windows that have an earlier
    place is the union of the runs' later copies.
-3. These lines are deleted.
+3. These lines are deleted.  An earlier copy may overlap the later one: of a short
+   period that a text repeats, one period stays (of 30 equal lines, the first).
 
 A window has at most ``min_words`` lines, as lines without words are not in the
 sequence; so the rounds don't grow with the corpus.
@@ -31,9 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, text_key
+from .common import stored, text_key, text_steps
 
 MIN_WORDS = 50
 
@@ -51,15 +53,28 @@ def _ranked(df: DataFrame, columns: list[str], name: str, rank: str) -> DataFram
 
 def distinct_sequences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(d, key, first, lids, words, lines): one row per distinct text with a word,
-    in the order of its smallest doc_id; ids and word counts of its lines that
-    hold words, and those lines' numbers."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("id"), F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")).alias("n"), F.trim(F.regexp_replace(x, r"\s+", " ")).alias("x")))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text).alias("key"),
-                       F.transform(F.filter(lines, lambda x: x["x"] != ""), lambda x: F.struct(x["i"].alias("i"), x["id"].alias("id"), x["n"].alias("n"))).alias("x"))
-    one = rows.where(F.size("x") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.first("x").alias("x"))
-    own = one.select("key", "first", F.col("x.id").alias("lids"), F.col("x.n").alias("words"), F.col("x.i").alias("lines"), _order_key(F.col("first"), F.col("key")).alias("o"))
-    return _ranked(own, ["o"], "sequences", "d").drop("o")
+    in the order of its smallest doc_id; 128-bit ids and word counts of its lines
+    that hold words, and those lines' numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_steps(batches):
+            ids, words, lines, ends = [], [], [], [0]
+            for t in texts:
+                for i, x in enumerate(t.split("\n")):
+                    n = len(x.split())
+                    if n:
+                        ids.append(xxhash.xxh3_128_digest(x.encode()))
+                        words.append(n)
+                        lines.append(i)
+                ends.append(len(ids))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((ids, pa.binary()), (words, pa.int32()), (lines, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "key", "ids", "words", "lines"])
+
+    own = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(own).alias("key"), own.alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, key string, ids array<binary>, words array<int>, lines array<int>")
+    one = rows.where(F.size("ids") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.first(F.struct("ids", "words", "lines")).alias("x"))
+    named = one.select("key", "first", F.col("x.ids").alias("lids"), "x.words", "x.lines", _order_key(F.col("first"), F.col("key")).alias("o"))
+    return _ranked(named, ["o"], "sequences", "d").drop("o")
 
 
 def windows(words: np.ndarray, least: int) -> np.ndarray:
@@ -74,24 +89,37 @@ def windows(words: np.ndarray, least: int) -> np.ndarray:
     return np.unique(rows.astype(np.int64).reshape(-1, 2), axis=0)
 
 
-def window_table(sequences: DataFrame, least: int) -> DataFrame:
+def repeated_runs(sequences: DataFrame, least: int) -> DataFrame:
+    """(d, p, r, n), stored: the places in runs of lines that all occur twice or more
+    and hold ``least`` words or more, with their line's rank r; and, with n lines, the
+    windows of such runs.  No other place can be in a repeated window."""
+    lines = sequences.select("d", F.posexplode(F.arrays_zip("lids", "words")).alias("p", "x")).select("d", F.col("p").cast("long").alias("p"), "x.lids", "x.words")
+    again = _ranked(lines.groupBy("lids").count().where("count > 1").select("lids"), ["lids"], "level-ids", "r")
+    # At most the text's own lines in each group.
+    own = lines.join(again, "lids").groupBy("d").agg(F.sum("words").alias("n"), F.array_sort(F.collect_list(F.struct("p", "r", "words"))).alias("x")).where(F.col("n") >= least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = windows(np.array(words, np.int64), least)
-                if len(w):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), d)), pa.array(w[:, 0]), pa.array(w[:, 1])], ["d", "p", "n"])
-
-    return sequences.select("d", "words").mapInArrow(run, "d long, p long, n long")
-
-
-def doubled(sequences: DataFrame, levels: int) -> list[DataFrame]:
+            for d, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                p, r, words = (places.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                cuts = np.flatnonzero(np.diff(p) != 1) + 1
+                out = []
+                for a, b in zip([0, *cuts], [*cuts, len(p)], strict=True):
+                    if words[a:b].sum() >= least:
+                        w = windows(words[a:b], least)
+                        out.append(pa.table({"p": np.r_[p[a:b], w[:, 0] + p[a]], "r": pa.array([*r[a:b].tolist(), *[None] * len(w)], pa.int64()),
+                                             "n": pa.array([*[None] * (b - a), *w[:, 1].tolist()], pa.int64())}))
+                if out:
+                    all_ = pa.concat_tables(out).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(all_), d)), *(all_[c].chunk(0) for c in ("p", "r", "n"))], ["d", "p", "r", "n"])
+
+    return stored(own.select("d", "x").mapInArrow(run, "d long, p long, r long, n long"), "repeated-runs")
+
+
+def doubled(places: DataFrame, levels: int) -> list[DataFrame]:
     """Tables (d, p, r) by level: the rank of each place's next 2**level lines,
-    for the places that share it with another."""
-    lines = sequences.select("d", F.posexplode("lids").alias("p", "id")).select("d", F.col("p").cast("long").alias("p"), "id")
-    again = _ranked(lines.groupBy("id").count().where("count > 1").select("id"), ["id"], "level-ids", "r")
-    now = stored(lines.join(again, "id").select("d", "p", "r"), "level-0")
-    out = [now]
+    for the places that share it with another.  ``places``: those of single lines."""
+    now, out = places, [places]
     for k in range(levels):
         further = now.select("d", (F.col("p") - (1 << k)).alias("p"), F.col("r").alias("r2"))
         pairs = now.join(further, ["d", "p"])
@@ -104,10 +132,10 @@ def doubled(sequences: DataFrame, levels: int) -> list[DataFrame]:
 def later_copies(sequences: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, p, n): windows of n lines from line p of sequence d that have an earlier copy."""
     top = max(0, int(math.log2(max(1, min_words))))
-    levels = doubled(sequences, top)
-    wins = window_table(sequences, min_words).withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int"))
+    runs = repeated_runs(sequences, min_words)
+    levels = doubled(runs.where(F.col("r").isNotNull()).select("d", "p", "r"), top)
+    at = runs.where(F.col("n").isNotNull()).select("d", "p", "n", F.floor(F.log2("n") + 1e-9).cast("int").alias("k"))
     named = None
-    at = stored(wins, "windows")
     for k, level in enumerate(levels):
         first = at.where(F.col("k") == k).join(level.withColumnRenamed("r", "a"), ["d", "p"])
         last = level.select("d", F.col("p").alias("q"), F.col("r").alias("b"))

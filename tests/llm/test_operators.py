@@ -226,6 +226,10 @@ def test_line_dedup_equals_brute_force(spark, empty, odd):
     assert got == _dedup(sorted(zip(ids, texts, strict=True)), least)
     assert line_dedup.dedup_lines(empty).collect() == []
     assert sorted(map(str, line_dedup.dedup_lines(odd.where("doc_id < 19 or doc_id = 21 or text is null")).collect())) == sorted(map(str, odd.where("doc_id < 19 or doc_id = 21 or text is null").collect()))
+    # An earlier copy may overlap: of 30 equal lines one stays.
+    rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id = 20").collect()]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(odd.where("doc_id = 20")).collect()}
+    assert got == _dedup(rows, line_dedup.MIN_WORDS) == {20: "one line\n"}
 
 
 def _dedup(docs, least):
