@@ -12,11 +12,17 @@ than toxic labelled texts hold, nor one that more texts hold than the term.
 
 Each hit is weighed by the words around it: quotation marks around it or a verb
 of reporting make it a quotation, a second-person word makes it abuse.  The
-sums per kind of hit, saturated, go into a logistic model.
-
-What is learned (whole words and stems of the lexicon and the model's four
-numbers) comes from a bounded sample of the labelled rows; as misspellings are
-rare there, the model also sees each toxic row with its hits misspelled.  Ordinary words come from one pass over the texts that aren't held out; scoring is one pass over the texts.
+sums per kind of hit, saturated, go into a logistic model; hits of stems count by
+how improbable so many are in a clean text of that length.
+
+What is learned comes from a bounded sample of the labelled rows.  A whole word is
+learned if the share of toxic texts that hold it is ``ODDS`` times that of the
+clean ones (smoothed), a stem if the share of texts in which ``BURST`` different
+words begin with it is.  As misspellings are rare there, the model also sees each
+toxic row with its hits misspelled.  A text that equals a sampled toxic one is
+known.  Ordinary words come from one pass over the texts that aren't held out and
+are kept as a Bloom filter of a fixed size, whatever their number; scoring is one
+pass over the texts.
 """
 
 from __future__ import annotations
@@ -24,14 +30,17 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import Store
-from .common import text_steps
+from .common import stored, text_steps
 
 #: Seed lexicon of insults, one per word.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "bastard", "imbecile", "dumbass",
@@ -49,13 +58,21 @@ OPENS, CLOSES = "\"“„«‘'", "\"”“»’'"
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 WINDOW_WORDS = 6
 QUOTED, DIRECT = 0.2, 1.3
-#: Labelled rows that are learned from, at most; lengths of stems, their least toxic rows, most in number, and most other rows by toxic row.
-SAMPLE, STEM_LENGTHS, STEM_ROWS, STEMS, STEM_SHARE = 20_000, (4, 5, 6, 8), 8, 400, 0.02
+#: Labelled rows that are learned from, at most; lengths of stems, and different words of a text that make a stem count there.
+SAMPLE, STEM_LENGTHS, BURST = 20_000, (4, 5, 6, 8), 3
+#: Least share of the toxic texts, of stems and of words, least number of them, and how much larger than the clean texts' share it must be.
+TOXIC_SHARE, WORD_SHARE, TOXIC_ROWS, ODDS = 0.02, 0.1, 2, 20.0
 THRESHOLD = 0.3
-#: Texts that hold a word that the corpus alone makes ordinary, toxic labelled texts from which on the labels decide, and most such words.
-FREQUENT, LABELLED, FORMS = 5, 3, 100_000
-#: Marks whole words among the proposals, and most learned ones.
-WHOLE, WORDS = "=", 400
+#: Score of a text that equals a sampled toxic one, and no clean one.
+KNOWN = 0.75
+#: Texts that hold a word that the corpus alone makes ordinary, and toxic labelled texts from which on the labels decide.
+FREQUENT, LABELLED = 5, 3
+#: Words added to each length, so that one hit in a line is no proof.
+SHORT = 100
+#: Marks whole words among the proposals; size of the model: most learned stems and words.
+WHOLE, STEMS, WORDS = "=", 400, 400
+#: Bits and hashes of the filter of ordinary words: 8 MB; of a million words one in 10^9 others passes, of ten million one in 50.
+FILTER_BITS, FILTER_HASHES = 1 << 26, 8
 
 
 def edits_of(term: str) -> int:
@@ -179,11 +196,38 @@ def context(chunks: list[str], i: int) -> float:
     return DIRECT if not near.isdisjoint(SECOND) else 1.0
 
 
+class WordFilter:
+    """A Bloom filter of words: holds each of its words, and hardly any other."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = bits
+
+    def __contains__(self, word: str) -> bool:
+        if self.bits is None:
+            return False
+        raw, mask = word.encode(), FILTER_BITS - 1
+        a, b = xxhash.xxh64_intdigest(raw, 42) & mask, xxhash.xxh64_intdigest(b"2" + raw, 42) & mask | 1
+        at = [(a + k * b) & mask for k in range(FILTER_HASHES)]
+        return all(self.bits[x >> 3] >> (x & 7) & 1 for x in at)
+
+    @classmethod
+    def of(cls, words: DataFrame) -> WordFilter:
+        """Of column ``word``; the driver gets as many rows of 4 KB as the filter has."""
+        mask = F.lit(FILTER_BITS - 1)
+        a, b = F.xxhash64("word").bitwiseAND(mask), F.xxhash64(F.concat(F.lit("2"), F.col("word"))).bitwiseAND(mask).bitwiseOR(F.lit(1))
+        at = words.select(F.explode(F.array(*[(a + F.lit(k) * b).bitwiseAND(mask) for k in range(FILTER_HASHES)])).alias("at"))
+        parts = at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in parts:
+            bits[(r["part"] - 1) * len(r["bits"]):r["part"] * len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        return cls(bits if parts else None)
+
+
 class Features:
-    """Three sums per text: exact words, misspelled words, stems; each weighed by context, at most 3."""
+    """Per text: the sums of exact words, of misspelled words (at most 3) and of different words with a stem, each weighed by context; and the number of words."""
 
-    def __init__(self, lexicon: FuzzyLexicon, ordinary: frozenset = frozenset()):
-        self.lexicon, self.ordinary, self.store = lexicon, ORDINARY | ordinary, Store()
+    def __init__(self, lexicon: FuzzyLexicon, ordinary=frozenset()):
+        self.lexicon, self.ordinary, self.store = lexicon, ordinary, Store()
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
@@ -192,13 +236,19 @@ class Features:
         for c in new:
             w = bare(c)
             hit = find(w) if len(w) > 2 else None
-            now[c] = None if hit is None or (hit[1] and w in self.ordinary) else 2 if hit[0] == "stem" else min(hit[1], 1)
-        out = np.zeros((len(texts), 3))
+            now[c] = None if hit is None or (hit[1] and (w in ORDINARY or w in self.ordinary)) else w if hit[0] == "stem" else min(hit[1], 1)
+        out = np.zeros((len(texts), 4))
         for row, chunks in zip(out, cut, strict=True):
             hits = [(i, k) for i, k in enumerate(map(now.__getitem__, chunks)) if k is not None]
+            begun = set()
             for i, k in hits:
-                row[k] += context(chunks, i)
-        return np.minimum(out, 3.0)
+                if k not in begun:  # a word with a stem counts once
+                    row[2 if isinstance(k, str) else k] += context(chunks, i)
+                    if isinstance(k, str):
+                        begun.add(k)
+            row[3] = len(chunks)
+        out[:, :2] = np.minimum(out[:, :2], 3.0)
+        return out
 
     def misspelled(self, text: str) -> str:
         """The text with the hits among its words misspelled."""
@@ -212,6 +262,33 @@ def misspelled(word: str) -> str:
     return word[:i] + word[i + 1:]
 
 
+def beyond_chance(x: np.ndarray, chance: float) -> np.ndarray:
+    """The model's inputs: in place of the stems' sum, half the digits of the probability
+    (Poisson) that a clean text of that length holds so many, at most 3."""
+    mean, hits = chance * (x[:, 3] + SHORT), x[:, 2]
+    digits = -(hits * np.log(mean) - mean - np.array([lgamma(h + 1) for h in hits])) / np.log(10)
+    return np.column_stack([x[:, :2], np.where(hits > 0, np.clip(digits / 2, 0.0, 3.0), 0.0)])
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights (the constant last), stem hits by word of clean texts, and digests of known toxic texts (at most the sample's)."""
+
+    weights: np.ndarray
+    chance: float = 1e-4
+    known: frozenset = frozenset()
+
+    def scores(self, x: np.ndarray, texts: list[str]) -> np.ndarray:
+        g = beyond_chance(x, self.chance) @ self.weights[:-1] + self.weights[-1]
+        p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        known = np.array([digest(t) in self.known for t in texts], bool) if self.known else np.zeros(len(texts), bool)
+        return np.where(known, np.maximum(p, KNOWN), p)
+
+
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode())
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
     """Weights and, last, the constant; Newton's method with a small ridge on the weights."""
     x1 = np.column_stack([x, np.ones(len(x))])
@@ -230,12 +307,12 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def is_ordinary(clean: int, toxic: int, n: int, term: int) -> bool:
+def is_ordinary(clean: Column, toxic: Column, n: Column, term: Column) -> Column:
     """By the labelled texts and all texts that hold a word, and the texts that hold the term which it is near."""
-    return clean > toxic or (n >= FREQUENT and n > term and toxic < LABELLED)
+    return (clean > toxic) | ((n >= FREQUENT) & (n > term) & (toxic < LABELLED))
 
 
-def near_words(texts: DataFrame, lexicon: tuple) -> list[tuple[str, int, int, int, int]]:
+def near_words(texts: DataFrame, lexicon: tuple) -> DataFrame:
     """(word, clean, toxic, n, term): distinct labelled and all texts that hold a
     word near a term, if it may be ordinary, and those that hold the term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,23 +332,22 @@ def near_words(texts: DataFrame, lexicon: tuple) -> list[tuple[str, int, int, in
     held = texts.select("toxic", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "word string, near string, toxic int, key long")
     once = held.groupBy("word", "near", "key").agg(F.max(F.coalesce(F.col("toxic") == 0, F.lit(False)).cast("int")).alias("clean"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("toxic"))
     total = once.groupBy("word", "near").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    # Bounded: the terms, and at most FORMS other words.
-    may = total.where((F.col("word") == F.col("near")) | (F.col("clean") > 0) | (F.col("n") >= FREQUENT)).orderBy(F.col("word") != F.col("near"), F.desc("n"), "word").limit(FORMS).collect()
-    term = {r["word"]: r["n"] for r in may if r["word"] == r["near"]}
-    return [(r["word"], r["clean"], r["toxic"], r["n"], term.get(r["near"], 0)) for r in may if r["word"] != r["near"]]
+    total = stored(total.where((F.col("word") == F.col("near")) | (F.col("clean") > 0) | (F.col("n") >= FREQUENT)), "near-words")
+    terms = total.where(F.col("word") == F.col("near")).select("near", F.col("n").alias("term"))
+    others = total.where(F.col("word") != F.col("near")).join(terms, "near", "left")
+    return others.select("word", "clean", "toxic", "n", F.coalesce("term", F.lit(0)).alias("term"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple[list[str], list[str], frozenset], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple[list[str], list[str], WordFilter], Model]:
     """((words, stems, ordinary words), model) from at most ``sample`` labelled rows that aren't held out.
 
-    Terms are words and beginnings of words that toxic rows hold and other rows
-    don't; first the toxic rows propose them, then all sampled rows count them.
+    First the toxic rows propose terms, then all sampled rows count them.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     # The broadcast side has at most ``sample`` rows of two numbers; copies teach once.
-    rows = own.join(F.broadcast(chosen), "doc_id").select("toxic", "text").dropDuplicates()
+    rows = stored(own.join(F.broadcast(chosen), "doc_id").select("toxic", "text").dropDuplicates(), "labelled-texts")
 
     def count(only: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +355,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
             for part, texts in text_steps(batches):
                 for label, t in zip(part.column(0).to_pylist(), texts, strict=True):
                     words = {bare(c) for c in t.split()}
-                    stems = {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n} | {WHOLE + w for w in words if edits_of(w)}
-                    total.update((s, label) for s in (stems if only is None else stems & only))
+                    begun = Counter(w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n)
+                    held = {s for s, k in begun.items() if k >= BURST} | {WHOLE + w for w in words if edits_of(w)}
+                    total.update((s, label) for s in (held if only is None else held & only))
+                    total[WHOLE, label] += 1  # each text
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["stem", "toxic", "n"])
 
         return run
@@ -289,44 +367,63 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tup
         return part.mapInArrow(count(only), "stem string, toxic int, n long").groupBy("stem", "toxic").agg(F.sum("n").alias("n"))
 
     # Bounded: at most STEMS * 20 proposals of stems and WORDS * 20 of words.
-    every = summed(rows.where("toxic = 1"), None).where((F.col("n") >= STEM_ROWS) & (F.col("stem") != ""))
+    every = summed(rows.where("toxic = 1"), None).where((F.col("n") >= TOXIC_ROWS) & ~F.col("stem").isin("", WHOLE))
     whole = F.startswith("stem", F.lit(WHOLE))
     first = lambda some, most: every.where(some).orderBy(F.desc("n"), "stem").limit(most)
     proposed = first(~whole, STEMS * 20).union(first(whole, WORDS * 20))
     only = frozenset(r["stem"] for r in proposed.collect())
     n = {(r["stem"], r["toxic"]): r["n"] for r in summed(rows, only).collect()}
-    good = [s for s in only if n.get((s, 0), 0) <= STEM_SHARE * n.get((s, 1), 0)]
+    n_toxic, n_clean = n.get((WHOLE, 1), 0), n.get((WHOLE, 0), 0)
+
+    def odds(s: str) -> float:
+        return (n.get((s, 1), 0) + 0.5) / (n_toxic + 1) / ((n.get((s, 0), 0) + 0.5) / (n_clean + 1))
+
+    def usual(s: str) -> bool:
+        """Of the many words some are in a few toxic texts by chance: less a deviation, the share must be larger."""
+        t = n.get((s, 1), 0)
+        return t >= TOXIC_SHARE * n_toxic if s[0] != WHOLE else t - t**0.5 >= WORD_SHARE * n_toxic
+
+    good = [s for s in only if usual(s) and odds(s) >= ODDS]
     stems: list[str] = []
     for s in sorted((s for s in good if s[0] != WHOLE), key=lambda s: (len(s), s)):
         if not any(s.startswith(t) for t in stems):
             stems.append(s)
     stems = sorted(stems, key=lambda s: (-n[s, 1], s))[:STEMS]
-    words = sorted((s for s in good if s[0] == WHOLE and s[1:] not in SEEDS), key=lambda s: (-n[s, 1], s))[:WORDS]
+    begun = tuple(stems)
+    words = sorted((s for s in good if s[0] == WHOLE and s[1:] not in SEEDS and not s[1:].startswith(begun)), key=lambda s: (-n[s, 1], s))[:WORDS]
     lexicon = ([*SEEDS, *(s[1:] for s in words)], stems)
-    near = near_words(own.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id", "left"), lexicon)
-    ordinary = frozenset(w for w, *n in near if is_ordinary(*n))
+    near = stored(near_words(own.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id", "left"), lexicon), "near-terms")
+    clean, toxic, texts, term = (F.col(c) for c in ("clean", "toxic", "n", "term"))
+    ordinary = WordFilter.of(near.where(is_ordinary(clean, toxic, texts, term)))
     # A row's features are those that it would have, had its own words not been counted.
-    without = {y: frozenset(w for w, clean, toxic, n, term in near if is_ordinary(clean - (y == 0), toxic - (y == 1), n - 1, term)) for y in (0, 1)}
+    without = {y: WordFilter.of(near.where(is_ordinary(clean - (1 - y), toxic - y, texts - 1, term))) for y in (0, 1)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = {y: Features(FuzzyLexicon(*lexicon), without[y]) for y in without}
         for part, texts in text_steps(batches):
-            own = part.column(0).to_pylist()
-            seen = [(y, t, 0.5 if y == 1 else 1.0) for y, t in zip(own, texts, strict=True)]
-            seen += [(y, make[1].misspelled(t), 0.5) for y, t in zip(own, texts, strict=True) if y == 1]
-            x = np.concatenate([make[int(y == 1)]([t]) for y, t, _ in seen])
-            yield pa.RecordBatch.from_arrays([pa.array([y for y, *_ in seen], pa.int32()), pa.array([w for *_, w in seen]), *(pa.array(c) for c in x.T)], ["toxic", "weight", "a", "b", "c"])
-
-    # Equal rows are counted together; the driver gets at most twice ``sample`` rows of five numbers.
-    got = rows.mapInArrow(features, "toxic int, weight double, a double, b double, c double").toPandas()
-    if got["toxic"].nunique() < 2:
-        return (*lexicon, ordinary), np.array([2.0, 1.0, 1.5, -3.0])  # nothing to learn from: plain weights
-    return (*lexicon, ordinary), fit_logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float), weight=got["weight"].to_numpy())
-
-
-def scorer(lexicon: tuple[list[str], list[str], frozenset], model: np.ndarray):
+            own = np.array(part.column(0).to_pylist())
+            for y in np.unique(own).tolist():
+                kind = make[int(y == 1)]
+                some = [t for t, of in zip(texts, own, strict=True) if of == y]
+                seen = [(some, 0.5 if y == 1 else 1.0)] + [([kind.misspelled(t) for t in some], 0.5)] * (y == 1)
+                for these, weight in seen:
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(these), pa.int32()), pa.array([weight] * len(these)), pa.array([digest(t) if t.strip() else b"" for t in these], pa.binary()), *(pa.array(c) for c in kind(these).T)],
+                                                     ["toxic", "weight", "digest", "a", "b", "c", "d"])
+
+    # The driver gets at most twice ``sample`` rows of seven numbers.
+    got = rows.repartition(64, "text").mapInArrow(features, "toxic int, weight double, digest binary, a double, b double, c double, d double").toPandas()
+    x, y = got[["a", "b", "c", "d"]].to_numpy(float), got["toxic"].to_numpy(float)
+    if len(set(y)) < 2:
+        return (*lexicon, ordinary), Model(np.array([2.0, 1.0, 1.5, -3.0]))  # nothing to learn from: plain weights
+    chance = float((x[y != 1, 2].sum() + 0.5) / (x[y != 1, 3].sum() + 1.0))
+    # Misspelled copies have digests of their own; nobody wrote those texts.
+    plain = got["digest"].where(got["weight"].eq(1.0) | ~got.duplicated("digest"), b"")
+    known = frozenset(bytes(d) for d in plain[y == 1]) - frozenset(bytes(d) for d in plain[y != 1]) - {b""}
+    return (*lexicon, ordinary), Model(fit_logistic(beyond_chance(x, chance), y, weight=got["weight"].to_numpy()), chance, known)
+
+
+def scorer(lexicon: tuple[list[str], list[str], WordFilter], model: Model):
     """Column function: score of a text, 0 to 1; a null text is empty."""
-    model = np.asarray(model, float)
     words, stems, ordinary = lexicon
 
     @F.pandas_udf("double")
@@ -334,11 +431,8 @@ def scorer(lexicon: tuple[list[str], list[str], frozenset], model: np.ndarray):
         make = Features(FuzzyLexicon(words, stems), ordinary)
         for s in batches:
             texts = s.fillna("").tolist()
-            out = []
-            for i in range(0, len(texts), 200):
-                x = make(texts[i:i + 200])
-                out.append(1 / (1 + np.exp(-np.clip(x @ model[:-1] + model[-1], -30, 30))))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            parts = [texts[i:i + 200] for i in range(0, len(texts), 200)]
+            yield pd.Series(np.concatenate([model.scores(make(part), part) for part in parts]) if parts else np.zeros(0))
 
     return score
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -439,3 +440,49 @@ def test_cards_beside_numbers_and_addresses_of_any_script(spark):
     got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(cards + mails)), "doc_id long, text string")).collect()}
     assert not any("4111" in got[i] and "1111" in got[i] for i in range(5)) and got[0].endswith(" 05/27") and got[1].endswith(" 12 items")
     assert all(got[5 + i].partition("@")[0] != t.partition("@")[0] and len(got[5 + i]) == len(t) for i, t in enumerate(mails))
+
+def test_toxicity_score_equals_a_plain_scorer(spark):
+    """The registered score against edit distances, windows and the logistic formula, word by word."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+        return row[-1]
+
+    terms, stems = ["idiot", "worthless", "scum"], ["achl"]
+    model = toxicity.Model(np.array([2.0, 1.5, 1.0, -3.0]), 0.001, frozenset({toxicity.digest("a known text")}))
+    ordinary = {"idiom"}
+
+    def plain(text):
+        chunks, exact, wrong, begun = text.split(), 0.0, 0.0, {}
+        for i, c in enumerate(chunks):
+            w = toxicity.bare(c)
+            near = min(((distance(w, t), t) for t in terms if distance(w, t) <= toxicity.edits_of(t)), default=None) if len(w) > 2 else None
+            if near and near[0] == 0:
+                exact += toxicity.context(chunks, i)
+            elif any(w.startswith(s) for s in stems) and len(w) > 2:
+                begun.setdefault(w, toxicity.context(chunks, i))
+            elif near and w not in ordinary and w not in toxicity.ORDINARY:
+                wrong += toxicity.context(chunks, i)
+        h, mean = sum(begun.values()), 0.001 * (len(chunks) + toxicity.SHORT)
+        digits = -(h * math.log(mean) - mean - math.lgamma(h + 1)) / math.log(10) if h else 0.0
+        g = 2.0 * min(exact, 3) + 1.5 * min(wrong, 3) + min(max(digits / 2, 0), 3) - 3.0
+        p = 1 / (1 + math.exp(-g))
+        return max(p, toxicity.KNOWN) if text == "a known text" else p
+
+    rng = random.Random(6)
+    words = ["idiot", "idoit", "idiom", "Idiot!", "worthles", "wrthles", "scum", "scun", "achlich", "achlung,", "said", "“word”", "you", "plain", "1d1ot", "text"] + ["the", "of", "and"] * 4
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(300)] + ["", "a known text", None, "idiot " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    filt = toxicity.WordFilter.of(spark.createDataFrame([(w,) for w in ordinary], "word string"))
+    got = {r["doc_id"]: r["s"] for r in df.select("doc_id", toxicity.scorer((terms, stems, filt), model)("text").alias("s")).collect()}
+    assert all(abs(got[i] - plain(t or "")) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_filter_of_ordinary_words(spark):
+    words = [f"w{i}é" for i in range(5000)]
+    got = toxicity.WordFilter.of(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert all(w in got for w in words) and not any(f"v{i}" in got for i in range(20_000))
+    assert "x" not in toxicity.WordFilter.of(spark.createDataFrame([], "word string"))
