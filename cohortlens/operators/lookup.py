@@ -65,22 +65,27 @@ LINES_PER_SLICE = 100_000
 
 def split_stacked_sections(df: DataFrame, id_col: str = "id", desc_col: str = "description",
                            order_col: str = "__line") -> DataFrame:
-    """A file holding several (id, description) sections one after another,
+    """Files holding several (id, description) sections one after another,
     each introduced by a header line whose first field ends in ``_id`` and
     separated by blank rows, split into (section, id, description).
 
-    ``order_col`` is the line number within the file; sections are assigned
-    by a running count of header lines, sliced every ``LINES_PER_SLICE`` lines
-    (no single-task window over the file)."""
+    ``order_col`` is the line's place.  Lines placed by file and split
+    (``__file``, ``__block``, see the staging readers) are ordered inside their
+    file; without those columns the table is one file, sliced every
+    ``LINES_PER_SLICE`` lines.  Sections are assigned by a running count of header
+    lines (no single-task window over a file)."""
     from cohortlens.operators.ordering import running_totals
-    is_header = F.col(id_col).endswith("_id")
-    tagged = running_totals(df.withColumn("__hdr", is_header.cast("int")), [], [F.col(order_col)],
-                            {"__section_no": F.col("__hdr")},
-                            bucket=F.floor(F.col(order_col) / LINES_PER_SLICE))
+    placed = {"__file", "__block"} <= set(df.columns)
+    by = ["__file"] if placed else []
+    order = [F.col("__block"), F.col(order_col)] if placed else [F.col(order_col)]
+    slice_ = F.col("__block") if placed else F.floor(F.col(order_col) / LINES_PER_SLICE)
+    is_header = F.coalesce(F.col(id_col).endswith("_id"), F.lit(False))
+    tagged = running_totals(df.withColumn("__hdr", is_header.cast("int")), by, order,
+                            {"__section_no": F.col("__hdr")}, bucket=slice_)
     headers = tagged.where(F.col("__hdr") == 1).select(
-        "__section_no", F.col(id_col).alias("section"))
+        *by, "__section_no", F.col(id_col).alias("section"))
     body = tagged.where((F.col("__hdr") == 0) & F.col(id_col).isNotNull()
                         & (F.trim(F.col(id_col)) != ""))
-    return (body.join(headers, "__section_no")
+    return (body.join(headers, [*by, "__section_no"])
             .select("section", F.trim(F.col(id_col)).alias(id_col),
                     F.trim(F.col(desc_col)).alias(desc_col), order_col))

@@ -15,14 +15,20 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.recode import direction, significance_stars
 from cohortlens.operators.features import assemble, dummy_columns
-from cohortlens.operators.evaluation import roc_auc
+from cohortlens.operators.evaluation import grouped_auc, roc_auc
+from cohortlens.session import stored
+from cohortlens.operators.newton import absorbed_logit, fold_score, fold_weights
 
 MAX_ITER = 2000
+#: Columns up to which cross-validation adds whole matrices (d x d numbers a fold).
+DENSE = 1000
+#: Columns of Spark's IRLS solver.
+SOLVER_COLUMNS = 4096
 
 
 def fit_input(df: DataFrame) -> tuple[DataFrame, int]:
@@ -75,6 +81,8 @@ def fit_glm_odds(train: DataFrame, cols: Sequence[str], label: str) -> DataFrame
     significant — sorted by odds ratio, descending.  Constant predictors are
     dropped first (their coefficient is not identified)."""
     spark = train.sparkSession
+    if len(cols) > SOLVER_COLUMNS:
+        raise ValueError(f"{len(cols)} columns: the solver takes {SOLVER_COLUMNS}; fit_wide_logit absorbs a wide category")
     sds = train.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first().asDict()
     keep = [c for c in cols if sds[c] and sds[c] > 0]
     data, _ = fit_input(assemble(train.select(*keep, F.col(label).cast("double").alias(label)), keep))
@@ -99,6 +107,41 @@ def fit_glm_odds(train: DataFrame, cols: Sequence[str], label: str) -> DataFrame
             .orderBy(F.col("odds_ratio").desc()))
 
 
+def fit_wide_logit(train: DataFrame, wide: str, cols: Sequence[str], label: str) -> DataFrame:
+    """:func:`fit_glm_odds` for one categorical column ``wide`` of any number of
+    levels beside the columns ``cols``: predictor (``wide_level`` or the column),
+    odds_ratio, std_error, z, p_value, signif, direction, significant.
+
+    Levels are dummies against the first level that holds both classes; a level
+    with one class has an odds ratio of 0 or infinity and no standard error.
+    Constant columns are dropped; rows with a NULL take no part."""
+    spark = train.sparkSession
+    sds = train.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first().asDict() if cols else {}
+    keep = [c for c in cols if sds[c] and sds[c] > 0]
+    levels, rest = absorbed_logit(train, wide, keep, label, stored)
+    others = spark.createDataFrame([(c, b, se) for c, (b, se) in rest.items()], "predictor string, estimate double, std_error double")
+    rows = levels.select(F.concat_ws("_", F.lit(wide), "level").alias("predictor"), "estimate", "std_error").unionByName(others)
+    z = F.col("estimate") / F.col("std_error")
+    normal = rows.withColumn("z", z).withColumn("p_value", two_sided_p("z"))
+    return normal.select("predictor", F.exp("estimate").alias("odds_ratio"), "std_error", "z", "p_value",
+                         significance_stars("p_value").alias("signif"), direction(F.exp("estimate")).alias("direction"),
+                         F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"))
+
+
+def two_sided_p(z: str) -> Column:
+    """2 (1 - Phi(|z|)): the error function's continued fraction (|z| > 3) or series, as one expression."""
+    x = F.abs(F.col(z)) / math.sqrt(2.0)
+    tail = F.lit(0.0)
+    for k in range(60, 0, -1):
+        tail = (k / 2.0) / (x + tail)
+    far = F.exp(-x * x) / math.sqrt(math.pi) / (x + tail)
+    near, term = x, x
+    for k in range(1, 40):
+        term = term * (-x * x) / k
+        near = near + term / (2 * k + 1)
+    return F.when(F.abs(F.col(z)) > 3, far).otherwise(1.0 - 2.0 / math.sqrt(math.pi) * near)
+
+
 def significant_predictors(odds: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Predictors with p < alpha, their distance from an odds ratio of 1,
     ordered by odds ratio (the data behind an odds-ratio bar chart)."""
@@ -143,23 +186,41 @@ def cross_validated_auc(train: DataFrame, numeric: Sequence[str], categorical: S
     """(fold, auc), not rounded: each fold is scored by a pipeline (scaling,
     dummy levels, fit) that saw the other folds only.  A level that no other
     fold has is zero in all dummies.  ``score_digits`` keeps ties that the fit's
-    tolerance would break.  The rows are persisted once for all folds."""
-    rows = train.select(fold, label, *numeric, *categorical).persist()
-    aucs = []
+    tolerance would break.
+
+    All folds are fitted in the same Newton passes (some eight) over the rows,
+    which are persisted, scored by one expression and ranked together.  With more
+    than ``DENSE`` columns the folds are fitted one after another by L-BFGS."""
+    rows = train.select(fold, F.col(label).cast("double").alias(label), *[F.col(x).cast("double").alias(x) for x in numeric],
+                        *[F.col(x).cast("string").alias(x) for x in categorical]).persist()
     try:
-        for k, (stats, levels) in fold_statistics(rows, numeric, categorical, fold).items():
-            scaled = rows.select("*", *[((F.col(x) - m) / (sd if sd > 0 else 1.0)).alias(f"{x}__z")
-                                        for x, (m, sd) in stats.items()])
-            wide, names = dummy_columns(scaled, categorical, levels)
-            data = assemble(wide, [f"{x}__z" for x in numeric] + names)
-            m = fit_logistic(data.where(F.col(fold) != k), "features", label, c)
-            scored = score(m, data.where(F.col(fold) == k))
-            if score_digits is not None:
-                scored = scored.withColumn("predicted_prob", F.round("predicted_prob", score_digits))
-            aucs.append((k, roc_auc(scored, label, "predicted_prob", digits=None).first()["auc"]))
+        stats = fold_statistics(rows, numeric, categorical, fold)
+        if len(numeric) + len({pair for _, kept in stats.values() for pair in kept}) > DENSE:
+            return _auc_by_fold(rows, stats, categorical, label, fold, c, score_digits)
+        weights, place, centre = fold_weights(rows, numeric, categorical, label, fold, stats, c)
+        score_ = fold_score(weights, place, centre, numeric, categorical, fold)
+        scored = rows.select(fold, F.col(label).cast("int").alias("label"),
+                             (score_ if score_digits is None else F.round(score_, score_digits)).alias("score"))
+        got = grouped_auc(scored, fold).select(F.col(fold).cast("int").alias("fold"), "auc").collect()  # a row a fold
     finally:
         rows.unpersist()
-    return train.sparkSession.createDataFrame(aucs, "fold int, auc double")
+    return train.sparkSession.createDataFrame(sorted(map(tuple, got)), "fold int, auc double")
+
+
+def _auc_by_fold(rows: DataFrame, stats: dict, categorical: Sequence[str], label: str, fold: str,
+                 c: float, score_digits: int | None) -> DataFrame:
+    aucs = []
+    for k, (scale, levels) in stats.items():
+        scaled = rows.select("*", *[((F.col(x) - m) / (sd if sd > 0 else 1.0)).alias(f"{x}__z")
+                                    for x, (m, sd) in scale.items()])
+        wide, names = dummy_columns(scaled, categorical, levels)
+        data = assemble(wide, [f"{x}__z" for x in scale] + names)
+        m = fit_logistic(data.where(F.col(fold) != k), "features", label, c)
+        scored = score(m, data.where(F.col(fold) == k))
+        if score_digits is not None:
+            scored = scored.withColumn("predicted_prob", F.round("predicted_prob", score_digits))
+        aucs.append((k, roc_auc(scored, label, "predicted_prob", digits=None).first()["auc"]))
+    return rows.sparkSession.createDataFrame(aucs, "fold int, auc double")
 
 
 def fold_summary(aucs: DataFrame) -> DataFrame:

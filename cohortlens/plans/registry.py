@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["noshow", "sales", "scoring", "readmission"]
+PLAN_MODULES = ["noshow", "sales", "scoring", "readmission", "intake"]
 
 
 def _modules():
