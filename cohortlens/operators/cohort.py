@@ -60,24 +60,25 @@ def total_by(df: DataFrame, by: Sequence[str], measure: str, name: str = "revenu
 
 
 def share_of_total(grouped: DataFrame, count_col: str, name: str = "pct",
-                   digits: int = 1) -> DataFrame:
-    """Add each group's % of the grand total.  The total is a one-row
+                   digits: int = 1, half_even: bool = False) -> DataFrame:
+    """Add each group's % of the grand total, rounded half up or half to even.  The total is a one-row
     aggregate of the grouped result, broadcast back (one row)."""
     tot = grouped.agg(F.sum(count_col).alias("__total"))
+    rounded = F.bround if half_even else F.round
     return (grouped.crossJoin(F.broadcast(tot))
-            .withColumn(name, F.round(100.0 * F.col(count_col) / F.col("__total"), digits))
+            .withColumn(name, rounded(100.0 * F.col(count_col) / F.col("__total"), digits))
             .drop("__total"))
 
 
 def share_of_known(df: DataFrame, col: str, unknown: str = "Unknown",
                    digits: int = 1) -> DataFrame:
-    """Counts of recorded values with % among recorded ones; the unknown
-    count travels alongside as a column."""
+    """Counts of recorded values with % among recorded ones (half to even); the
+    unknown count travels alongside as a column."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     known = counts.where(F.col(col) != unknown)
     extra = counts.agg(F.coalesce(F.sum(F.when(F.col(col) == unknown, F.col("n"))), F.lit(0))
                        .cast("bigint").alias("unknown_n"))
-    return (share_of_total(known, "n", "pct_of_known", digits).crossJoin(F.broadcast(extra))
+    return (share_of_total(known, "n", "pct_of_known", digits, half_even=True).crossJoin(F.broadcast(extra))
             .orderBy(F.col("n").desc(), F.col(col)))
 
 

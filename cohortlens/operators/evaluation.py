@@ -9,11 +9,13 @@ a single-task global window.  Quantile edges are exact
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import stored
 from cohortlens.operators.ordering import exact_quantiles, quantile_array, value_edges, value_totals
 
 # The cut-offs of the threshold sweep, the decile count, and the
@@ -24,9 +26,10 @@ TIER_HIGH, TIER_MEDIUM = 0.20, 0.50
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(score, pos, neg, n) per distinct score."""
+    """(score, pos, neg, n) per distinct score.  A row without a score takes no part
+    in any ranking or cut-off."""
     y = F.col(label).cast("bigint")
-    return df.groupBy(score).agg(F.sum(y).alias("pos"),
+    return df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(y).alias("pos"),
                                  (F.count(F.lit(1)) - F.sum(y)).alias("neg"),
                                  F.count(F.lit(1)).alias("n"))
 
@@ -116,21 +119,20 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLD
     cut-off (flag = score >= t).  One aggregate over the distinct-score counts
     holds a conditional sum per cut-off; the wide row is unpivoted to one row
     per cut-off."""
-    sc = score_counts(df, label, score)
+    return _sweep(score_counts(df, label, score), thresholds, score, digits)
+
+
+def _sweep(counts: DataFrame, thresholds: Sequence[float], score: str, digits: int) -> DataFrame:
     s = F.col(score)
     aggs = [F.sum("pos").alias("__P"), F.sum("n").alias("__N")]
     for i, t in enumerate(thresholds):
-        aggs.append(F.struct(F.lit(float(t)).alias("threshold"),
-                             F.sum(F.when(s >= t, F.col("pos")).otherwise(0)).alias("tp"),
-                             F.sum(F.when(s >= t, F.col("neg")).otherwise(0)).alias("fp"))
-                    .alias(f"t{i}"))
-    wide = sc.agg(*aggs)
-    names = [f"t{i}" for i in range(len(thresholds))]
-    long = wide.unpivot(["__P", "__N"], names, "__k", "__s").select(
-        "__P", "__N", "__s.threshold", "__s.tp", "__s.fp")
+        aggs += [F.sum(F.when(s >= t, F.col("pos")).otherwise(0)).alias(f"tp{i}"),
+                 F.sum(F.when(s >= t, F.col("neg")).otherwise(0)).alias(f"fp{i}")]
+    cuts = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"))
+            for i, t in enumerate(thresholds)]
+    long = counts.agg(*aggs).select("__P", "__N", F.inline(F.array(*cuts)))
     tp, fp = F.col("tp"), F.col("fp")
-    fn = F.col("__P") - tp
-    return long.select("threshold", *_confusion_cols(tp, fp, fn, F.col("__N"), digits))
+    return long.select("threshold", *_confusion_cols(tp, fp, F.col("__P") - tp, F.col("__N"), digits))
 
 
 def capacity_threshold(df: DataFrame, capacity: float, score: str = "score") -> DataFrame:
@@ -175,16 +177,20 @@ def qcut(df: DataFrame, score: str = "score", q: int = N_BINS, name: str = "deci
 
 
 def decile_table(binned: DataFrame, label: str = "label", score: str = "score",
-                 bin_col: str = "decile", digits: int = 1) -> DataFrame:
+                 bin_col: str = "decile", digits: int = 1, rate_digits: int | None = None) -> DataFrame:
     """Per bin (highest first): n, positives, rate, mean score, cumulative
-    capture and contact %.  The running sums cover at most ``q`` rows."""
-    g = binned.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n"),
-                                    F.sum(F.col(label).cast("bigint")).alias("positives"),
-                                    F.avg(F.col(label)).alias("rate"),
-                                    F.avg(score).alias("avg_score"))
+    capture and contact %.  The running sums cover at most ``q`` rows.  Shares are
+    rounded to ``digits``, rates to ``rate_digits`` (the same unless given)."""
+    return _cumulated(binned.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n"),
+                                                  F.sum(F.col(label).cast("bigint")).alias("positives"),
+                                                  F.avg(F.col(label)).alias("rate"),
+                                                  F.avg(score).alias("avg_score")), bin_col, digits, rate_digits)
+
+
+def _cumulated(g: DataFrame, bin_col: str, digits: int, rate_digits: int | None) -> DataFrame:
     w = Window.orderBy(F.col(bin_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     wall = Window.partitionBy()
-    return (g.withColumn("rate_pct", F.bround(100.0 * F.col("rate"), digits))
+    return (g.withColumn("rate_pct", F.bround(100.0 * F.col("rate"), digits if rate_digits is None else rate_digits))
             .withColumn("capture_pct", F.bround(F.try_divide(100.0 * F.sum("positives").over(w),
                                                             F.sum("positives").over(wall)), digits))
             .withColumn("contacted_pct", F.bround(F.try_divide(100.0 * F.sum("n").over(w),
@@ -277,3 +283,105 @@ def kpi_strip(scored: DataFrame, population: DataFrame, auc: DataFrame, table: D
                     "high_tier_share_pct", "high_tier_rate_pct", "recall_at_high_tier_pct",
                     "precision_at_high_tier_pct",
                     F.bround(F.try_divide(F.col("__top"), F.col("__base")), 2).alias("lift_top_decile")))
+
+
+class ScoreTable:
+    """Everything that a report reads from (label, score), from one pass over the rows.
+
+    The rows are counted once per distinct score; the counts and their running
+    totals are a stored table.  Quantiles are looked up there by rank (the driver
+    gets two rows a quantile), and each figure or table is one aggregate of it with
+    the cut-offs as literals.  Rows without a score take no part."""
+
+    def __init__(self, df: DataFrame, label: str = "label", score: str = "score"):
+        counts = score_counts(df, label, score).withColumnRenamed(score, "score")
+        cum = value_totals(counts, [], "score", {"rows_to": "n", "pos_to": "pos", "neg_to": "neg"}, value_edges(df, score))
+        self.table = stored(cum, "score_table")
+        self.spark = df.sparkSession
+        total = self.table.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+        self.n, self.pos = total["n"] or 0, total["pos"] or 0
+        self.neg = self.n - self.pos
+        self.known: dict[float, float] = {}
+        #: Looked up together at the first need.
+        self.usual = [*(i / N_BINS for i in range(N_BINS)), 1.0 - TIER_HIGH, 1.0 - TIER_MEDIUM]
+
+    def quantiles(self, probs: Sequence[float]) -> list[float | None]:
+        """Linearly interpolated quantiles, as :func:`exact_quantiles`."""
+        if not self.n:
+            return [None] * len(probs)
+        if all(p in self.known for p in probs):
+            return [self.known[p] for p in probs]
+        probs, asked = sorted({*probs, *self.usual}), probs
+        places = [(self.n - 1) * float(p) for p in probs]
+        ranks = sorted({int(f(h)) for h in places for f in (math.floor, math.ceil)})
+        held = F.exists(F.array(*[F.lit(r).cast("bigint") for r in ranks]), lambda r: (r >= F.col("rows_to") - F.col("n")) & (r < F.col("rows_to")))
+        rows = self.table.where(held).select(F.col("score").cast("double").alias("v"), (F.col("rows_to") - F.col("n")).alias("a"), "rows_to").collect()
+        at = lambda k: next(r["v"] for r in rows if r["a"] <= k < r["rows_to"])
+        for p, h in zip(probs, places, strict=True):
+            self.known[p] = at(math.floor(h)) + (h - math.floor(h)) * (at(math.ceil(h)) - at(math.floor(h)))
+        return [self.known[p] for p in asked]
+
+    def _auc(self):
+        dec = lambda x: F.col(x).cast("decimal(38,0)")  # noqa: E731  (no overflow)
+        won = F.sum(2 * dec("pos") * (dec("neg_to") - dec("neg")) + dec("pos") * dec("neg"))
+        return F.try_divide(won.cast("double"), F.lit(2.0 * self.pos * self.neg))
+
+    def auc(self, digits: int | None = 6) -> DataFrame:
+        return self.table.agg((self._auc() if digits is None else F.round(self._auc(), digits)).alias("auc"))
+
+    def sweep(self, thresholds: Sequence[float] = SWEEP_THRESHOLDS, digits: int = 4) -> DataFrame:
+        return _sweep(self.table, thresholds, "score", digits)
+
+    def confusion(self, threshold: float | None) -> DataFrame:
+        """2x2 counts at a cut-off with recall, precision and % flagged."""
+        hit = F.col("score") >= F.lit(threshold).cast("double")
+        count = lambda c, of: F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0).cast("bigint"))
+        c = self.table.agg(count("neg", ~hit).alias("tn"), count("neg", hit).alias("fp"), count("pos", ~hit).alias("fn"), count("pos", hit).alias("tp"))
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        return c.select("tn", "fp", "fn", "tp", F.bround(F.try_divide(100.0 * tp, tp + fn), 1).alias("recall_pct"),
+                        F.bround(F.try_divide(100.0 * tp, tp + fp), 1).alias("precision_pct"),
+                        F.bround(F.try_divide(100.0 * (tp + fp), F.col("tn") + fp + fn + tp), 1).alias("flagged_pct"))
+
+    def capacity_threshold(self, capacity: float) -> DataFrame:
+        cut = self.quantiles([1.0 - capacity])[0]
+        flagged = F.coalesce(F.sum(F.when(F.col("score") >= F.lit(cut).cast("double"), F.col("n"))), F.lit(0).cast("bigint"))
+        return self.table.agg(F.lit(cut).cast("double").alias("threshold"), flagged.alias("flagged"),
+                              F.bround(F.try_divide(100.0 * flagged, F.sum("n")), 1).alias("flagged_pct"))
+
+    def bins(self, q: int = N_BINS) -> Column:
+        """The bin of a score, as :func:`qcut` gives it."""
+        edges = sorted(set(e for e in self.quantiles([i / q for i in range(q)]) if e is not None))
+        below = sum((F.when(F.col("score") > e, 1).otherwise(0) for e in edges), F.lit(0))
+        return F.when(F.col("score").isNotNull(), F.greatest(below - 1, F.lit(0)))
+
+    def tier(self, high: float = TIER_HIGH, medium: float = TIER_MEDIUM) -> Column:
+        hi, med = self.quantiles([1.0 - high, 1.0 - medium])
+        return F.when(F.col("score") >= F.lit(hi).cast("double"), "High").when(F.col("score") >= F.lit(med).cast("double"), "Medium").otherwise("Low")
+
+    def deciles(self, q: int = N_BINS, digits: int = 1, rate_digits: int | None = None) -> DataFrame:
+        n, pos = F.sum("n"), F.sum("pos")
+        g = self.table.groupBy(self.bins(q).alias("decile")).agg(
+            n.alias("n"), pos.alias("positives"), (pos / n).alias("rate"), (F.sum(F.col("score").cast("double") * F.col("n")) / n).alias("avg_score"))
+        return _cumulated(g, "decile", digits, rate_digits)
+
+    def tier_rates(self, digits: int = 1) -> DataFrame:
+        n, pos = F.sum("n"), F.sum("pos")
+        return self.table.groupBy(self.tier().alias("risk_tier")).agg(n.alias("n"), pos.alias("positives"), F.bround(100.0 * pos / n, digits).alias("rate_pct"))
+
+    def kpi(self, population: DataFrame | None = None, pop_label: str = "label") -> DataFrame:
+        """:func:`kpi_strip` as one aggregate of the score table and, unless it is the
+        scored rows themselves, one of the population."""
+        y_hi = self.tier() == "High"
+        top = self.bins() == F.lit(len(set(self.quantiles([i / N_BINS for i in range(N_BINS)]))) - 1)
+        part = lambda c, of: F.sum(F.when(of, F.col(c)).otherwise(0))
+        s = self.table.agg(F.sum("n").alias("rows"), F.sum("pos").alias("pos"), part("n", y_hi).alias("hi_n"), part("pos", y_hi).alias("hi_pos"),
+                           F.bround(F.round(self._auc(), 6), 3).alias("model_auc"), F.try_divide(part("pos", top), part("n", top)).alias("top"))
+        if population is None:
+            s = s.withColumns({"total_rows": F.col("rows"), "base": F.try_divide("pos", "rows")})
+        else:
+            s = s.crossJoin(population.agg(F.count(F.lit(1)).alias("total_rows"), F.avg(pop_label).alias("base")))
+        pct = lambda a, b, d=1: F.bround(F.try_divide(100.0 * F.col(a), F.col(b)), d)  # noqa: E731  (NULL on 0)
+        return s.select("total_rows", F.col("rows").alias("test_rows"), F.bround(100.0 * F.col("base"), 2).alias("baseline_rate_pct"), "model_auc",
+                        pct("hi_n", "rows").alias("high_tier_share_pct"), pct("hi_pos", "hi_n").alias("high_tier_rate_pct"),
+                        pct("hi_pos", "pos").alias("recall_at_high_tier_pct"), pct("hi_pos", "hi_n").alias("precision_at_high_tier_pct"),
+                        F.bround(F.try_divide("top", "base"), 2).alias("lift_top_decile"))

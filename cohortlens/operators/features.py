@@ -95,14 +95,14 @@ def category_levels(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def dummies_long(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame) -> DataFrame:
-    """Drop-first one-hot in long form: (key, dummy, value) for every
-    non-reference training level; unseen values give 0 everywhere."""
+    """Drop-first one-hot as its entries that aren't 0: (key, dummy, value), at most
+    one a row and feature, however many levels there are.  The reference level,
+    a NULL and a value unseen in training have none."""
     lv = levels.where(~F.col("is_reference")).select("feature", "level")
     long = df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [key], list(cols), "feature", "value")
-    return (long.join(lv, "feature")
-            .select(key, F.concat_ws("_", "feature", "level").alias("dummy"),
-                    F.when(F.col("value") == F.col("level"), 1.0).otherwise(0.0).alias("value")))
+        [key], list(cols), "feature", "level")
+    return long.join(lv, ["feature", "level"]).select(
+        key, F.concat_ws("_", "feature", "level").alias("dummy"), F.lit(1.0).alias("value"))
 
 
 def level_pairs(levels: DataFrame) -> list[tuple[str, str]]:

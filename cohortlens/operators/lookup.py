@@ -52,6 +52,30 @@ def range_lookup(df: DataFrame, value: Column, ranges: DataFrame,
     return joined.drop(v, "lo", "hi").withColumnRenamed("__rl", name)
 
 
+def range_join(df: DataFrame, value: Column, ranges: DataFrame, name: str = "range_label") -> DataFrame:
+    """:func:`range_lookup` for a range table of any size (non-overlapping rows
+    (range_label, lo, hi)): an equi-join instead of a nested loop.
+
+    A range goes to the level of bins that are at least as wide as it is (widths are
+    powers of two), so it meets two bins at most, whatever its width; a value looks
+    in its one bin of each level that occurs.  Distinct values are looked up, and the
+    rows join them by value; a NULL value, or one in no range, has no label."""
+    v = "__range_value"
+    src = df.withColumn(v, value.cast("double"))
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    level = F.ceil(F.log2(F.greatest(hi - lo, F.lit(1e-9)))).cast("int")
+    width = F.pow(F.lit(2.0), F.col("__level"))
+    kept = ranges.where(lo <= hi).select(F.col("range_label").alias("__rl"), lo.alias("lo"), hi.alias("hi"), level.alias("__level"))
+    binned = kept.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    levels = sorted(r[0] for r in kept.select("__level").distinct().collect())  # exponents of a double, some at most
+    if not levels:
+        return src.drop(v).withColumn(name, F.lit(None).cast("string"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("__level"), F.floor(F.col(v) / 2.0**k).alias("__bin")) for k in levels]))
+    asked = src.select(v).where(F.col(v).isNotNull() & ~F.isnan(v)).distinct().select(v, places.alias("p")).select(v, "p.*")
+    found = asked.join(binned, ["__level", "__bin"]).where((F.col(v) >= F.col("lo")) & (F.col(v) <= F.col("hi"))).select(v, "__rl").dropDuplicates([v])
+    return src.join(found, v, "left").drop(v).withColumnRenamed("__rl", name)
+
+
 def code_labels(df: DataFrame, dim: DataFrame, code: str, dim_code: str,
                 label: str, name: str | None = None) -> DataFrame:
     """Code -> label left join against a dimension table.  No hint: Spark

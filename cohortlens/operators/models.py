@@ -129,16 +129,19 @@ def fit_wide_logit(train: DataFrame, wide: str, cols: Sequence[str], label: str)
 
 
 def two_sided_p(z: str) -> Column:
-    """2 (1 - Phi(|z|)): the error function's continued fraction (|z| > 3) or series, as one expression."""
+    """2 (1 - Phi(|z|)): the error function's continued fraction (|z| > 3) or series,
+    each as a fold over its steps, so that the expression stays small."""
     x = F.abs(F.col(z)) / math.sqrt(2.0)
-    tail = F.lit(0.0)
-    for k in range(60, 0, -1):
-        tail = (k / 2.0) / (x + tail)
+    down, up = (F.sequence(F.lit(a), F.lit(b)) for a, b in ((60, 1), (1, 40)))
+    tail = F.aggregate(down, F.lit(0.0), lambda t, k: (k / 2.0) / (x + t))
     far = F.exp(-x * x) / math.sqrt(math.pi) / (x + tail)
-    near, term = x, x
-    for k in range(1, 40):
-        term = term * (-x * x) / k
-        near = near + term / (2 * k + 1)
+    start = F.struct(x.alias("sum"), x.alias("term"))
+
+    def step(a: Column, k: Column) -> Column:
+        term = a["term"] * (-x * x) / k
+        return F.struct((a["sum"] + term / (2 * k + 1)).alias("sum"), term.alias("term"))
+
+    near = F.aggregate(up, start, step, lambda a: a["sum"])
     return F.when(F.abs(F.col(z)) > 3, far).otherwise(1.0 - 2.0 / math.sqrt(math.pi) * near)
 
 
@@ -229,6 +232,14 @@ def fold_summary(aucs: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).cast("int").alias("folds"))
 
 
+def vif_summary(vifs: DataFrame, limit: float = 5.0) -> DataFrame:
+    """One row: the largest factor of :func:`vif`, its predictor, and the verdict on
+    all of them ('ok' if none reaches ``limit``)."""
+    top = F.max("vif")
+    return vifs.agg(top.alias("max_vif"), F.max_by("feature", "vif").alias("max_feature"),
+                    F.when(top < limit, "ok").otherwise("review").alias("verdict"))
+
+
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation factor of each predictor (model with constant), the
     largest first: 1 / (1 - R^2) of the predictor on the others, infinite if

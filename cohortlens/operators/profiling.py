@@ -37,12 +37,13 @@ def value_distribution(df: DataFrame, col: str, digits: int = 1,
 
 
 def value_distribution_long(df: DataFrame, cols: Sequence[str], digits: int = 1) -> DataFrame:
-    """Several columns at once, long form (column_name, value, n, pct):
-    one unpivot, one groupBy."""
+    """Several columns at once, long form (column_name, value, n, pct): one unpivot
+    and one groupBy; the total is that of the counts (one scan, one shuffle)."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column_name", "value")
     g = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    tot = df.agg(F.count(F.lit(1)).alias("__total"))
+    # Each column's counts add up to the same number: the first one's.
+    tot = g.agg(F.sum(F.when(F.col("column_name") == cols[0], F.col("n"))).alias("__total"))
     return (g.crossJoin(F.broadcast(tot))
             .withColumn("pct", F.round(100.0 * F.col("n") / F.col("__total"), digits))
             .drop("__total"))

@@ -5,8 +5,10 @@ proxy B."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import (
@@ -18,6 +20,9 @@ from cohortlens.functions.recode import (
 from cohortlens.operators import evaluation as ev
 from cohortlens.operators import features as fe
 from cohortlens.operators import history, lookup, models, profiling
+from cohortlens.plans import scoring
+from cohortlens.session import shared_path, stored
+from cohortlens.sources import export, staging
 from cohortlens.sources.proxies import RAW_B_SQL, raw_encounters, read_table
 
 # Dispositions meaning death or hospice (excluded), the invalid
@@ -38,13 +43,17 @@ PROFILE_CATEGORICAL = ["gender", "age", "A1Cresult", "max_glu_serum", "change",
 COUNT_COLS = ["number_outpatient", "number_emergency", "number_inpatient", "time_in_hospital",
               "num_lab_procedures", "num_procedures", "num_medications", "number_diagnoses"]
 VIF_PAIR = ["num_medications", "num_lab_procedures"]
+VIF_THREE = ["num_medications", "num_lab_procedures", "time_in_hospital"]
 
 
 # ------------------------------------------------------------------ chain
+def is_eligible() -> Column:
+    return ~F.col("discharge_disposition_id").isin(EXCLUDED_DISPOSITIONS) & (F.col("gender") != INVALID_GENDER)
+
+
 def eligible(raw: DataFrame) -> DataFrame:
     """Row exclusions, applied before the first-encounter choice."""
-    return raw.where(~F.col("discharge_disposition_id").isin(EXCLUDED_DISPOSITIONS)
-                     & (F.col("gender") != INVALID_GENDER))
+    return raw.where(is_eligible())
 
 
 def first_encounters(elig: DataFrame) -> DataFrame:
@@ -133,18 +142,14 @@ def q_analytic(spark, sf_dir):
 
 
 def q_reconcile(spark, sf_dir):
+    """Rows of each stage: one aggregate before the first encounters are chosen, one
+    after (there, each row of a patient is one of the analytic table)."""
     raw = raw_encounters(spark, sf_dir)
-    elig = eligible(raw)
-    first = first_encounters(elig)
-    an = analytic(first)
-    counts = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in
-              [(raw, "raw_rows"), (elig, "after_exclusions"), (first, "after_first_encounter"),
-               (an, "analytic_rows")]]
-    pct = an.agg(F.round(F.avg("readmitted_30") * 100, 2).alias("readmit30_pct"))
-    out = counts[0]
-    for c in counts[1:] + [pct]:
-        out = out.crossJoin(c)
-    return out
+    before = raw.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(is_eligible()).alias("after_exclusions"))
+    after = analytic(first_encounters(eligible(raw))).agg(
+        F.count("patient_nbr").alias("after_first_encounter"), F.count(F.lit(1)).alias("analytic_rows"),
+        F.round(F.avg("readmitted_30") * 100, 2).alias("readmit30_pct"))
+    return before.crossJoin(after)  # one row each
 
 
 def q_diag_group(spark, sf_dir):
@@ -188,15 +193,12 @@ def q_target_balance(spark, sf_dir):
 
 
 def q_code_labels(spark, sf_dir):
-    """Code -> label dimensions: customers per nation and region name."""
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = read_table(spark, sf_dir, "nation")
-    r = read_table(spark, sf_dir, "region")
-    j = lookup.code_labels(c, n, "c_nationkey", "n_nationkey", "n_name")
-    j = lookup.code_labels(j, n.select("n_nationkey", "n_regionkey"), "c_nationkey", "n_nationkey",
-                           "n_regionkey")
-    j = lookup.code_labels(j, r, "n_regionkey", "r_regionkey", "r_name")
-    return j.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers"))
+    """Code -> label dimensions: customers per nation and region name.  Counted by
+    code first; the labels join the counts."""
+    c = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    places = lookup.code_labels(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"), "n_regionkey", "r_regionkey", "r_name")
+    j = c.join(places.select("n_nationkey", "n_name", "r_name"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return j.groupBy("r_name", "n_name").agg(F.sum("n").alias("customers"))
 
 
 # --------------------------------------------------------------- features
@@ -213,8 +215,9 @@ def q_folds(spark, sf_dir):
 def q_attach(spark, sf_dir):
     s = split_table(spark, sf_dir).where(F.col("split") == "test").select(
         "encounter_id", "readmitted_30")
-    a = analytic_table(spark, sf_dir)
-    return lookup.attach(s, a, "encounter_id", ["age_band"])
+    # A column of the raw rows, by key; the chain isn't built again.
+    raw = raw_encounters(spark, sf_dir).select(F.col("encounter_id").try_cast("bigint").alias("encounter_id"), F.col("age").alias("age_band"))
+    return lookup.attach(s, raw, "encounter_id", ["age_band"])
 
 
 def q_majority_baseline(spark, sf_dir):
@@ -242,6 +245,32 @@ def q_vif2(spark, sf_dir):
     return v.select("feature", F.round("vif", 6).alias("vif"))
 
 
+def q_vif3(spark, sf_dir):
+    """Three predictors, with the largest factor and the verdict on all."""
+    v = models.vif(analytic_table(spark, sf_dir), VIF_THREE)
+    s = models.vif_summary(v)
+    return v.crossJoin(F.broadcast(s)).select("feature", F.round("vif", 6).alias("vif"), F.round("max_vif", 6).alias("max_vif"), "max_feature", "verdict")
+
+
+def q_wide_odds(spark, sf_dir):
+    """Odds of a late order by customer nation (a category absorbed level by level)
+    against the first nation that has both outcomes."""
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    odds = models.fit_wide_logit(o.join(c, "o_custkey"), "nation", [], "urgent")
+    return odds.select("predictor", F.round("odds_ratio", 4).alias("odds_ratio"), F.round("std_error", 4).alias("std_error"), "significant")
+
+
+def q_range_labels(spark, sf_dir):
+    """Orders by price range, the ranges being those between the totals of parts:
+    a range table that grows with the data, joined by bins."""
+    cuts = read_table(spark, sf_dir, "part").select(F.round(F.col("p_retailprice").cast("double") * 100, 0).alias("lo")).distinct()
+    ranges = cuts.select(F.format_string("from %.0f", "lo").alias("range_label"), "lo", (F.col("lo") + 0.5).alias("hi"))
+    o = read_table(spark, sf_dir, "lineitem").select(F.round(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double") * 100, 0).alias("unit"))
+    j = lookup.range_join(o, F.col("unit"), ranges)
+    return j.groupBy(F.col("range_label").isNotNull().alias("in_a_range")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("range_label").alias("ranges"))
+
+
 def q_odds_2x2(spark, sf_dir):
     """Unpenalised GLM on one binary predictor; its odds ratio and standard
     error equal the 2x2 closed form ad/bc and sqrt(1/a+1/b+1/c+1/d)."""
@@ -299,8 +328,9 @@ def q_model_operating_point(spark, sf_dir):
     the confusion matrix with recall, precision and share flagged."""
     scored, _, _ = fitted(spark, sf_dir)
     s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    thr = ev.capacity_threshold(s, ev.TIER_HIGH)
-    return ev.confusion(s, thr).crossJoin(thr.select("threshold"))
+    t = ev.ScoreTable(stored(s, "model_scores"))
+    cut = t.quantiles([1.0 - ev.TIER_HIGH])[0]
+    return t.confusion(cut).withColumn("threshold", F.lit(cut).cast("double"))
 
 
 def q_scored_patients(spark, sf_dir):
@@ -315,10 +345,8 @@ def q_scored_patients(spark, sf_dir):
 def q_model_kpi(spark, sf_dir):
     scored, data, _ = fitted(spark, sf_dir)
     s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    tiered = ev.deciles_and_tiers(s)
-    table = ev.decile_table(tiered)
     pop = data.select(F.col("readmitted_30").alias("label"))
-    return ev.kpi_strip(tiered, pop, ev.roc_auc(s), table)
+    return ev.ScoreTable(s).kpi(pop)
 
 
 def q_odds_table(spark, sf_dir):
@@ -342,6 +370,8 @@ def q_cv_auc(spark, sf_dir):
 # its rate, so these have SQL.
 GROUP = "diag1_group"
 NO_PENALTY = 1e9
+KPI = ["total_rows", "test_rows", "baseline_rate_pct", "model_auc", "high_tier_share_pct", "high_tier_rate_pct",
+       "recall_at_high_tier_pct", "precision_at_high_tier_pct", "lift_top_decile"]
 
 
 def group_scores(spark, sf_dir):
@@ -372,6 +402,27 @@ def q_group_odds(spark, sf_dir):
                        F.round("std_error", 4).alias("std_error"), "signif", "direction", "significant")
 
 
+def q_bundle(spark, sf_dir):
+    """The export of one fit: scored rows, decile, KPI and odds tables from one stored
+    score table, written as a bundle and read back; every value in long form."""
+    name = lambda x: shared_path(spark, f"{x}_{uuid.uuid4().hex}")
+    scored = stored(group_scores(spark, sf_dir), "bundle_scores")
+    table = ev.ScoreTable(scored)
+    rows = scored.select("encounter_id", F.bround("score", 4).alias("predicted_prob"), "label", table.bins().alias("risk_decile"), table.tier().alias("risk_tier"))
+    paths = export.write_bundle({"scored": rows, "deciles": table.deciles(rate_digits=2).drop("rate", "avg_score"), "kpi": table.kpi(),
+                                 "odds": q_group_odds(spark, sf_dir)}, name("bundle"))
+    back = {k: staging.stage_csv_by_header(spark, p) for k, p in paths.items()}
+    s = back["scored"]
+    long = s.groupBy("risk_decile", "risk_tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("predicted_prob").cast("double")), 6).alias("sum_prob"),
+                                                     F.sum(F.col("encounter_id").cast("bigint")).alias("sum_ids"))
+    long = long.select(F.lit("scored").alias("tab"), F.concat_ws("/", "risk_decile", "risk_tier").alias("key"), *[F.col(c).cast("double").alias(c) for c in ("n", "sum_prob", "sum_ids")])
+    long = long.unpivot(["tab", "key"], ["n", "sum_prob", "sum_ids"], "metric", "value")
+    for tab, key, metrics in (("deciles", "decile", ["n", "positives", "rate_pct", "capture_pct", "contacted_pct"]), ("kpi", None, KPI), ("odds", "predictor", ["odds_ratio", "std_error"])):
+        t = back[tab].select(F.lit(tab).alias("tab"), (F.lit("") if key is None else F.col(key)).alias("key"), *[F.col(c).cast("double").alias(c) for c in metrics])
+        long = long.unionByName(t.unpivot(["tab", "key"], metrics, "metric", "value"))
+    return long
+
+
 def q_group_cv_auc(spark, sf_dir):
     train = split_table(spark, sf_dir).where(F.col("split") == "train")
     aucs = models.cross_validated_auc(train, [], [GROUP], "readmitted_30", c=NO_PENALTY, score_digits=4)
@@ -529,8 +580,7 @@ WHERE split = 'test' GROUP BY majority_class"""),
         f"ROUND(CASE WHEN sd_{c} > 0 THEN ({c} - m_{c}) / sd_{c} ELSE {c} - m_{c} END, 6) AS {c}" for c in NUMERIC)
         + " FROM split, (SELECT " + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS sd_{c}" for c in NUMERIC)
         + " FROM split WHERE split = 'train') WHERE split = 'test'"),
-    "q_dummies": _w("""SELECT s.encounter_id, l.feature || '_' || l.level AS dummy,
-       CAST(CASE WHEN s.value = l.level THEN 1.0 ELSE 0.0 END AS DOUBLE) AS value
+    "q_dummies": _w("""SELECT s.encounter_id, l.feature || '_' || l.level AS dummy, 1.0::DOUBLE AS value
 FROM (UNPIVOT (SELECT encounter_id, """ + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CATEGORICAL)
                     + """ FROM split) ON """ + ", ".join(CATEGORICAL) + """ INTO NAME feature VALUE value) s
 JOIN (SELECT feature, level FROM (
@@ -538,10 +588,24 @@ JOIN (SELECT feature, level FROM (
                     + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CATEGORICAL)
                     + """ FROM split WHERE split = 'train') ON """ + ", ".join(CATEGORICAL)
                     + """ INTO NAME feature VALUE level))
-      QUALIFY level <> MIN(level) OVER (PARTITION BY feature)) l ON s.feature = l.feature"""),
+      QUALIFY level <> MIN(level) OVER (PARTITION BY feature)) l ON s.feature = l.feature AND s.value = l.level"""),
     "q_vif2": _w(f"""SELECT feature, ROUND(1.0 / (1.0 - r * r), 6) AS vif
 FROM (SELECT CORR({VIF_PAIR[0]}, {VIF_PAIR[1]}) AS r FROM analytic),
      (VALUES ('{VIF_PAIR[0]}'), ('{VIF_PAIR[1]}')) t(feature)"""),
+    "q_vif3": _w("""SELECT feature, ROUND(v, 6) AS vif, ROUND(MAX(v) OVER (), 6) AS max_vif,
+       FIRST_VALUE(feature) OVER (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS max_feature,
+       CASE WHEN MAX(v) OVER () < 5 THEN 'ok' ELSE 'review' END AS verdict
+FROM (SELECT feature, (1 - other * other) / (1 - a * a - b * b - other * other + 2 * a * b * other) AS v
+      FROM (SELECT CORR({0}, {1}) AS r12, CORR({0}, {2}) AS r13, CORR({1}, {2}) AS r23 FROM analytic),
+           LATERAL (VALUES ('{0}', r12, r13, r23), ('{1}', r12, r23, r13), ('{2}', r13, r23, r12)) t(feature, a, b, other))""".format(*VIF_THREE)),
+    "q_wide_odds": """WITH t AS (SELECT c_nationkey::VARCHAR AS g, SUM((o_orderpriority = '1-URGENT')::INTEGER) AS a, SUM((o_orderpriority <> '1-URGENT')::INTEGER) AS b
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+o AS (SELECT t.g, CAST(t.a AS DOUBLE) * r.b / (CAST(t.b AS DOUBLE) * r.a) AS ratio, SQRT(1.0 / t.a + 1.0 / t.b + 1.0 / r.a + 1.0 / r.b) AS se
+      FROM t, t r WHERE r.g = (SELECT MIN(g) FROM t WHERE a > 0 AND b > 0) AND t.g <> r.g)
+SELECT 'nation_' || g AS predictor, ROUND(ratio, 4) AS odds_ratio, ROUND(se, 4) AS std_error, ABS(ln(ratio)) / se > 1.959963984540054 AS significant FROM o""",
+    "q_range_labels": """WITH r AS (SELECT DISTINCT ROUND(p_retailprice::DOUBLE * 100, 0) AS lo FROM part),
+o AS (SELECT ROUND(l_extendedprice::DOUBLE / l_quantity::DOUBLE * 100, 0) AS unit FROM lineitem)
+SELECT lo IS NOT NULL AS in_a_range, COUNT(*) AS n, COUNT(DISTINCT lo) AS ranges FROM o LEFT JOIN r ON unit BETWEEN lo AND lo + 0.5 GROUP BY 1""",
     "q_odds_2x2": _w(f"""SELECT 'discharge_not_home' AS predictor, ROUND(odds_ratio, 4) AS odds_ratio,
        ROUND(se, 4) AS std_error,
        CASE WHEN ABS(ln(odds_ratio) / se) > {3.2905267314919255!r} THEN '***'
@@ -588,3 +652,15 @@ FROM s p JOIN s n ON p.fold = n.fold AND p.y = 1 AND n.y = 0 GROUP BY p.fold""")
 ORACLE["q_assembled"] = ("SELECT encounter_id, feature, value FROM (UNPIVOT (" + ORACLE["q_standardize"] + ") ON "
                          + ", ".join(NUMERIC) + " INTO NAME feature VALUE value) WHERE value <> 0 UNION ALL SELECT encounter_id, dummy, value FROM ("
                          + ORACLE["q_dummies"] + ") WHERE value <> 0 AND encounter_id IN (SELECT encounter_id FROM (" + ORACLE["q_attach"] + "))")
+
+_LONG = lambda sql, tab, key, metrics: (
+    f"SELECT '{tab}' AS tab, {key} AS key, metric, value FROM (UNPIVOT (SELECT *, {', '.join(f'{m}::DOUBLE AS v_{m}' for m in metrics)} FROM ({sql})) ON "
+    + ", ".join(f"v_{m} AS {m}" for m in metrics) + " INTO NAME metric VALUE value)")
+_GROUP_SCORES = ORACLE["q_group_scores"].split("\nSELECT encounter_id, readmitted_30 AS label")[-1]
+_BUNDLE = ("WITH " + CHAIN_SQL + ", scores AS (SELECT encounter_id AS id, readmitted_30 AS label" + _GROUP_SCORES + ")" + scoring.TABLES_SQL)
+_TAIL = lambda q: scoring.ORACLE[q][len("WITH " + scoring.SCORES_SQL + scoring.TABLES_SQL):]
+ORACLE["q_bundle"] = (_BUNDLE + _LONG("""SELECT t.risk_tier, b.decile, COUNT(*) AS n, ROUND(SUM(round_even(t.score, 4)), 6) AS sum_prob, SUM(t.id) AS sum_ids
+FROM tiered t JOIN binned b ON t.id = b.id GROUP BY 1, 2""", "scored", "decile || '/' || risk_tier", ["n", "sum_prob", "sum_ids"])
+    + " UNION ALL " + _LONG(_TAIL("q_decile_summary"), "deciles", "decile::VARCHAR", ["n", "positives", "rate_pct", "capture_pct", "contacted_pct"])
+    + " UNION ALL " + _LONG(_TAIL("q_kpi"), "kpi", "''", KPI)
+    + " UNION ALL " + _LONG(ORACLE["q_group_odds"], "odds", "predictor", ["odds_ratio", "std_error"]))

@@ -195,7 +195,7 @@ GROUP BY month, year"""),
     "q_slot_ordered": _w(_ordered("time_of_sale", SLOT_ORDER)),
     "q_weekday_ordered": _w(_ordered("day_of_week", WEEKDAY_ORDER)),
     "q_payment_share": _w("""SELECT transaction_type, n,
-       ROUND(100.0 * n / SUM(n) OVER (), 1) AS pct_of_known,
+       round_even(100.0 * n / SUM(n) OVER (), 1) AS pct_of_known,
        (SELECT COUNT(*) FROM sales_k WHERE transaction_type = 'Unknown') AS unknown_n
 FROM (SELECT transaction_type, COUNT(*) AS n FROM sales_k WHERE transaction_type <> 'Unknown'
       GROUP BY transaction_type)"""),

@@ -15,11 +15,6 @@ def _binned(spark, sf_dir):
     return ev.qcut(scores(spark, sf_dir))
 
 
-def _table(spark, sf_dir):
-    t = ev.decile_table(_binned(spark, sf_dir))
-    return t.withColumn("avg_score", F.round("avg_score", 9))
-
-
 def q_auc(spark, sf_dir):
     return ev.roc_auc(scores(spark, sf_dir))
 
@@ -41,8 +36,8 @@ def q_capacity_threshold(spark, sf_dir):
 
 
 def q_confusion(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    return ev.confusion(s, ev.capacity_threshold(s, CAPACITY))
+    t = ev.ScoreTable(scores(spark, sf_dir))
+    return t.confusion(t.quantiles([1.0 - CAPACITY])[0])
 
 
 def q_qcut(spark, sf_dir):
@@ -56,7 +51,14 @@ def q_qcut_rows(spark, sf_dir):
 
 
 def q_decile_table(spark, sf_dir):
-    return _table(spark, sf_dir)
+    t = ev.decile_table(_binned(spark, sf_dir))
+    return t.withColumn("avg_score", F.round("avg_score", 9))
+
+
+def q_decile_summary(spark, sf_dir):
+    """The decile table of the export: rates to two places, shares to one."""
+    t = ev.ScoreTable(scores(spark, sf_dir)).deciles(rate_digits=2)
+    return t.select("decile", "n", "positives", "rate_pct", "capture_pct", "contacted_pct")
 
 
 def q_lift(spark, sf_dir):
@@ -70,7 +72,7 @@ def q_tier_rates(spark, sf_dir):
 
 
 def q_gains_curve(spark, sf_dir):
-    return ev.gains_curve(_table(spark, sf_dir))
+    return ev.gains_curve(q_decile_table(spark, sf_dir))
 
 
 def q_scored_table(spark, sf_dir):
@@ -81,16 +83,13 @@ def q_scored_table(spark, sf_dir):
 
 
 def q_kpi(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    scored = ev.deciles_and_tiers(s)
-    table = ev.decile_table(scored)
-    return ev.kpi_strip(scored, s, ev.roc_auc(s), table)
+    return ev.ScoreTable(scores(spark, sf_dir)).kpi()
 
 
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("q_")}
 
 _DEC = ", ".join(repr(i / ev.N_BINS) for i in range(ev.N_BINS))
-_BASE = "WITH " + SCORES_SQL + """,
+TABLES_SQL = """,
 sc AS (SELECT score, SUM(label) AS pos, COUNT(*) - SUM(label) AS neg, COUNT(*) AS n
        FROM scores GROUP BY score),
 tot AS (SELECT SUM(pos) AS tot_pos, SUM(neg) AS tot_neg, SUM(n) AS total FROM sc),
@@ -113,6 +112,7 @@ auc AS (SELECT ROUND(CAST(SUM(2 * pos * (cum_neg - neg) + pos * neg) AS DOUBLE)
                      / (2.0 * CAST((SELECT tot_pos FROM tot) AS DOUBLE) * CAST((SELECT tot_neg FROM tot) AS DOUBLE)), 6) AS auc
         FROM (SELECT *, SUM(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum_neg FROM sc))
 """
+_BASE = "WITH " + SCORES_SQL + TABLES_SQL
 
 _SWEEP_VALUES = ", ".join(f"({t!r})" for t in ev.SWEEP_THRESHOLDS)
 
@@ -152,6 +152,7 @@ FROM (SELECT COUNT(*) FILTER (WHERE score < hi AND label <> 1) AS tn,
     "q_qcut": _BASE + "SELECT decile, COUNT(*) AS n, SUM(label) AS positives FROM binned GROUP BY decile",
     "q_qcut_rows": _BASE + "SELECT id, decile FROM binned",
     "q_decile_table": _BASE + "SELECT * FROM dtab",
+    "q_decile_summary": _BASE + "SELECT decile, n, positives, round_even(100.0 * rate, 2) AS rate_pct, capture_pct, contacted_pct FROM dtab",
     "q_lift": _BASE + """SELECT top_rate, baseline_rate, round_even(top_rate / baseline_rate, 2) AS lift
 FROM (SELECT rate AS top_rate FROM dtab ORDER BY decile DESC LIMIT 1),
      (SELECT AVG(label) AS baseline_rate FROM scores)""",

@@ -165,3 +165,76 @@ def test_wide_logit_of_thousands_of_levels(spark):
 def test_too_wide_for_the_solver_says_so(spark):
     with pytest.raises(ValueError, match="fit_wide_logit"):
         models.fit_glm_odds(spark.range(3), [f"c{i}" for i in range(5000)], "id")
+
+
+def test_range_join_of_many_ranges(spark):
+    rng = np.random.default_rng(7)
+    edges = np.sort(rng.random(40_001) * 10.0 ** rng.integers(0, 6, 40_001))
+    rows = [(f"r{i}", float(a), float(a + (b - a) * 0.7)) for i, (a, b) in enumerate(zip(edges, edges[1:]))] + [("wide", -5e6, -1.0), ("point", 2e7, 2e7), ("none", 5.0, 1.0)]
+    ranges = spark.createDataFrame(rows, "range_label string, lo double, hi double")
+    values = [*(rng.random(3000) * 10.0 ** rng.integers(0, 6, 3000)).tolist(), -2e6, -1.0, -0.5, 2e7, 3e8, rows[7][1], rows[7][2], None, float("nan")] * 2
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    joined = lookup.range_join(df, F.col("v"), ranges)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r["id"]: r["range_label"] for r in joined.collect()}
+    lo = np.array([r[1] for r in rows[:40_000]])
+
+    def plain(v):
+        if v is None or v != v:
+            return None
+        if v <= -1.0:
+            return "wide" if v >= -5e6 else None
+        if v == 2e7:
+            return "point"
+        i = int(np.searchsorted(lo, v, "right")) - 1
+        return rows[i][0] if 0 <= i and v <= rows[i][2] else None
+
+    assert got == {i: plain(v) for i, v in enumerate(values)}
+    assert lookup.range_join(df, F.col("v"), ranges.limit(0)).where("range_label IS NOT NULL").count() == 0
+
+
+def test_score_table_reads_what_the_row_operators_read(spark):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 1), rng.randint(0, 40) / 41) for _ in range(500)] + [(1, None), (0, None)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    known = df.where("score IS NOT NULL")
+    t = evaluation.ScoreTable(df)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(t.auc(), evaluation.roc_auc(df)) and same(t.sweep(), evaluation.threshold_sweep(known))
+    assert same(t.capacity_threshold(0.2), evaluation.capacity_threshold(known, 0.2))
+    assert same(t.confusion(t.quantiles([0.8])[0]), evaluation.confusion(known, evaluation.capacity_threshold(known, 0.2)))
+    assert same(t.deciles().drop("avg_score", "rate"), evaluation.decile_table(evaluation.qcut(known)))
+    assert same(t.tier_rates(), evaluation.tier_rates(evaluation.tiers(known)))
+    strip = evaluation.kpi_strip(evaluation.deciles_and_tiers(known), known, evaluation.roc_auc(known), evaluation.decile_table(evaluation.qcut(known)))
+    assert same(t.kpi(), strip) and same(t.kpi(known), strip)
+    plan = t.kpi(known)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2
+    none = evaluation.ScoreTable(df.limit(0))
+    assert none.kpi().first()["model_auc"] is None and none.quantiles([0.5]) == [None]
+
+
+def test_rows_without_a_score_take_no_part(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.4), (1, None), (0, None)], "label int, score double")
+    known = df.where("score IS NOT NULL")
+    for f in (evaluation.ranking_metrics, evaluation.roc_points, evaluation.threshold_sweep):
+        assert sorted(map(str, f(df).collect())) == sorted(map(str, f(known).collect()))
+
+
+def test_sweep_is_compiled(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1)], "label int, score double")
+    plan = evaluation.threshold_sweep(df)
+    assert plan.count() == 7 and "Generate inline" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reconcile_scans(spark, sf_dir):
+    from cohortlens.plans import readmission
+    plan = readmission.q_reconcile(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and plan.count("NestedLoop") <= 1  # the raw rows join two tables
+
+
+def test_verdict_on_all_predictors(spark):
+    df = spark.range(40).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), (3 * F.col("id") + F.col("id") % 2).alias("c"))
+    r = models.vif_summary(models.vif(df, ["a", "b", "c"])).first()
+    assert r["verdict"] == "review" and r["max_feature"] in ("a", "c") and r["max_vif"] > 5
+    assert models.vif_summary(models.vif(df, ["a", "b"])).first()["verdict"] == "ok"
