@@ -14,7 +14,8 @@ a template if it holds at least ``threshold`` of the template's distinct words.
    *Positional filter*: at the first common prefix word, at place i of the template
    and j of the block's words in the global order, at most 1 + min(n - i, m - j)
    words can be common (m: the block's template words); this must reach k.
-4. What is left is verified by the full intersection.
+4. What is left is verified by the full intersection; and the words that tell the
+   template from similar ones must be there, those of another license not.
 
 Only the word counts (as many rows as the templates have words) pass the driver;
 the templates' side has a row per template and prefix word, both fixed lists.
@@ -30,19 +31,20 @@ from .common import text_key
 
 #: Base phrases and their labels, in order.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: License notices as commonly written, and their labels.
+#: License notices as commonly written, and their labels; then the words that tell a
+#: notice from the others (all must be there) and, after them, those of other licenses (none may be).
 TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
-    ("mit", "Released under the MIT License."),
+    ("mit", "Released under the MIT License.", "mit"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu 3", "lesser affero"),
+    ("gpl", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "commons attribution", "noncommercial sharealike noderivatives"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", "nc", "sa nd"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0.", "sa", "nc nd"),
 ]
 THRESHOLD = 0.8
 #: Everything that is no word character after A-Z have become a-z (fixed value).
@@ -58,6 +60,12 @@ def template_words(text: str) -> list[str]:
     return sorted({w for w in re.split(NO_WORD, low) if w})
 
 
+def with_marks(templates) -> list[tuple[str, list[str], list[str], list[str]]]:
+    """(label, words, words that must be there, words that may not) of each template."""
+    full = [(label, template_words(t), *(marks[k].split() if k < len(marks) else [] for k in (0, 1))) for label, t, *marks in templates]
+    return [x for x in full if x[1]]
+
+
 def normal(text: Column) -> Column:
     """The words with one blank before each and one at the end; a blank if there are none."""
     low = F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
@@ -105,19 +113,18 @@ def template_matches(docs: DataFrame, templates=None, threshold: float = THRESHO
     """(key, label, containment): per text (by content key) and label, the best
     containment of a template in a block of the text, from ``threshold`` up."""
     spark = docs.sparkSession
-    templates = [(label, template_words(t)) for label, t in (templates or TEMPLATES)]
-    templates = [x for x in templates if x[1]]
-    vocabulary = sorted({w for _, ws in templates for w in ws})
+    templates = with_marks(templates or TEMPLATES)
+    vocabulary = sorted({w for _, *lists in templates for ws in lists for w in ws})
     order = global_order(blocks_of(docs, "", text_column), vocabulary)
     place = {w: i for i, w in enumerate(order)}
     postings, needs = [], []
-    for t, (label, ws) in enumerate(templates):
+    for t, (label, ws, must, never) in enumerate(templates):
         ws = sorted(ws, key=place.get)
         k = math.ceil(threshold * len(ws) - 1e-9)
         needs.append(k)
-        postings += [(w, t, label, i + 1, len(ws), k, ws) for i, w in enumerate(ws[:len(ws) - k + 1])]
+        postings += [(w, t, label, i + 1, len(ws), k, ws, must, never) for i, w in enumerate(ws[:len(ws) - k + 1])]
     prefix = sorted({p[0] for p in postings})
-    index = spark.createDataFrame(postings, "word string, template int, label string, i int, n int, k int, words array<string>")
+    index = spark.createDataFrame(postings, "word string, template int, label string, i int, n int, k int, words array<string>, must array<string>, never array<string>")
     quick = " (?:" + "|".join(prefix) + ") "
     some = blocks_of(docs, "", text_column, key=True).where(F.col("norm").rlike(quick))
     # The block's template words in the global order, and its number of distinct words.
@@ -130,7 +137,8 @@ def template_matches(docs: DataFrame, templates=None, threshold: float = THRESHO
     first = F.array_position("own", F.element_at(F.array_intersect(F.slice("words", 1, F.col("n") - F.col("k") + 1), F.col("own")), 1)) == F.col("j") + 1
     kept = pairs.where(first & (F.col("size") >= F.col("k")) & (bound >= F.col("k")))
     common = F.size(F.array_intersect("words", "own"))
-    met = kept.select("key", "label", "k", "n", common.alias("common")).where(F.col("common") >= F.col("k"))
+    told = (F.size(F.array_except("must", "own")) == 0) & ~F.arrays_overlap("never", "own")
+    met = kept.where(told).select("key", "label", "k", "n", common.alias("common")).where(F.col("common") >= F.col("k"))
     return met.groupBy("key", "label").agg(F.max(F.col("common") / F.col("n")).alias("containment"))
 
 
@@ -160,7 +168,8 @@ def licenses(docs: DataFrame, templates=None, threshold: float = THRESHOLD, id_c
 def oracle_sql() -> str:
     """The same by comparing each line with each template."""
     words = lambda t: f"list_filter(regexp_split_to_array(translate({t}, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-    ts = ", ".join(f"('{label}', ['" + "', '".join(template_words(t)) + "'])" for label, t in TEMPLATES)
+    as_list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
+    ts = ", ".join(f"('{label}', {as_list(ws)}, {as_list(must)}, {as_list(never)})" for label, ws, must, never in with_marks(TEMPLATES))
     ps = ", ".join(f"('{label}', ['" + "', '".join(p.split()) + "'])" for p, label in PHRASES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -168,8 +177,8 @@ w AS (SELECT k, doc_id, t, {words("t")} AS ws FROM d),
 b AS (SELECT k, i - 1 AS place, label FROM w, unnest(range(1, len(ws) + 1)) AS u(i), (VALUES {ps}) AS p(label, pw)
       WHERE list_slice(ws, i, i + len(pw) - 1) = pw),
 l AS (SELECT k, list_distinct({words("line")}) AS ls FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT k, label, len(list_intersect(ls, tw)) / len(tw) AS c FROM l, (VALUES {ts}) AS t(label, tw)
-      WHERE len(list_intersect(ls, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)),
+m AS (SELECT k, label, len(list_intersect(ls, tw)) / len(tw) AS c FROM l, (VALUES {ts}) AS t(label, tw, must, never)
+      WHERE len(list_intersect(ls, must)) = len(must) AND NOT list_has_any(ls, never) AND len(list_intersect(ls, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)),
 bb AS (SELECT k, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY k),
 a AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM b UNION ALL SELECT k, label FROM m) GROUP BY k),
 mm AS (SELECT k, max(c) AS c FROM m GROUP BY k)

@@ -157,6 +157,15 @@ def test_licenses_of_odd_rows(odd, empty):
     assert by[0]["first_word"] is None and by[0]["n_words"] == 0 and by[0]["score"] == 0.0
 
 
+def test_licenses_are_told_apart(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "Released under the Apache/BSD License.", "CC BY 4.0", "Licensed under CC BY-SA 4.0.", "Released under the MIT License.",
+             "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 3.",
+             "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under the Apache License, Version 2.0"]
+    rows = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [r["labels"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert got == ["cc-by,cc-by-nc-4.0", "", "cc-by", "cc-by,cc-by-sa-4.0", "mit", "gpl", "gpl,gpl-3.0", "", "apache-2.0"]
+
+
 def test_license_containment_equals_brute_force(spark):
     rng = random.Random(5)
     templates = [(f"t{i}", " ".join(rng.sample("a b c d e f g h i j k l".split(), rng.randint(2, 8)))) for i in range(6)]
