@@ -1,12 +1,14 @@
 """Operator 1: approximate nearest neighbours by a permutation index.
 
 A bounded sample of the distinct vectors serves as pivots.  Each vector is represented by
-the order of its ``length`` nearest pivots and posted, with the pivot's rank, in
-the inverted file of each of them.  A query reads the files of its own nearest
-pivots and adds up the footrule distance: the difference of the two ranks in a
-file, and ``length`` less its own rank where a vector isn't posted.  The nearest
-share by footrule, in each block of the index, is reranked with the original
-vectors in double precision; a query's lists from all blocks meet in one top-k.
+the order of its ``length`` nearest pivots and posted in the inverted file of each
+of them; a file holds its vectors by the rank that its pivot has for them.  A query
+takes its own ``asked`` nearest pivots and reads from the file of each the stretch
+of ranks within ``window`` of its own; nothing else of the index is read.  The
+difference of the two ranks is what a pivot adds to the footrule distance, and
+``window`` + 1 where a vector isn't met.  The nearest share by footrule, in each
+block of the index, is reranked with the original vectors in double precision; a
+query's lists from all blocks meet in one top-k.
 
 Largest inner product becomes nearest direction by one more component,
 sqrt(M^2 - |v|^2) with M the largest norm, which is 0 for each query: so vectors
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored
 
-#: Pivots (the bounded sample), posted pivots of each vector, candidates' share and least number.
-PIVOTS, LENGTH, SHARE, LEAST = 256, 128, 0.15, 400
+#: Pivots (the bounded sample), posted pivots of each vector, pivots that a query asks, ranks read on either side.
+PIVOTS, LENGTH, ASKED, WINDOW = 512, 128, 64, 48
+#: Candidates' share and least number.
+SHARE, LEAST = 0.15, 400
 BLOCK, QUERY_BLOCK, K = 8192, 2048, 20
 
 
@@ -45,16 +49,30 @@ def permutations(rows: np.ndarray, extra: np.ndarray, pivots: np.ndarray, length
     return np.argsort(-near, axis=1, kind="stable")[:, :length].astype(np.int16)
 
 
-def inverted_files(order: np.ndarray, n_pivots: int) -> np.ndarray:
-    """files[p, i]: the rank that pivot p has for vector i; the length where i isn't posted."""
-    n, length = order.shape
-    files = np.full((n_pivots, n), length, np.int16)
-    files[order.T, np.arange(n)[None, :]] = np.arange(length, dtype=np.int16)[:, None]
-    return files
+def inverted_files(order: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(posted, begin): the vectors of all files, one file after another and by rank
+    in each; those that pivot p has at rank r are posted[begin[p * length + r]:begin[p * length + r + 1]]."""
+    length = order.shape[1]
+    place = (order.astype(np.int64) * length + np.arange(length)).ravel()
+    by_place = np.argsort(place, kind="stable")
+    return (by_place // length).astype(np.int32), np.searchsorted(place[by_place], np.arange(n_pivots * length + 1))
+
+
+def footrules(files: tuple[np.ndarray, np.ndarray], own: np.ndarray, n: int, length: int, window: int) -> np.ndarray:
+    """Footrule distance of a query, with the pivots ``own``, to each of ``n`` posted
+    vectors: differences of ranks beyond ``window`` count as ``window`` + 1."""
+    posted, begin = files
+    met, less = [], []
+    for rank, pivot in enumerate(own.tolist()):
+        low, high = max(0, rank - window), min(length, rank + window + 1)
+        cuts = begin[pivot * length + low:pivot * length + high + 1]
+        met.append(posted[cuts[0]:cuts[-1]])
+        less.append(np.repeat(window + 1.0 - np.abs(np.arange(low, high) - rank), np.diff(cuts)))
+    return len(own) * (window + 1) - np.bincount(np.concatenate(met), np.concatenate(less), n).astype(np.int64)
 
 
 def search_block(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, q_order: np.ndarray,
-                 n_pivots: int, share: float, least: int, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+                 n_pivots: int, asked: int, window: int, share: float, least: int, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query, scores, ids) of each query's best ``k`` in one block of the index."""
     by_id = np.argsort(ids, kind="stable")
     ids, rows, order = ids[by_id], rows[by_id], order[by_id]
@@ -69,13 +87,9 @@ def search_block(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, q_ids: np
     files = inverted_files(order[first], n_pivots)
     n, length = len(first), order.shape[1]
     take = min(n, max(least, int(np.ceil(share * n))))
-    ranks = np.arange(length, dtype=np.int16)[:, None]
     out = []
     for q, row, own in zip(q_ids.tolist(), q_rows, q_order, strict=True):
-        footrule = files[own]
-        footrule -= ranks
-        np.abs(footrule, out=footrule)
-        far = np.add.reduce(footrule, axis=0, dtype=np.int32).astype(np.int64) * n + np.arange(n)
+        far = footrules(files, own[:asked], n, length, window) * n + np.arange(n)
         near = np.argpartition(far, take - 1)[:take] if take < n else np.arange(n)
         # Sums of products in the same order for every pair, so that equal vectors score alike.
         score = np.einsum("ij,j->i", rows[first[near]], row)
@@ -89,7 +103,7 @@ def search_block(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, q_ids: np
 
 
 def search(vectors: DataFrame, query_ids, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = PIVOTS, length: int = LENGTH,
-           share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+           asked: int = ASKED, window: int = WINDOW, share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest of all other rows.
 
     ``query_ids``: condition on vec_id.  Vectors that are null, zero, of an
@@ -135,7 +149,7 @@ def search(vectors: DataFrame, query_ids, k: int = K, id_column: str = "vec_id",
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "score": [], "vec_id": []})
         read = lambda pdf: (pdf["vec_id"].to_numpy(), np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim), np.frombuffer(b"".join(pdf["perm"]), np.int16).reshape(len(pdf), length))
-        got = search_block(*read(left), *read(right), n_pivots, share, least, k)
+        got = search_block(*read(left), *read(right), n_pivots, asked, window, share, least, k)
         return pd.DataFrame({"query_id": [g[0] for g in got], "score": [g[1] for g in got], "vec_id": [g[2] for g in got]})
 
     lists = stay.groupBy("b", "q").cogroup(ask.groupBy("b", "q")).applyInPandas(pair, "query_id long, score array<double>, vec_id array<long>")

@@ -368,6 +368,18 @@ def test_nearest_neighbours(spark, sf_dir):
     assert hits >= 0.9 * 20 * len(found) and all(len(v) == 20 for v in found.values())
 
 
+def test_inverted_files_give_the_footrule():
+    """Distances from the stretches read equal those of all pairs of ranks, and few postings are read."""
+    rng = np.random.default_rng(3)
+    n, n_pivots, length, asked, window = 300, 64, 24, 10, 5
+    order = np.array([rng.permutation(n_pivots)[:length] for _ in range(n)], np.int16)
+    files = permutation_index.inverted_files(order, n_pivots)
+    assert len(files[0]) == n * length
+    for own in order[:20]:
+        want = [sum(min(window + 1, abs(r - int(np.flatnonzero(v == p)[0])) if p in v else window + 1) for r, p in enumerate(own[:asked])) for v in order]
+        assert permutation_index.footrules(files, own[:asked], n, length, window).tolist() == want
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [3.0, 4.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, [-1.0, 5.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]
