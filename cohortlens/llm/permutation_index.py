@@ -49,26 +49,29 @@ def permutations(rows: np.ndarray, extra: np.ndarray, pivots: np.ndarray, length
     return np.argsort(-near, axis=1, kind="stable")[:, :length].astype(np.int16)
 
 
-def inverted_files(order: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
-    """(posted, begin): the vectors of all files, one file after another and by rank
-    in each; those that pivot p has at rank r are posted[begin[p * length + r]:begin[p * length + r + 1]]."""
+def inverted_files(order: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posted, ranks, begin): the vectors of all files and their ranks, one file after
+    another and by rank in each; those that pivot p has at rank r are
+    posted[begin[p * length + r]:begin[p * length + r + 1]]."""
     length = order.shape[1]
     place = (order.astype(np.int64) * length + np.arange(length)).ravel()
     by_place = np.argsort(place, kind="stable")
-    return (by_place // length).astype(np.int32), np.searchsorted(place[by_place], np.arange(n_pivots * length + 1))
+    begin = np.searchsorted(place[by_place], np.arange(n_pivots * length + 1))
+    return by_place // length, (by_place % length).astype(float), begin
 
 
-def footrules(files: tuple[np.ndarray, np.ndarray], own: np.ndarray, n: int, length: int, window: int) -> np.ndarray:
+def footrules(files: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, n: int, length: int, window: int) -> np.ndarray:
     """Footrule distance of a query, with the pivots ``own``, to each of ``n`` posted
     vectors: differences of ranks beyond ``window`` count as ``window`` + 1."""
-    posted, begin = files
-    met, less = [], []
-    for rank, pivot in enumerate(own.tolist()):
-        low, high = max(0, rank - window), min(length, rank + window + 1)
-        cuts = begin[pivot * length + low:pivot * length + high + 1]
-        met.append(posted[cuts[0]:cuts[-1]])
-        less.append(np.repeat(window + 1.0 - np.abs(np.arange(low, high) - rank), np.diff(cuts)))
-    return len(own) * (window + 1) - np.bincount(np.concatenate(met), np.concatenate(less), n).astype(np.int64)
+    posted, ranks, begin = files
+    at, file = np.arange(len(own)), own.astype(np.int64) * length
+    low, high = begin[file + np.minimum(np.maximum(at - window, 0), length)], begin[file + np.minimum(at + window + 1, length)]
+    stretches = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    less = np.concatenate([ranks[s] for s in stretches])
+    less -= np.repeat(at.astype(float), high - low)
+    np.abs(less, out=less)
+    np.subtract(window + 1.0, less, out=less)
+    return len(own) * (window + 1) - np.bincount(np.concatenate([posted[s] for s in stretches]), less, n).astype(np.int64)
 
 
 def search_block(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, q_order: np.ndarray,
