@@ -150,6 +150,73 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
             .select(*by, "prob_index", "prob", quantile.alias("quantile")))
 
 
+def column_summaries(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
+                     accuracy: int = 10_000, n_slices: int = N_SLICES) -> DataFrame:
+    """Per column its count, minimum, mean, maximum and exact, linearly
+    interpolated quantiles: (column_name, n, min_value, mean_value, max_value,
+    quantiles), the last an array in the order of ``probs``; NULL counts nowhere,
+    NaN is above all numbers, and a column without values has NULL everywhere.
+
+    Two passes whatever the number of columns.  One aggregate gives the
+    statistics and, from a sketch, two values between which the rows that a
+    quantile needs must lie: 2 / ``accuracy`` of the ranks on either side, twice
+    the sketch's error (everything while that is less than four rows).  Its one
+    row is read.  The other pass counts equal values; those below a bracket count
+    as one value, those above are left out, so that what is shuffled and put in
+    order is the brackets' distinct values, in slices of equal width.  A rank
+    outside its bracket fails the query."""
+    eps = 1.0 / accuracy
+    shares = [min(1.0, max(0.0, p + d * eps)) for p in probs for d in (-2, 2)]
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    sketch = f"array({', '.join(f'{x!r}D' for x in shares)}), {accuracy}"
+    got = wide.agg(*[f(F.col(f"c{i}")).alias(f"{name}{i}") for i in range(len(cols))
+                     for name, f in (("n", F.count), ("min", F.min), ("avg", F.avg), ("max", F.max))],
+                   *[F.expr(f"percentile_approx(c{i}, {sketch})").alias(f"at{i}") for i in range(len(cols))]).first()
+    stats = [(i, c, got[f"n{i}"], got[f"min{i}"], got[f"avg{i}"], got[f"max{i}"]) for i, c in enumerate(cols)]
+
+    cells = []
+    for i, _, n, low, _, high in stats:
+        for j in range(len(probs)) if n else ():
+            lo, hi = (low, high) if 2 * eps * n < 4 else got[f"at{i}"][2 * j:2 * j + 2]
+            v, lo, hi = F.col(f"c{i}"), F.lit(lo).cast("double"), F.lit(hi).cast("double")
+            # NULL stands for all that is below the bracket, and sorts below it.
+            cells.append(F.when(v <= hi, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), lo.alias("lo"), hi.alias("hi"),
+                                                  F.when(v >= lo, v).alias("v"))))
+    known = df.sparkSession.createDataFrame(
+        stats, "i int, column_name string, n long, min_value double, mean_value double, max_value double")
+    if not cells:
+        return known.select("column_name", "n", "min_value", "mean_value", "max_value",
+                            F.lit(None).cast("array<double>").alias("quantiles"))
+    by = ["i", "j", "lo", "hi"]
+    counts = (wide.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+              .groupBy(*by, "v").agg(F.count(F.lit(1)).alias("__rows")))
+    part = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * (n_slices - 1)
+    at = (F.when(F.col("v").isNull(), -1).when(part.isNull() | F.isnan(part), n_slices - 1)
+          .otherwise(F.floor(part).cast("int")))
+    cum = running_totals(counts, by, [F.col("v").asc_nulls_first()], {"__cum": "__rows"}, at)
+
+    # The ranks that each quantile needs: a table of cells, fixed by the parameters.
+    rank = [(i, j, n, (n - 1) * float(p)) for i, _, n, *_ in stats for j, p in enumerate(probs)]
+    wanted = df.sparkSession.createDataFrame(
+        [(i, j, h, math.floor(h), math.ceil(h)) for i, j, n, h in rank if n], "i int, j int, h double, k0 long, k1 long")
+    first, last = F.col("__cum") - F.col("__rows"), F.col("__cum") - 1
+
+    def value(k):
+        here = (F.col(k) >= first) & (F.col(k) <= last)
+        return F.max(F.when(here, F.when(F.col("v").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+                            .otherwise(F.col("v"))))
+
+    found = (cum.join(F.broadcast(wanted), ["i", "j"]).groupBy("i", "j", "h", "k0")
+             .agg(value("k0").alias("low"), value("k1").alias("high")))
+    part = F.col("h") - F.col("k0")
+    exact = (F.when(F.col("low").isNull() | F.col("high").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+             .when((part == 0) | (F.col("low") == F.col("high")), F.col("low")).otherwise(F.col("low") + part * (F.col("high") - F.col("low"))))
+    lists = found.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", exact.alias("q")))),
+                                               lambda s: s["q"]).alias("quantiles"))
+    return known.join(lists, "i", "left").select(
+        "column_name", "n", "min_value", "mean_value", "max_value", "quantiles")
+
+
 def quantile_array(df: DataFrame, value: str, probs: Sequence[float],
                    n_slices: int = N_SLICES) -> DataFrame:
     """One row, one column ``edges``: the quantiles in ``probs`` order."""

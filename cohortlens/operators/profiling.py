@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.casts import safe_double
 from cohortlens.operators.cohort import share_of_total
-from cohortlens.operators.ordering import exact_quantiles
+from cohortlens.operators.ordering import column_summaries
 
 
 def key_audit(df: DataFrame, distinct: Mapping[str, str], approx: bool = False,
@@ -58,17 +58,12 @@ def range_audit(df: DataFrame, value: Column, upper: float) -> DataFrame:
 
 def numeric_summary(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """(column_name, min, median, mean, max) per column; non-numeric text ->
-    NULL and ignored.  The median is exact and interpolated, computed with the
-    distributed quantile scheme (no per-group value map in one task)."""
-    long = df.select(*[safe_double(c).alias(c) for c in cols]).unpivot(
-        [], list(cols), "column_name", "v")
-    stats = long.groupBy("column_name").agg(
-        F.min("v").alias("min_value"), F.round(F.avg("v"), digits).alias("mean_value"),
-        F.max("v").alias("max_value"))
-    med = exact_quantiles(long, "v", [0.5], by=["column_name"]).select(
-        "column_name", F.col("quantile").alias("median_value"))
-    return stats.join(med, "column_name", "left").select(
-        "column_name", "min_value", "median_value", "mean_value", "max_value")
+    NULL and ignored.  The median is exact and interpolated; two passes for all
+    columns together (:func:`ordering.column_summaries`)."""
+    typed = df.select(*[safe_double(c).alias(c) for c in cols])
+    return column_summaries(typed, cols).select(
+        "column_name", "min_value", F.get("quantiles", F.lit(0)).alias("median_value"),
+        F.round("mean_value", digits).alias("mean_value"), "max_value")
 
 
 def sentinel_audit(df: DataFrame, sentinel: str = "?", digits: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ordering import (
-    exact_quantiles, quantile_array, running_totals, value_edges, value_totals,
+    column_summaries, exact_quantiles, quantile_array, running_totals, value_edges, value_totals,
 )
 
 
@@ -125,3 +125,37 @@ def test_group_size_matches_count(spark):
     glob = running_totals(df, [], ["id"], {"c": F.lit(1)}, bucket=F.floor(F.col("id") / 100),
                           group_size="g").select("g").distinct().collect()
     assert [r["g"] for r in glob] == [len(pdf)]
+
+
+def test_summaries_of_many_columns(spark):
+    """Brackets that leave most values out give the exact quantiles, for ties, NULLs, NaN and infinities too."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    data = pd.DataFrame({"normal": rng.normal(size=n), "wide": np.exp(rng.normal(0, 8, n)), "ties": rng.integers(0, 3, n).astype(float),
+                         "one": np.full(n, 7.0), "ends": np.where(np.arange(n) % 2 == 0, -np.inf, rng.normal(size=n))})
+    df = spark.createDataFrame(data).repartition(7).withColumn("none", F.lit(None).cast("double")).withColumn("some", F.expr("CASE WHEN normal > 1 THEN wide END"))
+    cols, probs = ["normal", "wide", "ties", "one", "ends", "none", "some"], [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["column_name"]: r for r in column_summaries(df, cols, probs, accuracy=500).collect()}
+    data["some"] = data["wide"].where(data["normal"] > 1)
+    for c in cols:
+        if c == "none":
+            assert (got[c]["n"], got[c]["max_value"], got[c]["quantiles"]) == (0, None, None)
+            continue
+        v = np.sort(data[c].dropna().to_numpy())
+        h = (len(v) - 1) * np.array(probs)
+        low, high, part = v[np.floor(h).astype(int)], v[np.ceil(h).astype(int)], h - np.floor(h)
+        want = [a if p == 0 or a == b else a + p * (b - a) for a, b, p in zip(low, high, part)]
+        assert (got[c]["n"], got[c]["min_value"], got[c]["max_value"]) == (len(v), v[0], v[-1]), c
+        assert np.array_equal(got[c]["quantiles"], want, equal_nan=True), c
+    few = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
+    assert column_summaries(few, ["v"], [0.0, 0.5]).first()["quantiles"] == [1.0, 3.0]
+    assert column_summaries(few.limit(0), ["v"]).first()["quantiles"] is None
+
+
+def test_summaries_scan_twice(spark, sf_dir):
+    """One pass when the query is built and one scan in its plan; brackets' values alone are shuffled."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    out = column_summaries(items, ["l_quantity", "l_extendedprice", "l_discount"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1, plan
