@@ -507,3 +507,48 @@ def test_filter_of_ordinary_words(spark):
     got = toxicity.WordFilter.of(spark.createDataFrame([(w,) for w in words], "word string"))
     assert all(w in got for w in words) and not any(f"v{i}" in got for i in range(20_000))
     assert "x" not in toxicity.WordFilter.of(spark.createDataFrame([], "word string"))
+
+
+def test_one_person_keeps_one_surrogate(spark):
+    """The parts of a name have one role in all texts, whatever comes first and where it is told."""
+    texts = ["Ms Anna left. Ms Anna Schmidt called.", "Ms Anna Schmidt called. Ms Anna left.", "Ms Xenia left.", "Dr Xenia Orlov came.", "Ms Xenia Orlov came.",
+             "Prof Quill Orlov", "John Smith and Smith", "Mr Smith, Mr MARK", "a john smith"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(df).collect()}
+    given, surname = got[0].split()[4:6]
+    assert got[0] == f"Ms {given} left. Ms {given} {surname} called." and got[1] == f"Ms {given} {surname} called. Ms {given} left."
+    assert given in pii.GIVEN["f", "latin"] and given != "Anna" and surname in pii.SURNAMES["latin"]
+    assert got[2].split()[1] == got[3].split()[1] == got[4].split()[1] and got[2].split()[1] in pii.GIVEN["f", "latin"]
+    assert got[3].split()[2] == got[4].split()[2] == got[5].split()[2] != "Orlov"
+    john, smith = got[6].split()[:2]
+    assert john in pii.GIVEN["m", "latin"] and got[6].endswith(f"and {smith}") and got[7].startswith(f"Mr {smith},") and smith != "Smith"
+    assert got[8] == texts[8]
+    # The plain decision over all mentions agrees.
+    told = defaultdict(set)
+    for i, t in enumerate(texts):
+        for _, _, kind, norm, sure in pii.detect_sure(t):
+            told[norm].add((i, kind, sure))
+    want = {}
+    for norm, votes in told.items():
+        sure = any(x for _, _, x in votes)
+        n = Counter(k for _, k, x in votes if x == sure)
+        want[norm] = pii.decide(*(n[k] for k in pii.PARTS))
+    found = pii.mentions(df)
+    assert {r["norm"]: r["kind"] for r in pii.person_parts(found).collect()} == want and pii.person_parts(found.limit(0)).collect() == []
+
+
+def test_accounts_addresses_and_digits_of_any_script(spark):
+    east = "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in "+1 (386) 555-3733")
+    texts = ["pay DE89 3704 0044 0532 0130 00 EURO now", "DE89370400440532013000", "DE88 3704 0044 0532 0130 00", "at 2001:db8::8a2e:370:7334,", "2001:0DB8:0000:0000:0000:8A2E:0370:7334",
+             "std::dec a::b 12:30:45 ::1", east, "+1 (386) 555-3733"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(df).collect()}
+    account = got[1]
+    assert account[:2] == "DE" and account != texts[1] and pii.account_check(account) == 1 and len(account) == 22
+    assert got[0] == "pay " + " ".join(account[i:i + 4] for i in range(0, 22, 4)) + " EURO now"
+    address = got[3][3:-1]
+    assert pii.IPv6Address(address).exploded.upper() == got[4] and "::" in address and address != texts[3][3:-1]
+    assert got[5] == texts[5]
+    assert pii.digits_of(got[6]) == pii.digits_of(got[7]) != "13865553733" and got[7][:4] == "+1 (" and all(ord(c) >= 0x660 for c in got[6] if c.isdecimal())
+    other = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, b"another key").collect()}
+    assert other[1] != account and other[5] == texts[5]
