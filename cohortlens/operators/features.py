@@ -105,6 +105,20 @@ def dummies_long(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame
         key, F.concat_ws("_", "feature", "level").alias("dummy"), F.lit(1.0).alias("value"))
 
 
+def dummies_full(df: DataFrame, key: str, cols: Sequence[str], levels: DataFrame) -> DataFrame:
+    """Drop-first one-hot in long form with its zeros: (key, dummy, value), a row for
+    every row and non-reference training level; the reference level, a NULL and a
+    value unseen in training give 0 everywhere.
+
+    The levels (a row each) are broadcast and the rows stay where they are: a join on
+    the feature would deal all rows out by a handful of names."""
+    lv = levels.where(~F.col("is_reference")).select("feature", "level")
+    own = df.select(key, F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))]).alias("__own"))
+    is_level = F.try_element_at("__own", F.col("feature")) == F.col("level")
+    return own.crossJoin(F.broadcast(lv)).select(
+        key, F.concat_ws("_", "feature", "level").alias("dummy"), F.when(is_level, 1.0).otherwise(0.0).alias("value"))
+
+
 def level_pairs(levels: DataFrame) -> list[tuple[str, str]]:
     """Sorted (feature, level) pairs of the non-reference levels: the names of a
     model's coefficients, which the fitted model keeps on the driver as well."""

@@ -237,7 +237,7 @@ def q_standardize(spark, sf_dir):
 def q_dummies(spark, sf_dir):
     s = split_table(spark, sf_dir)
     levels = fe.category_levels(s.where(F.col("split") == "train"), CATEGORICAL)
-    return fe.dummies_long(s, "encounter_id", CATEGORICAL, levels)
+    return fe.dummies_full(s, "encounter_id", CATEGORICAL, levels)
 
 
 def q_vif2(spark, sf_dir):
@@ -568,7 +568,8 @@ WHERE split = 'test' GROUP BY majority_class"""),
         f"ROUND(CASE WHEN sd_{c} > 0 THEN ({c} - m_{c}) / sd_{c} ELSE {c} - m_{c} END, 6) AS {c}" for c in NUMERIC)
         + " FROM split, (SELECT " + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS sd_{c}" for c in NUMERIC)
         + " FROM split WHERE split = 'train') WHERE split = 'test'"),
-    "q_dummies": _w("""SELECT s.encounter_id, l.feature || '_' || l.level AS dummy, 1.0::DOUBLE AS value
+    "q_dummies": _w("""SELECT s.encounter_id, l.feature || '_' || l.level AS dummy,
+       CAST(CASE WHEN s.value = l.level THEN 1.0 ELSE 0.0 END AS DOUBLE) AS value
 FROM (UNPIVOT (SELECT encounter_id, """ + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CATEGORICAL)
                     + """ FROM split) ON """ + ", ".join(CATEGORICAL) + """ INTO NAME feature VALUE value) s
 JOIN (SELECT feature, level FROM (
@@ -576,7 +577,7 @@ JOIN (SELECT feature, level FROM (
                     + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CATEGORICAL)
                     + """ FROM split WHERE split = 'train') ON """ + ", ".join(CATEGORICAL)
                     + """ INTO NAME feature VALUE level))
-      QUALIFY level <> MIN(level) OVER (PARTITION BY feature)) l ON s.feature = l.feature AND s.value = l.level"""),
+      QUALIFY level <> MIN(level) OVER (PARTITION BY feature)) l ON s.feature = l.feature"""),
     "q_vif2": _w(f"""SELECT feature, ROUND(1.0 / (1.0 - r * r), 6) AS vif
 FROM (SELECT CORR({VIF_PAIR[0]}, {VIF_PAIR[1]}) AS r FROM analytic),
      (VALUES ('{VIF_PAIR[0]}'), ('{VIF_PAIR[1]}')) t(feature)"""),
@@ -635,11 +636,20 @@ s AS (SELECT f.fold, f.y, (SELECT ROUND(AVG(o.y), 4) FROM tr o WHERE o.fold <> f
 SELECT p.fold, ROUND(AVG(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END), 6) AS auc
 FROM s p JOIN s n ON p.fold = n.fold AND p.y = 1 AND n.y = 0 GROUP BY p.fold"""),
 }
-# The entries of the vectors are the scaled columns and the dummies that two
-# other queries give, of the test rows.
+# The entries of the vectors are the scaled columns that another query gives and the
+# dummies that aren't 0, of the test rows.
+_ENTRIES_SQL = _w("""SELECT s.encounter_id, l.feature || '_' || l.level AS dummy, 1.0::DOUBLE AS value
+FROM (UNPIVOT (SELECT encounter_id, """ + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CATEGORICAL)
+                  + """ FROM split) ON """ + ", ".join(CATEGORICAL) + """ INTO NAME feature VALUE value) s
+JOIN (SELECT feature, level FROM (
+        SELECT DISTINCT feature, level FROM (UNPIVOT (SELECT """
+                  + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CATEGORICAL)
+                  + """ FROM split WHERE split = 'train') ON """ + ", ".join(CATEGORICAL)
+                  + """ INTO NAME feature VALUE level))
+      QUALIFY level <> MIN(level) OVER (PARTITION BY feature)) l ON s.feature = l.feature AND s.value = l.level""")
 ORACLE["q_assembled"] = ("SELECT encounter_id, feature, value FROM (UNPIVOT (" + ORACLE["q_standardize"] + ") ON "
                          + ", ".join(NUMERIC) + " INTO NAME feature VALUE value) WHERE value <> 0 UNION ALL SELECT encounter_id, dummy, value FROM ("
-                         + ORACLE["q_dummies"] + ") WHERE value <> 0 AND encounter_id IN (SELECT encounter_id FROM (" + ORACLE["q_attach"] + "))")
+                         + _ENTRIES_SQL + ") WHERE value <> 0 AND encounter_id IN (SELECT encounter_id FROM (" + ORACLE["q_attach"] + "))")
 
 _LONG = lambda sql, tab, key, metrics: (
     f"SELECT '{tab}' AS tab, {key} AS key, metric, value FROM (UNPIVOT (SELECT *, {', '.join(f'{m}::DOUBLE AS v_{m}' for m in metrics)} FROM ({sql})) ON "
