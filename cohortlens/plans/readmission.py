@@ -93,6 +93,17 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fe.stratified_split(analytic_table(spark, sf_dir), "encounter_id", "readmitted_30")
 
 
+def stored_analytic(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Columns of the analytic table as a stored table.  Levels, deviations and a fit
+    are jobs of their own: each would build the chain from the raw rows again."""
+    return stored(analytic_table(spark, sf_dir).select(*cols), "analytic")
+
+
+def stored_split(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The same of the split table (all columns unless some are named)."""
+    return stored(split_table(spark, sf_dir).select(*(cols or "*")), "split")
+
+
 # ---------------------------------------------------------------- profile
 def q_hr_key_audit(spark, sf_dir):
     return profiling.key_audit(raw_encounters(spark, sf_dir),
@@ -241,13 +252,13 @@ def q_dummies(spark, sf_dir):
 
 
 def q_vif2(spark, sf_dir):
-    v = models.vif(analytic_table(spark, sf_dir), VIF_PAIR)
+    v = models.vif(stored_analytic(spark, sf_dir, *VIF_PAIR), VIF_PAIR)
     return v.select("feature", F.round("vif", 6).alias("vif"))
 
 
 def q_vif3(spark, sf_dir):
     """Three predictors, with the largest factor and the verdict on all."""
-    v = models.vif(analytic_table(spark, sf_dir), VIF_THREE)
+    v = models.vif(stored_analytic(spark, sf_dir, *VIF_THREE), VIF_THREE)
     s = models.vif_summary(v)
     return v.crossJoin(F.broadcast(s)).select("feature", F.round("vif", 6).alias("vif"), F.round("max_vif", 6).alias("max_vif"), "max_feature", "verdict")
 
@@ -274,7 +285,7 @@ def q_range_labels(spark, sf_dir):
 def q_odds_2x2(spark, sf_dir):
     """Unpenalised GLM on one binary predictor; its odds ratio and standard
     error equal the 2x2 closed form ad/bc and sqrt(1/a+1/b+1/c+1/d)."""
-    a = analytic_table(spark, sf_dir).withColumn(
+    a = stored_analytic(spark, sf_dir, "discharge_group", "readmitted_30").withColumn(
         "discharge_not_home", flag(F.col("discharge_group") == "Transferred/Other").cast("double"))
     odds = models.fit_glm_odds(a, ["discharge_not_home"], "readmitted_30")
     reported = F.round("odds_ratio", 4)
@@ -374,9 +385,12 @@ KPI = ["total_rows", "test_rows", "baseline_rate_pct", "model_auc", "high_tier_s
        "recall_at_high_tier_pct", "precision_at_high_tier_pct", "lift_top_decile"]
 
 
-def group_scores(spark, sf_dir):
-    """Test rows scored by the model of one categorical predictor."""
-    s = split_table(spark, sf_dir)
+def group_split(spark, sf_dir):
+    return stored_split(spark, sf_dir, "encounter_id", "readmitted_30", GROUP, "split")
+
+
+def group_scores(s: DataFrame) -> DataFrame:
+    """Test rows of a split table scored by the model of one categorical predictor."""
     train = s.where(F.col("split") == "train")
     wide, names = fe.dummy_columns(s, [GROUP], fe.level_pairs(fe.category_levels(train, [GROUP])))
     data = fe.assemble(wide, names)
@@ -386,31 +400,35 @@ def group_scores(spark, sf_dir):
 
 
 def q_group_scores(spark, sf_dir):
-    return group_scores(spark, sf_dir)
+    return group_scores(group_split(spark, sf_dir))
 
 
 def q_group_metrics(spark, sf_dir):
-    return ev.ranking_metrics(group_scores(spark, sf_dir))
+    return ev.ranking_metrics(stored(group_scores(group_split(spark, sf_dir)), "group_scores"))
 
 
-def q_group_odds(spark, sf_dir):
+def group_odds(a: DataFrame) -> DataFrame:
     """Odds of each diagnosis group against the first one, with stars from p."""
-    a = analytic_table(spark, sf_dir)
     wide, names = fe.dummy_columns(a, [GROUP], fe.level_pairs(fe.category_levels(a, [GROUP])))
     odds = models.fit_glm_odds(wide, names, "readmitted_30")
     return odds.select("predictor", F.round("odds_ratio", 4).alias("odds_ratio"),
                        F.round("std_error", 4).alias("std_error"), "signif", "direction", "significant")
 
 
+def q_group_odds(spark, sf_dir):
+    return group_odds(stored_analytic(spark, sf_dir, GROUP, "readmitted_30"))
+
+
 def q_bundle(spark, sf_dir):
     """The export of one fit: scored rows, decile, KPI and odds tables from one stored
     score table, written as a bundle and read back; every value in long form."""
     name = lambda x: shared_path(spark, f"{x}_{uuid.uuid4().hex}")
-    scored = stored(group_scores(spark, sf_dir), "bundle_scores")
+    split = group_split(spark, sf_dir)
+    scored = stored(group_scores(split), "bundle_scores")
     table = ev.ScoreTable(scored)
     rows = scored.select("encounter_id", F.bround("score", 4).alias("predicted_prob"), "label", table.bins().alias("risk_decile"), table.tier().alias("risk_tier"))
     paths = export.write_bundle({"scored": rows, "deciles": table.deciles(rate_digits=2).drop("rate", "avg_score"), "kpi": table.kpi(),
-                                 "odds": q_group_odds(spark, sf_dir)}, name("bundle"))
+                                 "odds": group_odds(split)}, name("bundle"))
     back = {k: staging.stage_csv_by_header(spark, p) for k, p in paths.items()}
     s = back["scored"]
     long = s.groupBy("risk_decile", "risk_tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("predicted_prob").cast("double")), 6).alias("sum_prob"),
@@ -438,7 +456,7 @@ def q_assembled(spark, sf_dir):
 
 
 def q_vif(spark, sf_dir):
-    return models.vif(analytic_table(spark, sf_dir), NUMERIC).withColumn(
+    return models.vif(stored_analytic(spark, sf_dir, *NUMERIC), NUMERIC).withColumn(
         "verdict", F.when(F.col("vif") < 5, "ok").otherwise("review"))
 
 
