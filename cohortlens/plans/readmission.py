@@ -298,7 +298,7 @@ def q_odds_2x2(spark, sf_dir):
 # ------------------------------------------------------------ model (rows)
 def model_frame(spark: SparkSession, sf_dir: str):
     """Split table with scaled numerics and drop-first dummies assembled."""
-    s = split_table(spark, sf_dir)
+    s = stored_split(spark, sf_dir)
     train = s.where(F.col("split") == "train")
     stats = fe.population_stats(train, NUMERIC)
     pairs = fe.level_pairs(fe.category_levels(train, CATEGORICAL))
@@ -316,52 +316,49 @@ def fitted(spark, sf_dir):
     return models.score(m, test), data, names
 
 
-def q_model_metrics(spark, sf_dir):
-    scored, _, _ = fitted(spark, sf_dir)
+def model_scores(spark, sf_dir):
+    """(label, score) of the test rows as a stored table, and the data of the model."""
+    scored, data, _ = fitted(spark, sf_dir)
     s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    return ev.ranking_metrics(s)
+    return stored(s, "model_scores"), data
+
+
+def q_model_metrics(spark, sf_dir):
+    return ev.ranking_metrics(model_scores(spark, sf_dir)[0])
 
 
 def q_model_deciles(spark, sf_dir):
-    scored, _, _ = fitted(spark, sf_dir)
-    s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    return ev.decile_table(ev.qcut(s))
+    return ev.decile_table(ev.qcut(model_scores(spark, sf_dir)[0]))
 
 
 def q_model_sweep(spark, sf_dir):
-    scored, _, _ = fitted(spark, sf_dir)
-    s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    return ev.threshold_sweep(s)
+    return ev.threshold_sweep(model_scores(spark, sf_dir)[0])
 
 
 def q_model_operating_point(spark, sf_dir):
     """Flag the top 20 % of test discharges by model score: the cut-off and
     the confusion matrix with recall, precision and share flagged."""
-    scored, _, _ = fitted(spark, sf_dir)
-    s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    t = ev.ScoreTable(stored(s, "model_scores"))
+    t = ev.ScoreTable(model_scores(spark, sf_dir)[0])
     cut = t.quantiles([1.0 - ev.TIER_HIGH])[0]
     return t.confusion(cut).withColumn("threshold", F.lit(cut).cast("double"))
 
 
 def q_scored_patients(spark, sf_dir):
     scored, _, _ = fitted(spark, sf_dir)
-    s = scored.withColumnRenamed("predicted_prob", "score")
-    s = ev.deciles_and_tiers(s, "score", decile="risk_decile")
+    s = scored.select("encounter_id", *NUMERIC, *CATEGORICAL, "age_band", F.col("predicted_prob").alias("score"), "readmitted_30")
+    s = ev.deciles_and_tiers(stored(s, "scored_patients"), "score", decile="risk_decile")
     return s.select("encounter_id", *NUMERIC, *CATEGORICAL, "age_band",
                     F.bround("score", 4).alias("predicted_prob"),
                     F.col("readmitted_30").alias("actual_readmit"), "risk_decile", "risk_tier")
 
 
 def q_model_kpi(spark, sf_dir):
-    scored, data, _ = fitted(spark, sf_dir)
-    s = scored.select(F.col("readmitted_30").alias("label"), F.col("predicted_prob").alias("score"))
-    pop = data.select(F.col("readmitted_30").alias("label"))
-    return ev.ScoreTable(s).kpi(pop)
+    s, data = model_scores(spark, sf_dir)
+    return ev.ScoreTable(s).kpi(data.select(F.col("readmitted_30").alias("label")))
 
 
 def q_odds_table(spark, sf_dir):
-    s = split_table(spark, sf_dir)
+    s = stored_split(spark, sf_dir, "split", "readmitted_30", *NUMERIC, *CATEGORICAL)
     train = s.where(F.col("split") == "train")
     pairs = fe.level_pairs(fe.category_levels(train, CATEGORICAL))
     wide, names = fe.dummy_columns(train, CATEGORICAL, pairs)

@@ -36,7 +36,7 @@ def test_q_dummies_gives_every_row_and_level(spark, tmp_path):
     assert sum(r["count"] for r in got) == rows * levels
 
 
-@pytest.mark.parametrize("name", ["q_bundle", "q_group_metrics", "q_vif3"])
+@pytest.mark.parametrize("name", ["q_bundle", "q_model_kpi", "q_scored_patients", "q_group_metrics", "q_vif3"])
 def test_repeated_jobs_read_stored_rows(spark, tmp_path, monkeypatch, name):
     """Levels, fits, factors and score tables are jobs of their own: none of them goes
     back to the raw rows."""
